@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from functools import cache
 from unicodedata import is_normalized
 
 from tokenizers import Tokenizer
@@ -34,27 +35,26 @@ class _Kept(dict):
     def __init__(self, encode, model, lower: bool, most: int):
         super().__init__()
         self.encode, self.model, self.lower, self.most = encode, model, lower, most
-        self.letters = {i: c for i, c in enumerate(byte_letters())}
+        self.letters = dict(enumerate(byte_letters()))
+        self.space = self.letters[32]
         self.old: dict[str, bytes] = {}
+        self.marks = {m: encode(m) for m in ".,!?:;"}
+        self.line_end = encode("\n")
 
     def __missing__(self, piece: str) -> bytes:
+        # one closing mark after a letter is a piece of its own, and so is the word before it
+        if piece[-2:-1].isalpha() and (mark := self.marks.get(piece[-1])) is not None:
+            return self[piece[:-1]] + mark
         ids = self.old.get(piece)
         if ids is None:
             ids = self._made(piece)
-            if ids is None:  # put together from kept parts; not worth keeping
-                return self._joined(piece)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[piece] = ids
         return ids
 
-    def _joined(self, piece: str) -> bytes:
-        if piece[:1] == "\n":
-            return self[CLOSING + "\n"] + self[CLOSING + piece[1:]]
-        return self[piece[:-1]] + self[CLOSING + piece[-1]]
-
-    def _made(self, piece: str) -> bytes | None:
+    def _made(self, piece: str) -> bytes:
         word = piece[1:] if (bare := piece[:1] == CLOSING) else piece
         if word.isalpha():
             # letters only: one piece to every pre-tokenizer here, so the model alone decides
@@ -65,18 +65,15 @@ class _Kept(dict):
                 return self[low]
             if low == word and (word.isascii() or is_normalized("NFC", word)):
                 return self._model(word)
-        elif len(word) > 1:
-            if word[0] == "\n" and word[1].isalpha() and not bare and not self.lower:
-                return None
-            # one closing mark after a letter is a piece of its own, and so is the word before it
-            if word[-1] in ".,!?:;" and word[-2].isalpha():
-                return None
+        elif word[:1] == "\n" and word[1:2].isalpha() and not bare and not self.lower:
+            return self.line_end + self[CLOSING + word[1:]]
         if bare or self.lower or word[:1] == "\n":
             return self.encode(word)
         return self.encode(" " + word)
 
     def _model(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        shown = word.replace(" ", self.space) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
 
 #: Marks a piece that no space comes before.
@@ -137,3 +134,9 @@ class PieceEncoder:
             pieces = self._pieces(text)
             out.append(self._whole(text) if pieces is None else b"".join([kept[x] for x in pieces]))
         return out
+
+
+@cache
+def encoder_for(path: str) -> PieceEncoder:
+    """One encoder a process: Python workers outlive tasks, and so do the kept pieces."""
+    return PieceEncoder(path)

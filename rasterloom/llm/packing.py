@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rasterloom.llm import files
-from rasterloom.llm.encoding import PieceEncoder
+from rasterloom.llm.encoding import encoder_for
 
 TIERS = (2048, 1024, 512, 256)
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, window long, step_id long, ids binary"
@@ -109,7 +109,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = PieceEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, tail = encoder_for(tokenizer), np.array([end_id], "<u4").tobytes()
         base, rows = files.partition_id() << 40, []
         windows: dict[int, int] = {}
         made = 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm import files
-from rasterloom.llm.encoding import PieceEncoder
+from rasterloom.llm.encoding import encoder_for
 from rasterloom.llm.shared import materialize
 
 # Fixed values of the zstandard frame and seekable formats.
@@ -131,7 +131,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     schema = docs.sparkSession.createDataFrame([], MANIFEST).schema
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = PieceEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, tail = encoder_for(tokenizer), np.array([end_id], "<u4").tobytes()
         out, seq, rows = None, 0, []
 
         def close() -> None:

@@ -1,7 +1,7 @@
 """Vectorised word hashing over Arrow string batches.
 
 Words are the runs matching ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Every
-word gets a 64-bit hash from a polynomial in its UTF-8 bytes; no Python object is
+word gets a 64-bit hash of its UTF-8 bytes, eight at a time; no Python object is
 made for a word. Blocks bound memory: about ``BLOCK_BYTES`` of text at a time.
 """
 
@@ -21,7 +21,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_VALUE = np.where(_SPACE, 0, _LOWER.astype(np.int64) + 1).astype(U64)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -33,9 +33,6 @@ def powers(base: int, n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
-_POWERS = powers(_BASE, 1 << 12)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers (xor-shift and multiply rounds)."""
     with np.errstate(over="ignore"):
@@ -100,24 +97,22 @@ def hash_words(texts: pa.Array) -> Words:
     last[:-1] &= ~solid[1:] | edge[1:n]
     ends = np.flatnonzero(last) + 1
     rows = np.searchsorted(starts, offsets)
-    if not len(starts):
-        return Words(np.zeros(0, U64), starts, ends, rows, data)
-    out = np.empty(len(starts), U64)
+    return Words(_hashes(data, starts, ends - starts), starts, ends, rows, data)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash the byte spans, eight bytes of every span at a time."""
+    padded = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    out = mix((eight[starts] & _MASK[np.minimum(lengths, 8)]) + U64(_BASE))
+    more, at = np.flatnonzero(lengths > 8), 8
     with np.errstate(over="ignore"):
-        # chunks of whole words keep the 8-byte temporaries small
-        begin = 0
-        while begin < len(starts):
-            stop = int(np.searchsorted(starts, starts[begin] + BLOCK_BYTES, "right"))
-            stop = max(stop, begin + 1)
-            lo, hi = int(starts[begin]), int(ends[stop - 1])
-            at = starts[begin:stop] - lo
-            position = np.arange(hi - lo) - np.repeat(at, np.diff(np.append(at, hi - lo)))
-            table = _POWERS if (m := int(position.max()) + 1) <= len(_POWERS) else powers(_BASE, m)
-            value = _VALUE[data[lo:hi]]
-            value *= table[position]
-            out[begin:stop] = np.add.reduceat(value, at)
-            begin = stop
-    return Words(mix(out), starts, ends, rows, data)
+        while len(more):
+            left = lengths[more] - at
+            chunk = eight[starts[more] + at] & _MASK[np.minimum(left, 8)]
+            out[more] = mix(out[more] * U64(_BASE) + chunk)
+            more, at = more[left > 8], at + 8
+        return mix(out + lengths.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
