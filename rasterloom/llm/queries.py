@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import near_dup, packing, pii, token_files, warc
+from rasterloom.llm import languages, near_dup, packing, pii, token_files, warc
 from rasterloom.llm.shared import new_path
 
 
@@ -40,3 +40,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.learn_and_identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
