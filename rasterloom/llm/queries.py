@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import languages, near_dup, packing, pii, token_files, warc
+from rasterloom.llm import languages, near_dup, packing, pii, quality, token_files, warc
 from rasterloom.llm.shared import new_path
 
 
@@ -44,3 +44,8 @@ def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.learn_and_identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op1_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
