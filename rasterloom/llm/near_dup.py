@@ -5,11 +5,13 @@ class at once. Each class gets a signature from two permutations of a 32-bit uni
 first scatters the shingles, the second is applied after a circular shift, one position
 further for each coordinate. Bands of coordinates put classes into buckets.
 
-A bucket's pairs are never listed. Members are first compared with one leader per bucket,
-then, where a bucket still spans several components, with other leaders drawn at random;
-for what remains after that, the pairs across components are compared, and only these. Every
-comparison is an exact Jaccard test on full sets, so components hold confirmed links only,
-and two members of a bucket with a link between them end in one component.
+A bucket's pairs are never listed. Members are compared with one leader per bucket. Where
+a bucket still spans several components after that, its members meet again by prefix
+filter: two sets with a link share one of their rarest shingles, and sets that merely have
+a passage in common don't. There, too, members are compared with one leader per shingle
+first, and only then are pairs across components compared that pass the length and
+positional filters. Every comparison is an exact Jaccard test on full sets, so components
+hold confirmed links only, and members of a bucket with a link end in one component.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm import setjoin
 from rasterloom.llm import wordhash as wh
 from rasterloom.llm.components import components
 from rasterloom.llm.shared import drop, materialize
@@ -124,7 +127,24 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return full.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int | None = None, rows: int | None = None, dense_pairs: int = 8, most_draws: int = 6, broadcast_ids: int = 1_000_000) -> DataFrame:
+def prefixes(texts: DataFrame, size: int, percent: int, ranks: np.ndarray) -> DataFrame:
+    """(token, id, c, n, at): the prefix tokens of each set of ``texts`` (doc_id, text, c)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, c = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
+            for a, b in wh.blocks(texts):
+                found = []
+                for i, one in zip(range(a, b), _texts_sets(texts.slice(a, b - a), size), strict=True):
+                    keys = np.sort(setjoin.ordered_keys(one, ranks))[: max(0, setjoin.prefix_length(len(one), percent))]
+                    found.append((keys, np.full(len(keys), ids[i]), np.full(len(keys), c[i]), np.full(len(keys), len(one)), np.arange(len(keys))))
+                keys, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *(pa.array(x) for x in rest)], ["token", "id", "c", "n", "at"])
+
+    return texts.mapInArrow(run, "token long, id long, c long, n long, at long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int | None = None, rows: int | None = None, broadcast_ids: int = 1_000_000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked where 100 * |A and B| >= percent * |A or B| over their distinct
@@ -134,8 +154,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     document. A row without doc_id takes no part: component_id null, kept. Repeated rows
     stay. Further columns are ignored; an empty table gives an empty result.
 
-    ``dense_pairs`` and ``most_draws`` steer the work only: leaders are drawn again (at most
-    ``most_draws`` times) while more pairs than ``dense_pairs`` per bucket member remain.
+    Up to ``broadcast_ids`` ids of candidates are broadcast to pick their texts; more are
+    joined by a shuffle.
     """
     if bands is None or rows is None:
         bands, rows = default_bands(percent)
@@ -147,39 +167,41 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     shared = banded.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last")
     members = materialize(banded.join(shared, "bucket"), "members")
 
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
-    wanted = materialize(ids, "candidates")
+    wanted = materialize(members.select(F.col("id").alias("doc_id")).distinct(), "candidates")
     few = wanted.count() <= broadcast_ids
-    texts = materialize(docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id"), "texts")
+    picked = lambda ids: F.broadcast(ids) if few else ids
+    texts = materialize(docs.select("doc_id", "text").join(picked(wanted), "doc_id"), "texts")
 
     tried = materialize(members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    links = materialize(confirmed(tried, texts, size, percent), "confirmed")
-    of = components(links)
-    for draw in range(most_draws + 1):
-        labelled = members.select("bucket", "id").join(of.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        mixed = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-        active = materialize(labelled.join(mixed, "bucket"), "active")
-        size_of = active.groupBy("bucket", "c").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        total = size_of.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
-        if not total.n:
-            break
-        last = draw == most_draws or total.pairs <= dense_pairs * total.n
-        if last:
-            left, right = active.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca")), active.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"))
-            pairs = left.join(right, "bucket").where("a > b and ca <> cb").select("a", "b").distinct()
-        else:
-            drawn = F.xxhash64("id", F.lit(draw))
-            heads = active.groupBy("bucket").agg(F.min_by("id", drawn).alias("b"), F.min_by("c", drawn).alias("cb"))
-            pairs = active.join(heads, "bucket").where("c <> cb").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        new = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = materialize(confirmed(new, texts, size, percent), "confirmed")
-        links = materialize(links.unionAll(more), "confirmed")
-        tried = materialize(tried.unionAll(new), "pairs")
-        of = components(links)
-        drop(spark, active, new, more)
-        if last:
-            break
-    drop(spark, texts)
+    of = components(materialize(confirmed(tried, texts, size, percent), "confirmed"))
+
+    # buckets that still span components: their members meet again by rare shingles
+    named = lambda rows, of: rows.join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    labelled = named(members.select("bucket", "id"), of)
+    mixed = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+    active = materialize(labelled.join(mixed, "bucket").select(F.col("id").alias("doc_id"), "c").distinct(), "active")
+    if not active.isEmpty():
+        some = texts.join(picked(active), "doc_id").select("doc_id", "text", "c")
+        shingle_hashes = lambda batch: (wh.shingles(wh.hash_words(batch.column(1).slice(a, b - a)), size)[0] for a, b in wh.blocks(batch.column(1)))
+        ranks = setjoin.rarity_ranks(some, shingle_hashes)
+        tokens = materialize(prefixes(some, size, percent, ranks), "prefixes")
+        spanning = lambda rows: rows.groupBy("token").agg(F.min("id").alias("b"), F.min_by("c", "id").alias("cb"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+        led = tokens.join(spanning(tokens).select("token", "b", "cb"), "token").where("c <> cb").select(F.col("id").alias("a"), "b").distinct()
+        led = materialize(led.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(confirmed(led, texts, size, percent), "confirmed")
+        of = components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
+
+        rest = named(tokens.drop("c"), of)
+        rest = materialize(rest.join(spanning(rest).select("token"), "token"), "prefixes")
+        x, y = rest.alias("x"), rest.alias("y")
+        near = setjoin.may_match(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent)
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        pairs = materialize(pairs.join(tried.unionAll(led), ["a", "b"], "left_anti"), "pairs")
+        last = materialize(confirmed(pairs, texts, size, percent), "confirmed")
+        if not last.isEmpty():
+            of = components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(last))
+        drop(spark, tokens, rest, pairs, led)
+    drop(spark, texts, members)
 
     roots = classes.select("id").join(of.withColumnRenamed("node", "id"), "id", "inner")
     named = sketches.select("doc_id", "n_shingles", "key_1", "key_2").join(classes.select("key_1", "key_2", "id"), ["key_1", "key_2"], "left").join(roots, "id", "left")
