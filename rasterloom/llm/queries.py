@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import languages, near_dup, packing, pii, quality, token_files, warc
+from rasterloom.llm import decontaminate, languages, near_dup, packing, pii, quality, token_files, warc
 from rasterloom.llm.shared import new_path
 
 
@@ -49,3 +49,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

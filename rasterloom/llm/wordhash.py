@@ -19,6 +19,9 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For comparisons that ignore punctuation: all ASCII but letters and digits.
+MARKS = np.ones(256, bool)
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
@@ -80,14 +83,14 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         begin = end
 
 
-def hash_words(texts: pa.Array) -> Words:
-    """Hashes and byte spans of all words of ``texts`` (one block)."""
+def hash_words(texts: pa.Array, apart: np.ndarray = _SPACE) -> Words:
+    """Hashes and byte spans of all words of ``texts`` (one block); ``apart``: the bytes between words."""
     offsets, data = text_buffers(texts)
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, U64), none, none, np.zeros(len(texts) + 1, np.int64), data)
-    solid = ~_SPACE[data]
+    solid = ~apart[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True  # a text's first byte, and the end
     first = solid.copy()
