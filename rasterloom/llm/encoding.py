@@ -12,12 +12,20 @@ import json
 import re
 from array import array
 from functools import cache
+from operator import itemgetter
 from unicodedata import is_normalized
 
 from tokenizers import Tokenizer
 
-#: A space beside other white space: the byte-level pattern looks ahead there.
-_RAGGED = re.compile(r" \s|\s |[^\S \n]")
+#: White space other than spaces and line ends.
+_OTHER = re.compile(r"[^\S \n]")
+
+
+def _ragged(text: str) -> bool:
+    """A space lies beside other white space: the byte-level pattern looks ahead there."""
+    return "  " in text or " \n" in text or "\n " in text or bool(_OTHER.search(text))
+
+
 #: White space to Python that the library's patterns take as ordinary characters.
 _CONTROL = re.compile("[\x1c-\x1f]")
 
@@ -120,7 +128,7 @@ class PieceEncoder:
             return None
         if self.kind == "words":
             return None if _CONTROL.search(text) else text.split()
-        if self.kind == "spaced" and not _RAGGED.search(text):
+        if self.kind == "spaced" and not _ragged(text):
             # a space or line end between two solid characters always begins a new piece
             first, *rest = text.replace("\n", " \n").split(" ")
             return [CLOSING + first, *rest] if first else rest
@@ -132,7 +140,12 @@ class PieceEncoder:
         kept = self.kept
         for text in texts:
             pieces = self._pieces(text)
-            out.append(self._whole(text) if pieces is None else b"".join([kept[x] for x in pieces]))
+            if pieces is None:
+                out.append(self._whole(text))
+            elif len(pieces) > 1:
+                out.append(b"".join(itemgetter(*pieces)(kept)))
+            else:
+                out.append(kept[pieces[0]] if pieces else b"")
         return out
 
 
