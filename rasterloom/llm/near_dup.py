@@ -32,20 +32,16 @@ from rasterloom.llm.shared import drop, materialize
 U32 = np.uint32
 
 
-def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
-    """Circulant MinHash of non-empty sets: an array (len(sets), coordinates) of uint32."""
-    out = np.empty((len(sets), coordinates), U32)
-    if not sets:
-        return out
-    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])[:-1]
-    scattered = (wh.mix(np.concatenate(sets)) >> np.uint64(32)).astype(U32)
+def row_signatures(values: np.ndarray, offsets: np.ndarray, coordinates: int) -> np.ndarray:
+    """Circulant MinHash of the non-empty sets between offsets: (sets, coordinates) of uint32."""
+    first, count = offsets[:-1], len(offsets) - 1
+    out = np.empty((count, coordinates), U32)
+    scattered = (wh.mix(values) >> np.uint64(32)).astype(U32)
     step = 1 << 16  # values at a time, to stay in a core's cache
     begin = 0
-    while begin < len(sets):
-        end = max(begin + 1, int(np.searchsorted(first, first[begin] + step, "right")) - 1)
-        end = len(sets) if end >= len(sets) - 1 else end
-        lo, hi = int(first[begin]), int(first[end]) if end < len(sets) else len(scattered)
-        part, at = scattered[lo:hi], first[begin:end] - lo
+    while begin < count:
+        end = max(begin + 1, min(count, int(np.searchsorted(offsets, first[begin] + step, "right")) - 1))
+        part, at = scattered[first[begin] : offsets[end]], first[begin:end] - first[begin]
         v, w = np.empty_like(part), np.empty_like(part)
         for k in range(coordinates):
             np.add(part, U32(k), out=v)
@@ -58,6 +54,13 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     return out
 
 
+def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
+    """Circulant MinHash of non-empty sets."""
+    if not sets:
+        return np.empty((0, coordinates), U32)
+    return row_signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), coordinates)
+
+
 def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit hash per band; equal values of different bands get different hashes."""
     part = signature[:, : bands * rows].reshape(len(signature), bands, rows).astype(np.uint64)
