@@ -173,3 +173,25 @@ def learn_and_identify(docs: DataFrame, folds: int = 4, held_out: int = 2, sampl
     """``identify`` with a model from the rows outside the fold ``held_out``."""
     model = fit(docs.where(folded("doc_id", folds) != held_out), sample)
     return identify(docs, model).withColumn("held_out", F.coalesce(folded("doc_id", folds) == held_out, F.lit(False)))
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` whose text isn't rejected, with all their columns.
+
+    Without a model (nothing to learn from) only texts without letters are rejected.
+    """
+    where = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(where)
+            keep = []
+            for a, b in wh.blocks(texts):
+                part = texts.slice(a, b - a)
+                if model is None:
+                    keep += [t.is_valid and bool(_LETTER.search(t.as_py())) for t in part]
+                else:
+                    keep += (~judge(model, part)[2]).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
