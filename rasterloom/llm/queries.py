@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontaminate, languages, line_dedup, near_dup, packing, pii, quality, token_files, warc
+from rasterloom.llm import decontaminate, languages, line_dedup, near_dup, neighbours, packing, pii, quality, token_files, warc
 from rasterloom.llm.shared import new_path
 
 
@@ -59,3 +59,8 @@ def op8_line_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
     return cleaned.select("doc_id", "n_removed", lines.alias("n_lines_kept"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
