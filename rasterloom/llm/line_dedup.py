@@ -27,7 +27,7 @@ from rasterloom.llm import near_dup, setjoin
 from rasterloom.llm import wordhash as wh
 from rasterloom.llm.shared import drop, materialize
 
-BANDS, ROWS = 4, 3
+BANDS, ROWS = 2, 3
 SCHEMA = "doc_id long, row long, line_no int, n int, key_1 long, key_2 long, bits long, prefix array<long>, " + ", ".join(f"band_{i} long" for i in range(BANDS))
 NAMES = [x.strip().split()[0] for x in SCHEMA.split(",")]
 
@@ -86,14 +86,9 @@ def sketch(docs: DataFrame, percent: int, ranks: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "row", "text").mapInArrow(run, SCHEMA)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
-    """The class keys that an earlier class matches, of ``pairs`` (a, b: key_1 of two classes).
-
-    The words are taken from the documents again, for the lines in question only.
-    """
-    places = classes.select(F.col("key_1").alias("id"), "at")
-    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    lines = wanted.join(places, "id").select("id", "at.doc_id", "at.row", "at.line_no").groupBy("doc_id", "row").agg(F.collect_list(F.struct("line_no", "id")).alias("lines"))
+def words_of(ids: DataFrame, places: DataFrame, docs: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(id, words): the word hashes of the lines of classes, taken from the documents again."""
+    lines = ids.join(places, "id").select("id", "at.doc_id", "at.row", "at.line_no").groupBy("doc_id", "row").agg(F.collect_list(F.struct("line_no", "id")).alias("lines"))
     lines = materialize(lines, "lines")
     small = lines.count() <= broadcast_rows
     with_text = docs.alias("d").join((F.broadcast(lines) if small else lines).alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.row") == F.col("l.row"))).select("d.text", "l.lines")
@@ -102,7 +97,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
         for batch in batches:
             texts, lists = batch.column(0), batch.column(1)
             for a, b in wh.blocks(texts):
-                words, text, number = word_lines(texts.slice(a, b - a))
+                words, _, number = word_lines(texts.slice(a, b - a))
                 ids, sets = [], []
                 for i in range(a, b):
                     lo, hi = int(words.rows[i - a]), int(words.rows[i - a + 1])
@@ -114,55 +109,89 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "words"])
 
-    sets = materialize(with_text.mapInArrow(run, "id long, words array<long>"), "sets").dropDuplicates(["id"])
-    one, two = sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), sets.select(F.col("id").alias("b"), F.col("words").alias("wb"))
-    both = F.size(F.array_intersect("wa", "wb"))
-    same = pairs.join(one, "a").join(two, "b").where(both * 100 >= (F.size("wa") + F.size("wb") - both) * percent)
-    pa_, pb = places.select(F.col("id").alias("a"), F.col("at").alias("at_a")), places.select(F.col("id").alias("b"), F.col("at").alias("at_b"))
-    later = F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b"))
-    return same.select("a", "b").join(pa_, "a").join(pb, "b").select(later.alias("key_1")).distinct()
+    found = materialize(with_text.mapInArrow(run, "id long, words array<long>"), "words")
+    drop(docs.sparkSession, lines)
+    return found
+
+
+def confirmed(pairs: DataFrame, places: DataFrame, docs: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
+    """The ids ``later`` of ``pairs`` (later, earlier) whose full sets match."""
+    ids = pairs.select(F.col("later").alias("id")).unionAll(pairs.select("earlier")).distinct()
+    words = words_of(ids, places, docs, broadcast_rows)
+    one, two = words.select(F.col("id").alias("later"), F.col("words").alias("w")), words.select(F.col("id").alias("earlier"), F.col("words").alias("v"))
+    both = F.size(F.array_intersect("w", "v"))
+    same = pairs.join(one, "later").join(two, "earlier").where(both * 100 >= (F.size("w") + F.size("v") - both) * percent)
+    found = materialize(same.select(F.col("later").alias("id")).distinct(), "gone")
+    drop(docs.sparkSession, words)
+    return found
+
+
+def matched(pairs: DataFrame, places: DataFrame, docs: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
+    """The ids that an earlier class matches, of candidate ``pairs`` (a, b, far).
+
+    Each later class is compared with its closest candidate first (by the bitmaps); only where
+    that isn't a match do its other candidates follow.
+    """
+    at = lambda c: places.select(F.col("id").alias(c), F.col("at").alias(f"at_{c}"))
+    swap = F.col("at_a") > F.col("at_b")
+    both = pairs.join(at("a"), "a").join(at("b"), "b").where("at_a <> at_b")
+    ordered = materialize(both.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("later"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("earlier"), "far"), "pairs")
+    closest = ordered.groupBy("later").agg(F.min_by("earlier", "far").alias("earlier"))
+    first = confirmed(closest, places, docs, percent, broadcast_rows)
+    rest = ordered.select("later", "earlier").join(first.select(F.col("id").alias("later")), "later", "left_anti").join(closest, ["later", "earlier"], "left_anti").distinct()
+    rest = materialize(rest, "pairs")
+    found = first if rest.isEmpty() else first.unionAll(confirmed(rest, places, docs, percent, broadcast_rows)).distinct()
+    drop(docs.sparkSession, ordered, rest)
+    return found
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, broadcast_rows: int = 200_000) -> DataFrame:
     """(doc_id, row, lines): the numbers of removed lines, for documents that lose any.
 
-    docs: doc_id, row, text, with ``row`` telling texts of one doc_id apart.
+    docs: doc_id, row, text, with ``row`` telling texts of one doc_id apart. Up to
+    ``broadcast_rows`` documents' line numbers are broadcast to fetch words; more are joined.
     """
     hashes = lambda batch: (wh.hash_words(batch.column(0).slice(a, b - a)).hashes for a, b in wh.blocks(batch.column(0)))
     ranks = setjoin.rarity_ranks(docs.select("text"), hashes)
     lines = materialize(sketch(docs, percent, ranks), "lines")
     bands = [f"band_{i}" for i in range(BANDS)]
-    at = F.min(F.struct("doc_id", "row", "line_no")).alias("at")
-    classes = materialize(lines.groupBy("key_1", "key_2").agg(at, *(F.first(x).alias(x) for x in ("n", "bits", "prefix", *bands))), "classes")
-    lines_thin = materialize(lines.select("doc_id", "row", "line_no", "key_1", "key_2"), "lines")
-    drop(docs.sparkSession, lines)
+    own = F.struct("doc_id", "row", "line_no")
+    classes = materialize(lines.groupBy("key_1", "key_2").agg(F.min(own).alias("at"), *(F.first(x).alias(x) for x in ("n", "bits", *bands))), "classes")
+    places = classes.select(F.col("key_1").alias("id"), "at")
 
     # variants of one line: each class meets the leader of its buckets
-    able = classes.where("n > 3")
-    banded = able.select(F.col("key_1").alias("id"), "n", "bits", F.explode(F.array(*bands)).alias("bucket"))
+    banded = classes.where("n > 3").select(F.col("key_1").alias("id"), "n", "bits", F.explode(F.array(*bands)).alias("bucket"))
     leaders = banded.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("last"), F.min_by("n", "id").alias("nb"), F.min_by("bits", "id").alias("bb")).where("b <> last").drop("last")
     far = lambda xs, ys: F.bit_count(xs.bitwiseXOR(ys))
     close = lambda n, m, xs, ys: far(xs, ys) * (100 + percent) <= (n + m) * (100 - percent)
-    led = banded.join(leaders, "bucket").where((F.col("id") != F.col("b")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & close(F.col("n"), F.col("nb"), F.col("bits"), F.col("bb"))).select(F.col("id").alias("a"), "b").distinct()
-    gone = materialize(confirmed(materialize(led, "pairs"), classes, docs, percent, broadcast_rows), "gone")
+    led = banded.join(leaders, "bucket").where((F.col("id") != F.col("b")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & close(F.col("n"), F.col("nb"), F.col("bits"), F.col("bb")))
+    led = led.select(F.col("id").alias("a"), "b", far(F.col("bits"), F.col("bb")).alias("far")).distinct()
+    gone = matched(led, places, docs, percent, broadcast_rows)
 
     # the exact join: probing prefix of the longer set, indexing prefix of the shorter
-    flagged = able.select("key_1", "n", "bits", "prefix").join(gone.withColumn("gone", F.lit(True)), "key_1", "left").select(F.col("key_1").alias("id"), "n", "bits", "prefix", F.coalesce("gone", F.lit(False)).alias("gone"))
-    flagged = materialize(flagged, "flagged")
-    probe = flagged.select("id", "n", "bits", "gone", F.posexplode("prefix").alias("at", "token"))
+    flags = classes.select("key_1", "key_2", "at").join(gone.select(F.col("id").alias("key_1"), F.lit(1).alias("gone")), "key_1", "left")
+    firsts = lines.where("n > 3").select("key_1", "key_2", own.alias("own"), "n", "bits", "prefix").join(flags, ["key_1", "key_2"]).where("own = at")
+    firsts = materialize(firsts.select(F.col("key_1").alias("id"), "n", "bits", "prefix", F.coalesce("gone", F.lit(0)).alias("gone")), "firsts")
+    thin = materialize(lines.select("doc_id", "row", "line_no", "key_1", "key_2"), "lines")
+    drop(docs.sparkSession, lines)
+    # size, place and flag in one long: a row is four longs
+    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("at") * 2 + F.col("gone")
     short = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent) - F.lit(1e-9)).cast("int") + 1
-    index = flagged.select("id", "n", "bits", "gone", F.posexplode(F.slice("prefix", 1, short)).alias("at", "token"))
-    x, y = probe.alias("x"), index.alias("y")
-    near = setjoin.may_match(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent) & close(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"))
-    on = (F.col("x.token") == F.col("y.token")) & ((F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") > F.col("y.id")))) & ~(F.col("x.gone") & F.col("y.gone")) & near
-    pairs = materialize(x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
-    more = materialize(confirmed(pairs, classes, docs, percent, broadcast_rows), "gone")
-    gone = gone.unionAll(more).distinct()
-
-    kept = classes.select("key_1", "key_2", "at").join(gone.withColumn("gone", F.lit(True)), "key_1", "left").select("key_1", "key_2", F.when(F.col("gone").isNull(), F.col("at")).alias("at"))
-    own = F.struct("doc_id", "row", "line_no")
-    out = lines_thin.join(kept, ["key_1", "key_2"]).where(F.col("at").isNull() | (own != F.col("at")))
-    return out.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("lines"))
+    probe = firsts.select("id", "n", "bits", "gone", F.posexplode("prefix").alias("at", "token")).select("token", "id", "bits", packed.alias("meta"))
+    index = firsts.select("id", "n", "bits", "gone", F.posexplode(F.slice("prefix", 1, short)).alias("at", "token")).select("token", "id", "bits", packed.alias("meta"))
+    size = lambda s: F.shiftright(F.col(f"{s}.meta"), 32).cast("int")
+    place = lambda s: (F.shiftright(F.col(f"{s}.meta"), 1).bitwiseAND(0x7FFFFFFF)).cast("int")
+    live = F.col("x.meta").bitwiseAND(F.col("y.meta")).bitwiseAND(1) == 0
+    longer = (size("x") > size("y")) | ((size("x") == size("y")) & (F.col("x.id") > F.col("y.id")))
+    near = setjoin.may_match(size("x"), place("x"), size("y"), place("y"), percent) & close(size("x"), size("y"), F.col("x.bits"), F.col("y.bits"))
+    pairs = probe.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & longer & live & near)
+    pairs = materialize(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), far(F.col("x.bits"), F.col("y.bits")).alias("far")).distinct(), "pairs")
+    drop(docs.sparkSession, firsts)
+    gone = gone.unionAll(matched(pairs, places, docs, percent, broadcast_rows)).distinct()
+
+    kept = classes.select("key_1", "key_2", "at").join(gone.select(F.col("id").alias("key_1"), F.lit(1).alias("gone")), "key_1", "left").select("key_1", "key_2", F.when(F.col("gone").isNull(), F.col("at")).alias("at"))
+    out = thin.join(kept, ["key_1", "key_2"]).where(F.col("at").isNull() | (own != F.col("at")))
+    return materialize(out.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("lines")), "removed")
 
 
 def drop_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
