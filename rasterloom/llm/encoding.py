@@ -95,7 +95,7 @@ class PieceEncoder:
     are dropped beyond it, which costs time only).
     """
 
-    def __init__(self, path: str, cache_pieces: int = 700_000):
+    def __init__(self, path: str, cache_pieces: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)

@@ -9,8 +9,9 @@ row from then on. Between classes the join works with prefixes of rarity-ordered
 longer set's probing prefix and a shorter set's indexing prefix share a word, or the sets
 don't match. Candidates pass the length and positional filters and a bitmap filter (words
 toggle one of 64 bits; bits that differ count differing words at least); then full sets
-decide. Beforehand, classes meet the leader of their MinHash buckets, which settles large
-groups of variants of one line, so that their pairs are never listed.
+decide. Beforehand, classes meet the earliest class of their MinHash buckets, which settles
+large groups of variants of one line: once a line is known to go, it isn't looked up as the
+later line of a pair any more, so that such groups' pairs aren't listed.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from rasterloom.llm import near_dup, setjoin
 from rasterloom.llm import wordhash as wh
 from rasterloom.llm.shared import drop, materialize
 
-BANDS, ROWS = 2, 3
+BANDS, ROWS = 4, 3
 SCHEMA = "doc_id long, row long, line_no int, n int, key_1 long, key_2 long, bits long, prefix array<long>, " + ", ".join(f"band_{i} long" for i in range(BANDS))
 NAMES = [x.strip().split()[0] for x in SCHEMA.split(",")]
 
@@ -86,11 +87,11 @@ def sketch(docs: DataFrame, percent: int, ranks: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "row", "text").mapInArrow(run, SCHEMA)
 
 
-def words_of(ids: DataFrame, places: DataFrame, docs: DataFrame, broadcast_rows: int) -> DataFrame:
+def words_of(ids: DataFrame, places: DataFrame, docs: DataFrame, broadcast_lines: int) -> DataFrame:
     """(id, words): the word hashes of the lines of classes, taken from the documents again."""
     lines = ids.join(places, "id").select("id", "at.doc_id", "at.row", "at.line_no").groupBy("doc_id", "row").agg(F.collect_list(F.struct("line_no", "id")).alias("lines"))
     lines = materialize(lines, "lines")
-    small = lines.count() <= broadcast_rows
+    small = (lines.agg(F.sum(F.size("lines"))).first()[0] or 0) <= broadcast_lines
     with_text = docs.alias("d").join((F.broadcast(lines) if small else lines).alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.row") == F.col("l.row"))).select("d.text", "l.lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,42 +115,25 @@ def words_of(ids: DataFrame, places: DataFrame, docs: DataFrame, broadcast_rows:
     return found
 
 
-def confirmed(pairs: DataFrame, places: DataFrame, docs: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
-    """The ids ``later`` of ``pairs`` (later, earlier) whose full sets match."""
-    ids = pairs.select(F.col("later").alias("id")).unionAll(pairs.select("earlier")).distinct()
-    words = words_of(ids, places, docs, broadcast_rows)
-    one, two = words.select(F.col("id").alias("later"), F.col("words").alias("w")), words.select(F.col("id").alias("earlier"), F.col("words").alias("v"))
+def matched(pairs: DataFrame, places: DataFrame, docs: DataFrame, percent: int, broadcast_lines: int) -> DataFrame:
+    """The ids that an earlier class matches by full sets, of candidate ``pairs`` (a, b)."""
+    at = lambda c: places.select(F.col("id").alias(c), F.col("at").alias(f"at_{c}"))
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+    words = words_of(ids, places, docs, broadcast_lines)
+    one, two = words.select(F.col("id").alias("a"), F.col("words").alias("w")), words.select(F.col("id").alias("b"), F.col("words").alias("v"))
     both = F.size(F.array_intersect("w", "v"))
-    same = pairs.join(one, "later").join(two, "earlier").where(both * 100 >= (F.size("w") + F.size("v") - both) * percent)
-    found = materialize(same.select(F.col("later").alias("id")).distinct(), "gone")
+    same = pairs.join(one, "a").join(two, "b").where(both * 100 >= (F.size("w") + F.size("v") - both) * percent).select("a", "b")
+    same = materialize(same, "same")
     drop(docs.sparkSession, words)
-    return found
-
-
-def matched(pairs: DataFrame, places: DataFrame, docs: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
-    """The ids that an earlier class matches, of candidate ``pairs`` (a, b, far).
-
-    Each later class is compared with its closest candidate first (by the bitmaps); only where
-    that isn't a match do its other candidates follow.
-    """
-    at = lambda c: places.select(F.col("id").alias(c), F.col("at").alias(f"at_{c}"))
-    swap = F.col("at_a") > F.col("at_b")
-    both = pairs.join(at("a"), "a").join(at("b"), "b").where("at_a <> at_b")
-    ordered = materialize(both.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("later"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("earlier"), "far"), "pairs")
-    closest = ordered.groupBy("later").agg(F.min_by("earlier", "far").alias("earlier"))
-    first = confirmed(closest, places, docs, percent, broadcast_rows)
-    rest = ordered.select("later", "earlier").join(first.select(F.col("id").alias("later")), "later", "left_anti").join(closest, ["later", "earlier"], "left_anti").distinct()
-    rest = materialize(rest, "pairs")
-    found = first if rest.isEmpty() else first.unionAll(confirmed(rest, places, docs, percent, broadcast_rows)).distinct()
-    drop(docs.sparkSession, ordered, rest)
-    return found
+    later = same.join(at("a"), "a").join(at("b"), "b").where("at_a <> at_b").select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("id"))
+    return materialize(later.distinct(), "gone")
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, broadcast_rows: int = 200_000) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = 80, broadcast_lines: int = 2_000_000) -> DataFrame:
     """(doc_id, row, lines): the numbers of removed lines, for documents that lose any.
 
     docs: doc_id, row, text, with ``row`` telling texts of one doc_id apart. Up to
-    ``broadcast_rows`` documents' line numbers are broadcast to fetch words; more are joined.
+    ``broadcast_lines`` line numbers are broadcast to fetch words; more are joined.
     """
     hashes = lambda batch: (wh.hash_words(batch.column(0).slice(a, b - a)).hashes for a, b in wh.blocks(batch.column(0)))
     ranks = setjoin.rarity_ranks(docs.select("text"), hashes)
@@ -159,35 +143,37 @@ def removed_lines(docs: DataFrame, percent: int = 80, broadcast_rows: int = 200_
     classes = materialize(lines.groupBy("key_1", "key_2").agg(F.min(own).alias("at"), *(F.first(x).alias(x) for x in ("n", "bits", *bands))), "classes")
     places = classes.select(F.col("key_1").alias("id"), "at")
 
-    # variants of one line: each class meets the leader of its buckets
-    banded = classes.where("n > 3").select(F.col("key_1").alias("id"), "n", "bits", F.explode(F.array(*bands)).alias("bucket"))
-    leaders = banded.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("last"), F.min_by("n", "id").alias("nb"), F.min_by("bits", "id").alias("bb")).where("b <> last").drop("last")
+    # variants of one line: each class meets the earliest class of its buckets
+    banded = classes.where("n > 3").select(F.col("key_1").alias("id"), F.col("at.doc_id").alias("doc"), "n", "bits", F.explode(F.array(*bands)).alias("bucket"))
+    first = lambda c: F.min_by(c, F.coalesce("doc", F.lit(-(2**63))))
+    leaders = banded.groupBy("bucket").agg(first("id").alias("b"), first("n").alias("nb"), first("bits").alias("bb"), F.count("*").alias("size")).where("size > 1").drop("size")
     far = lambda xs, ys: F.bit_count(xs.bitwiseXOR(ys))
     close = lambda n, m, xs, ys: far(xs, ys) * (100 + percent) <= (n + m) * (100 - percent)
     led = banded.join(leaders, "bucket").where((F.col("id") != F.col("b")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & close(F.col("n"), F.col("nb"), F.col("bits"), F.col("bb")))
-    led = led.select(F.col("id").alias("a"), "b", far(F.col("bits"), F.col("bb")).alias("far")).distinct()
-    gone = matched(led, places, docs, percent, broadcast_rows)
+    gone = matched(materialize(led.select(F.col("id").alias("a"), "b").distinct(), "pairs"), places, docs, percent, broadcast_lines)
 
     # the exact join: probing prefix of the longer set, indexing prefix of the shorter
     flags = classes.select("key_1", "key_2", "at").join(gone.select(F.col("id").alias("key_1"), F.lit(1).alias("gone")), "key_1", "left")
     firsts = lines.where("n > 3").select("key_1", "key_2", own.alias("own"), "n", "bits", "prefix").join(flags, ["key_1", "key_2"]).where("own = at")
-    firsts = materialize(firsts.select(F.col("key_1").alias("id"), "n", "bits", "prefix", F.coalesce("gone", F.lit(0)).alias("gone")), "firsts")
+    firsts = materialize(firsts.select(F.col("key_1").alias("id"), F.coalesce("own.doc_id", F.lit(-(2**63))).alias("doc"), "n", "bits", "prefix", F.coalesce("gone", F.lit(0)).alias("gone")), "firsts")
     thin = materialize(lines.select("doc_id", "row", "line_no", "key_1", "key_2"), "lines")
     drop(docs.sparkSession, lines)
-    # size, place and flag in one long: a row is four longs
+    # size, place and flag in one long: a row is five longs
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("at") * 2 + F.col("gone")
     short = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent) - F.lit(1e-9)).cast("int") + 1
-    probe = firsts.select("id", "n", "bits", "gone", F.posexplode("prefix").alias("at", "token")).select("token", "id", "bits", packed.alias("meta"))
-    index = firsts.select("id", "n", "bits", "gone", F.posexplode(F.slice("prefix", 1, short)).alias("at", "token")).select("token", "id", "bits", packed.alias("meta"))
+    probe = firsts.select("id", "doc", "n", "bits", "gone", F.posexplode("prefix").alias("at", "token")).select("token", "id", "doc", "bits", packed.alias("meta"))
+    index = firsts.select("id", "doc", "n", "bits", "gone", F.posexplode(F.slice("prefix", 1, short)).alias("at", "token")).select("token", "id", "doc", "bits", packed.alias("meta"))
     size = lambda s: F.shiftright(F.col(f"{s}.meta"), 32).cast("int")
     place = lambda s: (F.shiftright(F.col(f"{s}.meta"), 1).bitwiseAND(0x7FFFFFFF)).cast("int")
-    live = F.col("x.meta").bitwiseAND(F.col("y.meta")).bitwiseAND(1) == 0
+    # the later of two lines isn't removed yet (of lines of one document, either)
+    flag = lambda s: F.col(f"{s}.meta").bitwiseAND(1)
+    live = F.when(F.col("x.doc") > F.col("y.doc"), flag("x")).when(F.col("x.doc") < F.col("y.doc"), flag("y")).otherwise(flag("x") * flag("y")) == 0
     longer = (size("x") > size("y")) | ((size("x") == size("y")) & (F.col("x.id") > F.col("y.id")))
     near = setjoin.may_match(size("x"), place("x"), size("y"), place("y"), percent) & close(size("x"), size("y"), F.col("x.bits"), F.col("y.bits"))
     pairs = probe.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & longer & live & near)
-    pairs = materialize(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), far(F.col("x.bits"), F.col("y.bits")).alias("far")).distinct(), "pairs")
+    pairs = materialize(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
     drop(docs.sparkSession, firsts)
-    gone = gone.unionAll(matched(pairs, places, docs, percent, broadcast_rows)).distinct()
+    gone = gone.unionAll(matched(pairs, places, docs, percent, broadcast_lines)).distinct()
 
     kept = classes.select("key_1", "key_2", "at").join(gone.select(F.col("id").alias("key_1"), F.lit(1).alias("gone")), "key_1", "left").select("key_1", "key_2", F.when(F.col("gone").isNull(), F.col("at")).alias("at"))
     out = thin.join(kept, ["key_1", "key_2"]).where(F.col("at").isNull() | (own != F.col("at")))
