@@ -80,23 +80,23 @@ def _neighbours(at: Column, first: int, step: int, count: int) -> tuple[Column,
     return low * step + first, high * step + first, F.when(low == high, F.lit(0.0)).otherwise(grid - low)
 
 
-def upsample_bilinear(grid: DataFrame, samples: DataFrame, window: tuple[int, int, int, int], xs: int, ys: int, values: list[str]) -> DataFrame:
-    """Every pixel of ``grid`` with bilinearly interpolated sample values: four neighbours meet by equi-joins."""
+def upsample_bilinear(grid: DataFrame, samples: DataFrame, window: tuple[int, int, int, int], xs: int, ys: int, values: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every pixel of ``grid`` (keys, y, x) with bilinearly interpolated sample values: four neighbours meet by equi-joins."""
     x0, y0, x1, y1 = window
     fx, fy = x0 + -x0 % xs, y0 + -y0 % ys
     nx, ny = (x1 - fx) // xs + 1, (y1 - fy) // ys + 1
     lx, hx, tx = _neighbours(F.col("x"), fx, xs, nx)
     ly, hy, ty = _neighbours(F.col("y"), fy, ys, ny)
     corners = F.array(*(F.struct(px.cast("long").alias("sx"), py.cast("long").alias("sy"), (wx * wy).alias("w")) for px, wx in ((lx, 1 - tx), (hx, tx)) for py, wy in ((ly, 1 - ty), (hy, ty))))
-    near = grid.select("y", "x", F.explode(corners).alias("c")).select("y", "x", "c.*").where("w > 0")
-    keyed = samples.select(F.col("x").alias("sx"), F.col("y").alias("sy"), *values)
-    return near.join(keyed, ["sx", "sy"]).groupBy("y", "x").agg(*(F.sum(F.col(v) * F.col("w")).alias(v) for v in values))
+    near = grid.select(*keys, "y", "x", F.explode(corners).alias("c")).select(*keys, "y", "x", "c.*").where("w > 0")
+    keyed = samples.select(*keys, F.col("x").alias("sx"), F.col("y").alias("sy"), *values)
+    return near.join(keyed, [*keys, "sx", "sy"]).groupBy(*keys, "y", "x").agg(*(F.sum(F.col(v) * F.col("w")).alias(v) for v in values))
 
 
-def luma_chroma_to_rgba(luma: DataFrame, chroma: DataFrame, weights=DEFAULT_LUMINANCE) -> DataFrame:
-    """(y, x, r, g, b, a) of full-size luminance (y, x, luma, alpha) and chroma (y, x, ry, by)."""
+def luma_chroma_to_rgba(luma: DataFrame, chroma: DataFrame, weights=DEFAULT_LUMINANCE, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, y, x, r, g, b, a) of full-size luminance (y, x, luma, alpha) and chroma (y, x, ry, by)."""
     r, g, b = to_rgba_luma_chroma(F.col("luma"), F.col("ry"), F.col("by"), weights)
-    return luma.join(chroma, ["y", "x"]).select("y", "x", r.alias("r"), g.alias("g"), b.alias("b"), F.coalesce("alpha", F.lit(1.0)).alias("a"))
+    return luma.join(chroma, [*keys, "y", "x"]).select(*keys, "y", "x", r.alias("r"), g.alias("g"), b.alias("b"), F.coalesce("alpha", F.lit(1.0)).alias("a"))
 
 
 def canonical_order(channels: DataFrame, part: str = "part") -> DataFrame:

@@ -66,8 +66,8 @@ def weight_table(spark: SparkSession, source: int, target: int, name: str, mode:
     return spark.createDataFrame(axis_weights(source, target, name, mode), "d long, s long, w double")
 
 
-def resize(pixels: DataFrame, values: list[str], size: tuple[int, int], target: tuple[int, int], name: str = "mitchell", mode: str = "clamp") -> DataFrame:
-    """(y, x, values): the image resized from ``size`` to ``target`` (width, height).
+def resize(pixels: DataFrame, values: list[str], size: tuple[int, int], target: tuple[int, int], name: str = "mitchell", mode: str = "clamp", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, y, x, values): every image (told apart by ``keys``) resized from ``size`` to ``target`` (width, height).
 
     Each pass multiplies with an axis' weights and sums by target pixel; partial sums are
     made before the shuffle. Sums are in double precision.
@@ -75,13 +75,13 @@ def resize(pixels: DataFrame, values: list[str], size: tuple[int, int], target:
     spark = pixels.sparkSession
     across = weight_table(spark, size[0], target[0], name, mode)
     down = weight_table(spark, size[1], target[1], name, mode)
-    rows = pixels.join(F.broadcast(across), F.col("x") == F.col("s")).groupBy("y", F.col("d").alias("x")).agg(*(F.sum(F.col(v) * F.col("w")).alias(v) for v in values))
-    return rows.join(F.broadcast(down), F.col("y") == F.col("s")).groupBy(F.col("d").alias("y"), "x").agg(*(F.sum(F.col(v) * F.col("w")).alias(v) for v in values))
+    rows = pixels.join(F.broadcast(across), F.col("x") == F.col("s")).groupBy(*keys, "y", F.col("d").alias("x")).agg(*(F.sum(F.col(v) * F.col("w")).alias(v) for v in values))
+    return rows.join(F.broadcast(down), F.col("y") == F.col("s")).groupBy(*keys, F.col("d").alias("y"), "x").agg(*(F.sum(F.col(v) * F.col("w")).alias(v) for v in values))
 
 
-def resize_alpha(pixels: DataFrame, size: tuple[int, int], target: tuple[int, int], name: str = "mitchell", mode: str = "clamp") -> DataFrame:
-    """(y, x, r, g, b, a) resized with colours weighted by alpha; colours of alpha 0 become 0."""
+def resize_alpha(pixels: DataFrame, size: tuple[int, int], target: tuple[int, int], name: str = "mitchell", mode: str = "clamp", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, y, x, r, g, b, a) resized with colours weighted by alpha; colours of alpha 0 become 0."""
     c = F.col
-    lifted = pixels.select("y", "x", *((c(v) * c("a")).alias(v) for v in "rgb"), "a")
-    small = resize(lifted, ["r", "g", "b", "a"], size, target, name, mode)
-    return small.select("y", "x", *(F.when(c("a") != 0, c(v) / c("a")).otherwise(F.lit(0.0)).alias(v) for v in "rgb"), "a")
+    lifted = pixels.select(*keys, "y", "x", *((c(v) * c("a")).alias(v) for v in "rgb"), "a")
+    small = resize(lifted, ["r", "g", "b", "a"], size, target, name, mode, keys)
+    return small.select(*keys, "y", "x", *(F.when(c("a") != 0, c(v) / c("a")).otherwise(F.lit(0.0)).alias(v) for v in "rgb"), "a")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import names
 from rasterloom.operators import channels
 from rasterloom.plans.catalog import query
-from rasterloom.plans.views import PIXELS_SQL, literal, pixels, table, values_sql
+from rasterloom.plans.views import IMAGES_SQL, LINES, PIXELS_SQL, images, literal, pixels, table, values_sql
 
 _NAMES_SQL = "cn AS (SELECT p_partkey AS channel_idx, replace(p_name, ' ', '.') AS name FROM part)"
 _LAST = "(length(name) - length(split_part(name, '.', -1)))"
@@ -88,35 +88,35 @@ def _expand(spark, sf_dir):
     return channels.point_expand(p, channels.subsample(p, 2, 3), (0, 0, 99, top), 2, 3)
 
 
-_HEIGHT = 10  # chroma planes cover the image's first rows, whatever the scale
+_HEIGHT = LINES
 _BILINEAR = (
-    f"WITH {PIXELS_SQL}, s AS (SELECT y, x, g, b FROM px WHERE x % 2 = 0 AND y % 2 = 0 AND y < {_HEIGHT}), p AS (SELECT y, x, r, a, "
+    f"WITH {IMAGES_SQL}, s AS (SELECT image, y, x, g, b FROM im WHERE x % 2 = 0 AND y % 2 = 0), p AS (SELECT image, y, x, r, a, "
     f"least(x // 2, 49) * 2 AS lx, least(x // 2 + 1, 49) * 2 AS hx, CASE WHEN x // 2 >= 49 THEN 0 ELSE x % 2 / 2.0::DOUBLE END AS tx, "
-    f"least(y // 2, {_HEIGHT // 2 - 1}) * 2 AS ly, least(y // 2 + 1, {_HEIGHT // 2 - 1}) * 2 AS hy, CASE WHEN y // 2 >= {_HEIGHT // 2 - 1} THEN 0 ELSE y % 2 / 2.0::DOUBLE END AS ty FROM px WHERE y < {_HEIGHT}), "
-    "u AS (SELECT p.*, {g} AS ry, {b} AS by_ FROM p JOIN s s00 ON s00.x = lx AND s00.y = ly JOIN s s10 ON s10.x = hx AND s10.y = ly JOIN s s01 ON s01.x = lx AND s01.y = hy JOIN s s11 ON s11.x = hx AND s11.y = hy) "
+    f"least(y // 2, {_HEIGHT // 2 - 1}) * 2 AS ly, least(y // 2 + 1, {_HEIGHT // 2 - 1}) * 2 AS hy, CASE WHEN y // 2 >= {_HEIGHT // 2 - 1} THEN 0 ELSE y % 2 / 2.0::DOUBLE END AS ty FROM im), "
+    "u AS (SELECT p.*, {g} AS ry, {b} AS by_ FROM p JOIN s s00 ON s00.image = p.image AND s00.x = lx AND s00.y = ly JOIN s s10 ON s10.image = p.image AND s10.x = hx AND s10.y = ly JOIN s s01 ON s01.image = p.image AND s01.x = lx AND s01.y = hy JOIN s s11 ON s11.image = p.image AND s11.x = hx AND s11.y = hy) "
 ).replace("{g}", "(s00.g * (1 - tx) + s10.g * tx) * (1 - ty) + (s01.g * (1 - tx) + s11.g * tx) * ty").replace("{b}", "(s00.b * (1 - tx) + s10.b * tx) * (1 - ty) + (s01.b * (1 - tx) + s11.b * tx) * ty")
 
 
 def _chroma(spark, sf_dir):
-    p = pixels(spark, sf_dir).where(f"y < {_HEIGHT}")
-    up = channels.upsample_bilinear(p.select("y", "x"), channels.subsample(p, 2, 2), (0, 0, 99, _HEIGHT - 1), 2, 2, ["g", "b"])
+    p = images(spark, sf_dir)
+    up = channels.upsample_bilinear(p.select("image", "y", "x"), channels.subsample(p, 2, 2), (0, 0, 99, _HEIGHT - 1), 2, 2, ["g", "b"], ("image",))
     return p, up
 
 
-@query("chroma_bilinear_upsample", _BILINEAR + "SELECT y, x, round(ry, 6) AS ry, round(by_, 6) AS by FROM u")
+@query("chroma_bilinear_upsample", _BILINEAR + "SELECT image, y, x, round(ry, 6) AS ry, round(by_, 6) AS by FROM u")
 def _bilinear(spark, sf_dir):
-    return _chroma(spark, sf_dir)[1].select("y", "x", F.round("g", 6).alias("ry"), F.round("b", 6).alias("by"))
+    return _chroma(spark, sf_dir)[1].select("image", "y", "x", F.round("g", 6).alias("ry"), F.round("b", 6).alias("by"))
 
 
 @query(
     "luma_chroma_to_rgba",
-    _BILINEAR + "SELECT y, x, round((ry + 1) * r, 6) AS r, round((r - (ry + 1) * r * 0.2126::DOUBLE - (by_ + 1) * r * 0.0722::DOUBLE) / 0.7152::DOUBLE, 6) AS g, round((by_ + 1) * r, 6) AS b, round(a, 6) AS a FROM u",
+    _BILINEAR + "SELECT image, y, x, round((ry + 1) * r, 6) AS r, round((r - (ry + 1) * r * 0.2126::DOUBLE - (by_ + 1) * r * 0.0722::DOUBLE) / 0.7152::DOUBLE, 6) AS g, round((by_ + 1) * r, 6) AS b, round(a, 6) AS a FROM u",
 )
 def _luma(spark, sf_dir):
     p, up = _chroma(spark, sf_dir)
-    luma = p.select("y", "x", F.col("r").alias("luma"), F.col("a").alias("alpha"))
-    out = channels.luma_chroma_to_rgba(luma, up.select("y", "x", F.col("g").alias("ry"), F.col("b").alias("by")))
-    return out.select("y", "x", *(F.round(c, 6).alias(c) for c in "rgba"))
+    luma = p.select("image", "y", "x", F.col("r").alias("luma"), F.col("a").alias("alpha"))
+    out = channels.luma_chroma_to_rgba(luma, up.select("image", "y", "x", F.col("g").alias("ry"), F.col("b").alias("by")), keys=("image",))
+    return out.select("image", "y", "x", *(F.round(c, 6).alias(c) for c in "rgba"))
 
 
 _PARTS = [(0, "Y", False), (0, "RY", False), (0, "BY", False), (1, "R", False), (1, "Y", False), (1, "RY", False), (1, "BY", False), (2, "Y", True), (2, "RY", True), (2, "BY", True), (3, "Y", False)]

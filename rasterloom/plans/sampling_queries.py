@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators import lut, resample
 from rasterloom.plans.catalog import query
-from rasterloom.plans.views import PIXELS_SQL, literal, pixels
+from rasterloom.plans.views import IMAGES_SQL, PIXELS_SQL, images, literal, pixels
 
 _WIDTH, _TARGET = 100, (33, 7)
 #: Filters in SQL, of d = |distance|.
@@ -37,26 +37,26 @@ def _axis_sql(name: str, size: str, target: int, kernel: str, mode: str) -> str:
 def _resize_sql(kernel: str, mode: str, values: list[str]) -> str:
     one = ", ".join(f"sum({v} * w) AS {v}" for v in values)
     return (
-        f"WITH {PIXELS_SQL}, lifted AS (SELECT y, x, value, r * a AS r, g * a AS g, b * a AS b, a FROM px WHERE y < 10), dim AS (SELECT 10 AS height), "
+        f"WITH {IMAGES_SQL}, lifted AS (SELECT image, y, x, value, r * a AS r, g * a AS g, b * a AS b, a FROM im), dim AS (SELECT 10 AS height), "
         f"{_axis_sql('ax', str(_WIDTH), _TARGET[0], kernel, mode)}, {_axis_sql('ay', 'height', _TARGET[1], kernel, mode)}, "
-        f"across AS (SELECT y, ax.d AS x, {one} FROM lifted JOIN ax ON x = ax.s GROUP BY 1, 2), down AS (SELECT ay.d AS y, x, {one} FROM across JOIN ay ON y = ay.s GROUP BY 1, 2) "
+        f"across AS (SELECT image, y, ax.d AS x, {one} FROM lifted JOIN ax ON x = ax.s GROUP BY 1, 2, 3), down AS (SELECT image, ay.d AS y, x, {one} FROM across JOIN ay ON y = ay.s GROUP BY 1, 2, 3) "
     )
 
 
 for _kernel in resample.FILTERS:
     for _mode in resample.EDGES:
 
-        @query(f"resize_{_kernel}_{_mode}", _resize_sql(_kernel, _mode, ["value"]) + "SELECT y, x, round(value, 6) AS value FROM down")
+        @query(f"resize_{_kernel}_{_mode}", _resize_sql(_kernel, _mode, ["value"]) + "SELECT image, y, x, round(value, 6) AS value FROM down")
         def _resize(spark, sf_dir, kernel=_kernel, mode=_mode):
-            """The image's first ten lines to 33 x 7: the size is the query's, not a sample of rows."""
-            p = pixels(spark, sf_dir).where("y < 10")
-            return resample.resize(p, ["value"], (_WIDTH, 10), _TARGET, kernel, mode).select("y", "x", F.round("value", 6).alias("value"))
+            """Every image of ten lines to 33 x 7."""
+            small = resample.resize(images(spark, sf_dir), ["value"], (_WIDTH, 10), _TARGET, kernel, mode, ("image",))
+            return small.select("image", "y", "x", F.round("value", 6).alias("value"))
 
 
-@query("resize_alpha_aware", _resize_sql("mitchell", "clamp", ["r", "g", "b", "a"]) + "SELECT y, x, " + ", ".join(f"round(CASE WHEN a <> 0 THEN {c} / a ELSE 0 END, 6) AS {c}" for c in "rgb") + ", round(a, 6) AS a FROM down")
+@query("resize_alpha_aware", _resize_sql("mitchell", "clamp", ["r", "g", "b", "a"]) + "SELECT image, y, x, " + ", ".join(f"round(CASE WHEN a <> 0 THEN {c} / a ELSE 0 END, 6) AS {c}" for c in "rgb") + ", round(a, 6) AS a FROM down")
 def _alpha(spark, sf_dir):
-    p = pixels(spark, sf_dir).where("y < 10")
-    return resample.resize_alpha(p, (_WIDTH, 10), _TARGET).select("y", "x", *(F.round(c, 6).alias(c) for c in "rgba"))
+    small = resample.resize_alpha(images(spark, sf_dir), (_WIDTH, 10), _TARGET, keys=("image",))
+    return small.select("image", "y", "x", *(F.round(c, 6).alias(c) for c in "rgba"))
 
 
 @query("resize_columns_whole_image", f"WITH {PIXELS_SQL} SELECT y, x // 4 AS x, round(avg(value), 6) AS value FROM px GROUP BY 1, 2")

@@ -27,6 +27,17 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(y.alias("y"), x.alias("x"), "value", (F.col("value") / 100).alias("r"), ((e % 97) / 97.0).alias("g"), ((F.col("user_id") % 31) / 31.0).alias("b"), (1.0 - (e % 5) / 10.0).alias("a"))
 
 
+#: Lines of an image where a query needs images of one size.
+LINES = 10
+#: images(image, y, x, value, r, g, b, a): the pixels as images of 10 lines.
+IMAGES_SQL = f"{PIXELS_SQL}, im AS (SELECT y // {LINES} AS image, y % {LINES} AS y, x, value, r, g, b, a FROM px)"
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pixels(spark, sf_dir)
+    return p.select(F.expr(f"y div {LINES}").alias("image"), (F.col("y") % LINES).alias("y"), "x", "value", *"rgba")
+
+
 def deep_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
