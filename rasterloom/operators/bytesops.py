@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_IN_ROW = Window.partitionBy("y").orderBy("x")
+
+def _in_row():
+    return Window.partitionBy("y").orderBy("x")
 
 
 def delta(rows: DataFrame, value: str, out: str) -> DataFrame:
     """Difference to the byte before, biased by 128, modulo 256; the first of a row stays."""
-    before = F.lag(value).over(_IN_ROW)
+    before = F.lag(value).over(_in_row())
     return rows.withColumn(out, F.when(before.isNull(), F.col(value)).otherwise(F.pmod(F.col(value) - before + 128, F.lit(256))))
 
 
 def undo_delta(rows: DataFrame, value: str, out: str) -> DataFrame:
     """The running sum that ``delta`` came from."""
-    total = F.sum(value).over(_IN_ROW.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn(out, F.pmod(total - (F.row_number().over(_IN_ROW) - 1) * 128, F.lit(256)))
+    total = F.sum(value).over(_in_row().rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(out, F.pmod(total - (F.row_number().over(_in_row()) - 1) * 128, F.lit(256)))
 
 
 def deinterleave(rows: DataFrame, width: int) -> DataFrame:
@@ -28,7 +30,7 @@ def deinterleave(rows: DataFrame, width: int) -> DataFrame:
 
 def runs(rows: DataFrame) -> DataFrame:
     """Runs of equal neighbours in a row (y, x, v -> y, v, first_x, length)."""
-    island = F.row_number().over(_IN_ROW) - F.row_number().over(Window.partitionBy("y", "v").orderBy("x"))
+    island = F.row_number().over(_in_row()) - F.row_number().over(Window.partitionBy("y", "v").orderBy("x"))
     return rows.withColumn("island", island).groupBy("y", "v", "island").agg(F.min("x").alias("first_x"), F.count("*").alias("length")).drop("island")
 
 

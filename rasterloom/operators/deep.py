@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_IN_ROW = Window.partitionBy("y").orderBy("x")
-_UP_TO = _IN_ROW.rowsBetween(Window.unboundedPreceding, 0)
+
+def _in_row():
+    return Window.partitionBy("y").orderBy("x")
 
 
 def row_cumulative(counts: DataFrame) -> DataFrame:
     """Inclusive running count per row (y, x, cnt -> + row_cum)."""
-    return counts.withColumn("row_cum", F.sum("cnt").over(_UP_TO))
+    return counts.withColumn("row_cum", F.sum("cnt").over(_in_row().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def counts_from_cumulative(table: DataFrame) -> DataFrame:
     """The counts of a per-row running count; a decrease is an error (y, x, row_cum -> + cnt)."""
-    before = F.coalesce(F.lag("row_cum").over(_IN_ROW), F.lit(0))
+    before = F.coalesce(F.lag("row_cum").over(_in_row()), F.lit(0))
     cnt = F.col("row_cum") - before
     return table.withColumn("cnt", F.when(cnt < 0, F.raise_error("Corrupt: cumulative counts decrease")).otherwise(cnt))
 
