@@ -116,17 +116,31 @@ def words_of(ids: DataFrame, places: DataFrame, docs: DataFrame, broadcast_lines
 
 
 def matched(pairs: DataFrame, places: DataFrame, docs: DataFrame, percent: int, broadcast_lines: int) -> DataFrame:
-    """The ids that an earlier class matches by full sets, of candidate ``pairs`` (a, b)."""
+    """The ids that an earlier class matches by full sets, of candidate ``pairs`` (a, b, far).
+
+    Words are fetched once. Each later class is compared with its closest candidate first (by
+    the bitmaps); only where that isn't a match do its other candidates follow, so that sets
+    travel about once per line and not once per pair.
+    """
     at = lambda c: places.select(F.col("id").alias(c), F.col("at").alias(f"at_{c}"))
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+    swap = F.col("at_a") > F.col("at_b")
+    both = pairs.join(at("a"), "a").join(at("b"), "b").where("at_a <> at_b")
+    ordered = materialize(both.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("later"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("earlier"), "far"), "pairs")
+    ids = ordered.select(F.col("later").alias("id")).unionAll(ordered.select("earlier")).distinct()
     words = words_of(ids, places, docs, broadcast_lines)
-    one, two = words.select(F.col("id").alias("a"), F.col("words").alias("w")), words.select(F.col("id").alias("b"), F.col("words").alias("v"))
-    both = F.size(F.array_intersect("w", "v"))
-    same = pairs.join(one, "a").join(two, "b").where(both * 100 >= (F.size("w") + F.size("v") - both) * percent).select("a", "b")
-    same = materialize(same, "same")
-    drop(docs.sparkSession, words)
-    later = same.join(at("a"), "a").join(at("b"), "b").where("at_a <> at_b").select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("id"))
-    return materialize(later.distinct(), "gone")
+    one, two = words.select(F.col("id").alias("later"), F.col("words").alias("w")), words.select(F.col("id").alias("earlier"), F.col("words").alias("v"))
+    common = F.size(F.array_intersect("w", "v"))
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        same = some.join(one, "later").join(two, "earlier").where(common * 100 >= (F.size("w") + F.size("v") - common) * percent)
+        return materialize(same.select(F.col("later").alias("id")).distinct(), "gone")
+
+    closest = materialize(ordered.groupBy("later").agg(F.min_by("earlier", "far").alias("earlier")), "pairs")
+    first = confirmed(closest)
+    rest = ordered.select("later", "earlier").join(first.select(F.col("id").alias("later")), "later", "left_anti").join(closest, ["later", "earlier"], "left_anti").distinct()
+    found = materialize(first.unionAll(confirmed(rest)).distinct(), "gone")
+    drop(docs.sparkSession, words, ordered, closest)
+    return found
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, broadcast_lines: int = 2_000_000) -> DataFrame:
@@ -150,7 +164,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, broadcast_lines: int = 2_0
     far = lambda xs, ys: F.bit_count(xs.bitwiseXOR(ys))
     close = lambda n, m, xs, ys: far(xs, ys) * (100 + percent) <= (n + m) * (100 - percent)
     led = banded.join(leaders, "bucket").where((F.col("id") != F.col("b")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & close(F.col("n"), F.col("nb"), F.col("bits"), F.col("bb")))
-    gone = matched(materialize(led.select(F.col("id").alias("a"), "b").distinct(), "pairs"), places, docs, percent, broadcast_lines)
+    gone = matched(materialize(led.select(F.col("id").alias("a"), "b", far(F.col("bits"), F.col("bb")).alias("far")).distinct(), "pairs"), places, docs, percent, broadcast_lines)
 
     # the exact join: probing prefix of the longer set, indexing prefix of the shorter
     flags = classes.select("key_1", "key_2", "at").join(gone.select(F.col("id").alias("key_1"), F.lit(1).alias("gone")), "key_1", "left")
@@ -171,7 +185,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, broadcast_lines: int = 2_0
     longer = (size("x") > size("y")) | ((size("x") == size("y")) & (F.col("x.id") > F.col("y.id")))
     near = setjoin.may_match(size("x"), place("x"), size("y"), place("y"), percent) & close(size("x"), size("y"), F.col("x.bits"), F.col("y.bits"))
     pairs = probe.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & longer & live & near)
-    pairs = materialize(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
+    pairs = materialize(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), far(F.col("x.bits"), F.col("y.bits")).alias("far")).distinct(), "pairs")
     drop(docs.sparkSession, firsts)
     gone = gone.unionAll(matched(pairs, places, docs, percent, broadcast_lines)).distinct()
 
