@@ -380,9 +380,10 @@ def header_bytes(part: Part, multipart: bool, chunks: int) -> bytes:
 
 def encode_block(part: Part, block: Block, planes: dict[str, np.ndarray]) -> bytes:
     """A flat block's chunk without the part number: planes as ``read_block`` gives them."""
-    if set(planes) != {c[0] for c in part.channels}:
-        raise ValueError("InvalidArgument: planes and channels differ")
     rows, at, parts = part.rows(block), dict.fromkeys(planes, 0), []
+    needed = {part.channels[r.channel][0] for r in rows}  # a subsampled channel may have no line here
+    if not needed <= set(planes) <= {c[0] for c in part.channels}:
+        raise ValueError("InvalidArgument: planes and channels differ")
     for r in rows:
         name = part.channels[r.channel][0]
         line = np.asarray(planes[name][at[name]]).astype(codecs.DTYPES[r.kind])

@@ -264,7 +264,11 @@ class _PushdownReader(_Reader):
 
 
 class ExrDataSource(DataSource):
-    """``spark.read.format("exr")``: register with ``register(spark)``."""
+    """``spark.read.format("exr")``: register with ``register(spark)``.
+
+    With ``option("pushdown", "true")``, and spark.sql.python.filterPushdown.enabled on, filters
+    choose the blocks that are read.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -274,10 +278,8 @@ class ExrDataSource(DataSource):
         return SCHEMAS[self.options.get("mode", "samples")]
 
     def reader(self, schema):
-        pushes = (s := SparkSession.getActiveSession()) is not None and s.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true"
-        if self.options.get("pushdown", "").lower() == "true" or pushes:
-            return _PushdownReader(self.options)
-        return _Reader(self.options)
+        # Spark refuses a reader with pushFilters unless spark.sql.python.filterPushdown.enabled is on
+        return (_PushdownReader if self.options.get("pushdown", "").lower() == "true" else _Reader)(self.options)
 
 
 def register(spark: SparkSession) -> None:
