@@ -8,8 +8,8 @@ Lines with equal sets form a class, kept by its earliest line, so a very common
 row from then on. Between classes the join works with prefixes of rarity-ordered words: a
 longer set's probing prefix and a shorter set's indexing prefix share a word, or the sets
 don't match. Candidates pass the length and positional filters and a bitmap filter (words
-toggle one of 64 bits; bits that differ count differing words at least); then full sets
-decide. Beforehand, classes meet the earliest class of their MinHash buckets, which settles
+toggle one of 64 bits, then of 256; bits that differ count differing words at least); then
+full sets decide. Beforehand, classes meet the earliest class of their MinHash buckets, which settles
 large groups of variants of one line: once a line is known to go, it isn't looked up as the
 later line of a pair any more, so that such groups' pairs aren't listed.
 """
@@ -17,6 +17,7 @@ later line of a pair any more, so that such groups' pairs aren't listed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from rasterloom.llm import wordhash as wh
 from rasterloom.llm.shared import drop, materialize
 
 BANDS, ROWS = 4, 3
-SCHEMA = "doc_id long, row long, line_no int, n int, key_1 long, key_2 long, bits long, prefix array<long>, " + ", ".join(f"band_{i} long" for i in range(BANDS))
+BITS = tuple(f"bits_{i}" for i in range(4))
+SCHEMA = "doc_id long, row long, line_no int, n int, key_1 long, key_2 long, bits_0 long, bits_1 long, bits_2 long, bits_3 long, prefix array<long>, " + ", ".join(f"band_{i} long" for i in range(BANDS))
 NAMES = [x.strip().split()[0] for x in SCHEMA.split(",")]
 
 
@@ -74,14 +76,15 @@ def sketch(docs: DataFrame, percent: int, ranks: np.ndarray) -> DataFrame:
                         key_1 = wh.mix(np.add.reduceat(wh.mix(keys + np.uint64(0x9E3779B97F4A7C15)), at))
                         key_2 = wh.mix(np.add.reduceat(wh.mix(keys ^ np.uint64(0xC2B2AE3D27D4EB4F)), at))
                     mixed = wh.mix(keys)
-                    bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), at)
+                    bit, word = np.uint64(1) << (mixed >> np.uint64(58)), mixed >> np.uint64(56) & np.uint64(3)
+                    bits = [np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), at) for k in range(4)]
                     length = np.where(n > 3, setjoin.prefix_length(n, percent), 0)  # shorter sets match equal ones only
                     place = np.arange(len(keys)) - np.repeat(at, n)
                     chosen = keys[place < np.repeat(length, n)].view(np.int64)
                     prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(chosen))
                     bands = near_dup.band_hashes(near_dup.row_signatures(keys, offsets, BANDS * ROWS), BANDS, ROWS)
                     take = pa.array(text + a)
-                    columns = [ids.take(take).cast(pa.int64()), rows.take(take), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (key_1, key_2, bits)), prefix]
+                    columns = [ids.take(take).cast(pa.int64()), rows.take(take), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (key_1, key_2, *bits)), prefix]
                     yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(bands[:, i])) for i in range(BANDS))], NAMES)
 
     return docs.select("doc_id", "row", "text").mapInArrow(run, SCHEMA)
@@ -89,7 +92,7 @@ def sketch(docs: DataFrame, percent: int, ranks: np.ndarray) -> DataFrame:
 
 def words_of(ids: DataFrame, places: DataFrame, docs: DataFrame, broadcast_lines: int) -> DataFrame:
     """(id, words): the word hashes of the lines of classes, taken from the documents again."""
-    lines = ids.join(places, "id").select("id", "at.doc_id", "at.row", "at.line_no").groupBy("doc_id", "row").agg(F.collect_list(F.struct("line_no", "id")).alias("lines"))
+    lines = ids.join(places.select("id", "at"), "id").select("id", "at.doc_id", "at.row", "at.line_no").groupBy("doc_id", "row").agg(F.collect_list(F.struct("line_no", "id")).alias("lines"))
     lines = materialize(lines, "lines")
     small = (lines.agg(F.sum(F.size("lines"))).first()[0] or 0) <= broadcast_lines
     with_text = docs.alias("d").join((F.broadcast(lines) if small else lines).alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.row") == F.col("l.row"))).select("d.text", "l.lines")
@@ -116,15 +119,17 @@ def words_of(ids: DataFrame, places: DataFrame, docs: DataFrame, broadcast_lines
 
 
 def matched(pairs: DataFrame, places: DataFrame, docs: DataFrame, percent: int, broadcast_lines: int) -> DataFrame:
-    """The ids that an earlier class matches by full sets, of candidate ``pairs`` (a, b, far).
+    """The ids that an earlier class matches by full sets, of candidate ``pairs`` (a, b).
 
     Words are fetched once. Each later class is compared with its closest candidate first (by
     the bitmaps); only where that isn't a match do its other candidates follow, so that sets
     travel about once per line and not once per pair.
     """
-    at = lambda c: places.select(F.col("id").alias(c), F.col("at").alias(f"at_{c}"))
+    at = lambda c: places.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("at", "n", *BITS)))
     swap = F.col("at_a") > F.col("at_b")
-    both = pairs.join(at("a"), "a").join(at("b"), "b").where("at_a <> at_b")
+    apart = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in BITS), F.lit(0))
+    both = pairs.join(at("a"), "a").join(at("b"), "b").where("at_a <> at_b").withColumn("far", apart)
+    both = both.where(F.col("far") * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
     ordered = materialize(both.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("later"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("earlier"), "far"), "pairs")
     ids = ordered.select(F.col("later").alias("id")).unionAll(ordered.select("earlier")).distinct()
     words = words_of(ids, places, docs, broadcast_lines)
@@ -154,21 +159,22 @@ def removed_lines(docs: DataFrame, percent: int = 80, broadcast_lines: int = 2_0
     lines = materialize(sketch(docs, percent, ranks), "lines")
     bands = [f"band_{i}" for i in range(BANDS)]
     own = F.struct("doc_id", "row", "line_no")
-    classes = materialize(lines.groupBy("key_1", "key_2").agg(F.min(own).alias("at"), *(F.first(x).alias(x) for x in ("n", "bits", *bands))), "classes")
-    places = classes.select(F.col("key_1").alias("id"), "at")
+    classes = materialize(lines.groupBy("key_1", "key_2").agg(F.min(own).alias("at"), *(F.first(x).alias(x) for x in ("n", *BITS, *bands))), "classes")
+    places = classes.select(F.col("key_1").alias("id"), "at", "n", *BITS)
+    folded = reduce(lambda x, y: x.bitwiseXOR(y), map(F.col, BITS)).alias("bits")  # the bitmap of 64 bits
 
     # variants of one line: each class meets the earliest class of its buckets
-    banded = classes.where("n > 3").select(F.col("key_1").alias("id"), F.col("at.doc_id").alias("doc"), "n", "bits", F.explode(F.array(*bands)).alias("bucket"))
+    banded = classes.where("n > 3").select(F.col("key_1").alias("id"), F.col("at.doc_id").alias("doc"), "n", folded, F.explode(F.array(*bands)).alias("bucket"))
     first = lambda c: F.min_by(c, F.coalesce("doc", F.lit(-(2**63))))
     leaders = banded.groupBy("bucket").agg(first("id").alias("b"), first("n").alias("nb"), first("bits").alias("bb"), F.count("*").alias("size")).where("size > 1").drop("size")
     far = lambda xs, ys: F.bit_count(xs.bitwiseXOR(ys))
     close = lambda n, m, xs, ys: far(xs, ys) * (100 + percent) <= (n + m) * (100 - percent)
     led = banded.join(leaders, "bucket").where((F.col("id") != F.col("b")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & close(F.col("n"), F.col("nb"), F.col("bits"), F.col("bb")))
-    gone = matched(materialize(led.select(F.col("id").alias("a"), "b", far(F.col("bits"), F.col("bb")).alias("far")).distinct(), "pairs"), places, docs, percent, broadcast_lines)
+    gone = matched(materialize(led.select(F.col("id").alias("a"), "b").distinct(), "pairs"), places, docs, percent, broadcast_lines)
 
     # the exact join: probing prefix of the longer set, indexing prefix of the shorter
     flags = classes.select("key_1", "key_2", "at").join(gone.select(F.col("id").alias("key_1"), F.lit(1).alias("gone")), "key_1", "left")
-    firsts = lines.where("n > 3").select("key_1", "key_2", own.alias("own"), "n", "bits", "prefix").join(flags, ["key_1", "key_2"]).where("own = at")
+    firsts = lines.where("n > 3").select("key_1", "key_2", own.alias("own"), "n", folded, "prefix").join(flags, ["key_1", "key_2"]).where("own = at")
     firsts = materialize(firsts.select(F.col("key_1").alias("id"), F.coalesce("own.doc_id", F.lit(-(2**63))).alias("doc"), "n", "bits", "prefix", F.coalesce("gone", F.lit(0)).alias("gone")), "firsts")
     thin = materialize(lines.select("doc_id", "row", "line_no", "key_1", "key_2"), "lines")
     drop(docs.sparkSession, lines)
@@ -185,7 +191,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, broadcast_lines: int = 2_0
     longer = (size("x") > size("y")) | ((size("x") == size("y")) & (F.col("x.id") > F.col("y.id")))
     near = setjoin.may_match(size("x"), place("x"), size("y"), place("y"), percent) & close(size("x"), size("y"), F.col("x.bits"), F.col("y.bits"))
     pairs = probe.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & longer & live & near)
-    pairs = materialize(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), far(F.col("x.bits"), F.col("y.bits")).alias("far")).distinct(), "pairs")
+    pairs = materialize(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
     drop(docs.sparkSession, firsts)
     gone = gone.unionAll(matched(pairs, places, docs, percent, broadcast_lines)).distinct()
 
