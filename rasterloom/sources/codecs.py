@@ -19,6 +19,10 @@ SIZES = {"UINT": 4, "HALF": 2, "FLOAT": 4}
 DTYPES = {"UINT": np.dtype("<u4"), "HALF": np.dtype("<f2"), "FLOAT": np.dtype("<f4")}
 
 
+#: Deflate level: the format's libraries use a fast one, as the predictor does most of the work.
+LEVEL = 4
+
+
 class Unsupported(ValueError):
     pass
 
@@ -63,11 +67,11 @@ def predict(data: bytes) -> np.ndarray:
 
 
 def unpredict(data: bytes) -> bytes:
-    d = np.frombuffer(data, np.uint8).astype(np.int64)
+    d = np.frombuffer(data, np.uint8) + np.uint8(128)  # modulo 256, as the sums are
     if not len(d):
         return b""
-    d[1:] -= 128
-    t = (np.cumsum(d) & 255).astype(np.uint8)
+    d[:1] -= np.uint8(128)
+    t = np.cumsum(d, dtype=np.uint8)
     out, half = np.empty_like(t), (len(t) + 1) // 2
     out[0::2], out[1::2] = t[:half], t[half:]
     return out.tobytes()
@@ -149,7 +153,7 @@ def pxr24_encode(data: bytes, rows: list[Row]) -> bytes:
         d = v.copy()
         d[1:] -= v[:-1]
         parts += [(d >> np.uint32(8 * k) & np.uint32(255)).astype(np.uint8).tobytes() for k in reversed(range(_PLANES[r.kind]))]
-    return zlib.compress(b"".join(parts))
+    return zlib.compress(b"".join(parts), LEVEL)
 
 
 def pxr24_decode(payload: bytes, rows: list[Row]) -> bytes:
@@ -281,7 +285,7 @@ def encode(compression: str, data: bytes, rows: list[Row] | None = None) -> byte
         case "RLE":
             packed = rle_encode(predict(data))
         case "ZIPS" | "ZIP":
-            packed = zlib.compress(predict(data).tobytes())
+            packed = zlib.compress(predict(data), LEVEL)
         case "ZSTD":
             packed = zstandard.ZstdCompressor(level=3).compress(data)
         case "PXR24" if rows is not None:

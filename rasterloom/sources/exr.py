@@ -89,6 +89,11 @@ class Part:
     def deep(self) -> bool:
         return self.kind.startswith("deep")
 
+    @property
+    def plain(self) -> bool:
+        """No channel is subsampled."""
+        return all(c[2] == c[3] == 1 for c in self.channels)
+
     def blocks(self) -> list[Block]:
         x0, y0, x1, y1 = self.window
         if not self.tiled:
@@ -314,6 +319,14 @@ def read_block(source, file: File, part: Part, block: Block, limits: Limits = Li
     if len(payload) != head[-1]:
         raise Corrupt("a payload is cut off")
     data = codecs.decode(part.compression, payload, size, rows)
+    if part.plain:  # every line has every channel: planes are columns of one array
+        h = block.box[3] - block.box[1] + 1
+        lines, place, planes = np.frombuffer(data, np.uint8).reshape(h, -1), 0, {}
+        for name, kind, *_ in part.channels:
+            width = codecs.SIZES[kind] * (block.box[2] - block.box[0] + 1)
+            planes[name] = np.ascontiguousarray(lines[:, place : place + width]).view(codecs.DTYPES[kind])
+            place += width
+        return planes
     out: dict[str, list] = {}
     for r in rows:
         out.setdefault(part.channels[r.channel][0], []).append(np.frombuffer(data, codecs.DTYPES[r.kind], r.width, r.start))
@@ -380,7 +393,16 @@ def header_bytes(part: Part, multipart: bool, chunks: int) -> bytes:
 
 def encode_block(part: Part, block: Block, planes: dict[str, np.ndarray]) -> bytes:
     """A flat block's chunk without the part number: planes as ``read_block`` gives them."""
-    rows, at, parts = part.rows(block), dict.fromkeys(planes, 0), []
+    rows = part.rows(block)
+    place = struct.pack("<4i", block.tile_x, block.tile_y, block.level_x, block.level_y) if part.tiled else struct.pack("<i", block.box[1])
+    if part.plain and set(planes) == {c[0] for c in part.channels}:
+        shape = (block.box[3] - block.box[1] + 1, block.box[2] - block.box[0] + 1)
+        if any(np.shape(p) != shape for p in planes.values()):
+            raise ValueError("InvalidArgument: a plane has another size")
+        lines = [np.ascontiguousarray(planes[n], codecs.DTYPES[k]).view(np.uint8) for n, k, *_ in part.channels]
+        payload = codecs.encode(part.compression, np.concatenate(lines, axis=1).tobytes(), rows)
+        return place + struct.pack("<i", len(payload)) + payload
+    at, parts = dict.fromkeys(planes, 0), []
     needed = {part.channels[r.channel][0] for r in rows}  # a subsampled channel may have no line here
     if not needed <= set(planes) <= {c[0] for c in part.channels}:
         raise ValueError("InvalidArgument: planes and channels differ")
@@ -392,7 +414,6 @@ def encode_block(part: Part, block: Block, planes: dict[str, np.ndarray]) -> byt
         parts.append(line.tobytes())
         at[name] += 1
     payload = codecs.encode(part.compression, b"".join(parts), rows)
-    place = struct.pack("<4i", block.tile_x, block.tile_y, block.level_x, block.level_y) if part.tiled else struct.pack("<i", block.box[1])
     return place + struct.pack("<i", len(payload)) + payload
 
 
