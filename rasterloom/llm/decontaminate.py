@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm import wordhash as wh
+from rasterloom.llm.shared import bounded_batches
 
 #: Marked positions are 1; all masks have the same weight.
 MASKS = ("11101011", "1101100111", "111001011")
@@ -133,6 +134,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, bl
     The benchmark is a stated query set: blocks of ``block_items`` items go to the tasks, one
     after another, and each block meets all documents.
     """
+    bounded_batches(docs.sparkSession)
     items = benchmark.select("item_id", "text").where("text is not null").distinct()
     count = items.count()
     parts = -(-count // block_items)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm import wordhash as wh
 from rasterloom.llm.samples import folded, thinned
+from rasterloom.llm.shared import bounded_batches
 
 _LETTER = re.compile(r"[^\W\d_]")
 _CLEAN = wh._LOWER.copy()
@@ -148,6 +149,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     model's limit are ``rejected``. The whole text counts. Repeated rows stay; further
     columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,6 +182,7 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
 
     Without a model (nothing to learn from) only texts without letters are rejected.
     """
+    bounded_batches(docs.sparkSession)
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

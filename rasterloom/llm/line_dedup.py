@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from rasterloom.llm import near_dup, setjoin
 from rasterloom.llm import wordhash as wh
-from rasterloom.llm.shared import drop, materialize
+from rasterloom.llm.shared import bounded_batches, drop, materialize
 
 BANDS, ROWS = 4, 3
 BITS = tuple(f"bits_{i}" for i in range(4))
@@ -154,6 +154,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, broadcast_lines: int = 2_0
     docs: doc_id, row, text, with ``row`` telling texts of one doc_id apart. Up to
     ``broadcast_lines`` line numbers are broadcast to fetch words; more are joined.
     """
+    bounded_batches(docs.sparkSession)
     hashes = lambda batch: (wh.hash_words(batch.column(0).slice(a, b - a)).hashes for a, b in wh.blocks(batch.column(0)))
     ranks = setjoin.rarity_ranks(docs.select("text"), hashes)
     lines = materialize(sketch(docs, percent, ranks), "lines")

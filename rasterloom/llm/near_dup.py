@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from rasterloom.llm import setjoin
 from rasterloom.llm import wordhash as wh
 from rasterloom.llm.components import components
-from rasterloom.llm.shared import drop, materialize
+from rasterloom.llm.shared import bounded_batches, drop, materialize
 
 U32 = np.uint32
 
@@ -88,6 +88,7 @@ def _texts_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit key of the set (two longs), one long per band."""
+    bounded_batches(docs.sparkSession)
     names = ["doc_id", "n_shingles", "key_1", "key_2", *(f"band_{i}" for i in range(bands))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.samples import thinned
-from rasterloom.llm.shared import materialize
+from rasterloom.llm.shared import bounded_batches, materialize
 
 SUB = 8  # bits of a substring: its table has 256 values
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -154,6 +154,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = 409
     that finds fewer than k rows within the radius is searched again among all rows. An empty
     table gives an empty result.
     """
+    bounded_batches(vectors.sparkSession)
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     some = thinned(vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding"), ["vec_id"], sample).toArrow()

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 
 from rasterloom.llm import files
 from rasterloom.llm.encoding import encoder_for
+from rasterloom.llm.shared import bounded_batches
 
 TIERS = (2048, 1024, 512, 256)
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, window long, step_id long, ids binary"
@@ -107,6 +108,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
     (partition, then order); ``window`` is the context size, which the ids fill
     exactly; ``step_id`` groups windows of one size that hold ``step_ids`` ids together.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail = encoder_for(tokenizer), np.array([end_id], "<u4").tobytes()

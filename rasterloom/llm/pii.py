@@ -19,6 +19,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rasterloom.llm.shared import bounded_batches
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
 
@@ -153,6 +155,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     docs: doc_id, text; other columns are ignored. Null and empty texts have no spans;
     repeated rows give repeated results; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

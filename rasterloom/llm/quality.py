@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm import wordhash as wh
 from rasterloom.llm.samples import folded, thinned
+from rasterloom.llm.shared import bounded_batches
 
 _CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "comma", "symbol", "quote", "high")
 _CLASS = np.full(256, 7, np.int64)
@@ -152,6 +153,7 @@ def score(docs: DataFrame, machine: Machine | None, limit: float = 0.3) -> DataF
     A null text is empty and gets a score as well; without a machine scores are 0.5.
     Repeated rows stay; further columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

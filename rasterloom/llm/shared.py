@@ -37,6 +37,22 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows and bytes of an Arrow batch: texts are long, and both sides hold whole batches.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small, for this and later jobs."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < _number(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _number(text: str) -> int:
+    digits = "".join(c for c in text if c.isdigit())
+    return int(digits or 0) << (20 if text.lower().endswith(("m", "mb")) else 0)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

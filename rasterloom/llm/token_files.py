@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm import files
 from rasterloom.llm.encoding import encoder_for
-from rasterloom.llm.shared import materialize
+from rasterloom.llm.shared import bounded_batches, materialize
 
 # Fixed values of the zstandard frame and seekable formats.
 SKIPPABLE_INDEX = 0x184D2A5B
@@ -128,6 +128,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     document ends with ``end_id``. Texts are range-partitioned once, before encoding, so
     that ids are written where they are made.
     """
+    bounded_batches(docs.sparkSession)
     schema = docs.sparkSession.createDataFrame([], MANIFEST).schema
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm import files
-from rasterloom.llm.shared import materialize
+from rasterloom.llm.shared import bounded_batches, materialize
 
 # Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -176,6 +176,7 @@ def write_archives(pages: DataFrame, folder: str, dictionary_rows: int = 256, mi
     shuffled by digest: only (page_id, digest) is, and its result meets the pages by
     page_id, so that no task gets all copies.
     """
+    bounded_batches(pages.sparkSession)
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     wanted = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), body.alias("payload"), F.sha1(body).alias("digest"))
     thin = pages.select("page_id", F.sha1(body).alias("digest"), F.octet_length(body).alias("size")).where(F.col("page_id").isNotNull() & (F.col("size") >= min_dedup_bytes))
