@@ -35,18 +35,18 @@ def deinterleave(pixels: DataFrame, columns: list[str]) -> DataFrame:
     return pixels.select("y", "x", F.explode(F.array(*(F.struct(F.lit(n).alias("channel"), F.col(c).alias("value")) for n, c in zip(parts, columns, strict=True)))).alias("s")).select("y", "x", "s.channel", "s.value")
 
 
-def rgba(samples: DataFrame, preview: bool = False) -> DataFrame:
-    """(y, x, r, g, b, a) of a layer's (y, x, channel, value).
+def rgba(samples: DataFrame, preview: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, y, x, r, g, b, a) of a layer's (y, x, channel, value).
 
     A lone channel is repeated in all four (with ``preview`` alpha is 1 instead); else R, G and B are
     needed and a missing A is 1.
     """
-    one = samples.groupBy("y", "x").agg(F.count("*").alias("n"), F.max("value").alias("only"), *(F.max(F.when(F.col("channel") == c, F.col("value"))).alias(c.lower()) for c in "RGBA"))
+    one = samples.groupBy(*keys, "y", "x").agg(F.count("*").alias("n"), F.max("value").alias("only"), *(F.max(F.when(F.col("channel") == c, F.col("value"))).alias(c.lower()) for c in "RGBA"))
     lone = F.col("n") == 1
     bad = F.raise_error("InvalidData: a layer needs the channels R, G and B")
     color = [F.when(lone, F.col("only")).when(F.col(c).isNull(), bad.cast("double")).otherwise(F.col(c)).alias(c) for c in "rgb"]
     alpha = F.when(lone, F.lit(1.0) if preview else F.col("only")).otherwise(F.coalesce("a", F.lit(1.0))).alias("a")
-    return one.select("y", "x", *color, alpha)
+    return one.select(*keys, "y", "x", *color, alpha)
 
 
 def is_luminance_chroma(channels: DataFrame) -> DataFrame:

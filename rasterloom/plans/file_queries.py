@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rasterloom.operators import channels
 from rasterloom.plans.catalog import query
 from rasterloom.plans.views import PIXELS_SQL, pixels
-from rasterloom.sources import frames
+from rasterloom.sources import frames, images
 
 _LOCAL: dict[str, str] = {}
 
@@ -87,3 +87,27 @@ def _line_range(spark, sf_dir):
 @query("image_signature", f"WITH {PIXELS_SQL} SELECT DISTINCT (y // {_LINES})::VARCHAR AS image, true AS is_image FROM px")
 def _signature(spark, sf_dir):
     return _images(spark, sf_dir, "NONE").select(F.col("file_id").alias("image"), frames.is_image(F.col("content")).alias("is_image"))
+
+
+@query("image_load_rgba", f"WITH {PIXELS_SQL} SELECT (y // {_LINES})::VARCHAR AS image, y % {_LINES} AS y, x, r::FLOAT::DOUBLE AS r, g::FLOAT::DOUBLE AS g, b::FLOAT::DOUBLE AS b, 1.0::DOUBLE AS a FROM px")
+def _load_rgba(spark, sf_dir):
+    """Interleaved pixels saved as three channels and loaded as RGBA."""
+    p = pixels(spark, sf_dir).select(F.expr(f"y div {_LINES}").cast("string").alias("file_id"), (F.col("y") % _LINES).cast("int").alias("y"), F.col("x").cast("int").alias("x"), *"rgba")
+    files = images.encode_rgba(p, 3).select(F.col("file_id").alias("path"), "content")
+    back = images.rgba(frames.decode_images(files))
+    return back.select(F.col("file_id").alias("image"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), *"rgba")
+
+
+@query("image_layers", f"WITH {PIXELS_SQL}, n(name) AS (VALUES ('beauty.B'), ('beauty.R'), ('depth.Z'), ('root')) SELECT DISTINCT (y // {_LINES})::VARCHAR AS image, split_part(name, '.', 1) AS layer, CASE split_part(name, '.', 1) WHEN 'beauty' THEN 0 ELSE 2 END::BIGINT AS first_idx FROM px, n WHERE name <> 'root'")
+def _layers(spark, sf_dir):
+    """Layers of files with channels beauty.B, beauty.R, depth.Z and root."""
+    rows = pixels(spark, sf_dir).select(F.expr(f"y div {_LINES}").cast("string").alias("file_id"), (F.col("y") % _LINES).cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.explode(F.array(*map(F.lit, ("beauty.B", "beauty.R", "depth.Z", "root")))).alias("channel"), "value")
+    files = frames.encode_images(rows, "ZSTD").select(F.col("file_id").alias("path"), "content")
+    found = images.layers(frames.decode_images(files, "header"))
+    return found.select(F.col("file_id").alias("image"), "layer", F.col("first_idx").cast("long").alias("first_idx"))
+
+
+@query("image_summaries", f"WITH {PIXELS_SQL} SELECT (y // {_LINES})::VARCHAR AS image, 'part 0 | scanlineimage | 100x' || (max(y % {_LINES}) + 1) || ' | (0, 0)-(99, ' || max(y % {_LINES}) || ') | RLE | INCREASING_Y | G:FLOAT, R:FLOAT' AS summary FROM px GROUP BY 1")
+def _summaries(spark, sf_dir):
+    files = _images(spark, sf_dir, "RLE").select(F.col("file_id").alias("path"), "content")
+    return images.describe(frames.decode_images(files, "header")).select(F.col("file_id").alias("image"), "summary")
