@@ -36,7 +36,7 @@ def _shown(samples):
     return samples.select(F.regexp_extract("file_id", r"(\d+)(\.exr)?$", 1).alias("image"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "channel", "value")
 
 
-for _codec in ("NONE", "RLE", "ZIPS", "ZIP", "ZSTD"):
+for _codec in ("NONE", "RLE", "ZIPS", "ZIP", "ZSTD", "PIZ"):
 
     @query(f"image_roundtrip_{_codec.lower()}", _LONG.format(v="value::FLOAT::DOUBLE"))
     def _round_trip(spark, sf_dir, codec=_codec):

@@ -1,6 +1,6 @@
 """Block codecs: canonical bytes (line by line, channel by channel) to payloads and back.
 
-NONE, RLE, ZIPS, ZIP, ZSTD, PXR24, B44 and B44A work both ways. PIZ, DWAA, DWAB and HTJ2K blocks
+NONE, RLE, ZIPS, ZIP, ZSTD, PIZ, PXR24, B44 and B44A work both ways. DWAA, DWAB and HTJ2K blocks
 raise ``Unsupported`` (unless a writer stored them raw).
 """
 
@@ -12,6 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import zstandard
 
+from rasterloom.sources import piz
+
 # Compression codes of the format.
 COMPRESSIONS = ("NONE", "RLE", "ZIPS", "ZIP", "PIZ", "PXR24", "B44", "B44A", "DWAA", "DWAB", "HTJ2K256", "HTJ2K32", "ZSTD")
 PIXEL_TYPES = ("UINT", "HALF", "FLOAT")
@@ -267,6 +269,28 @@ def b44_decode(payload: bytes, rows: list[Row]) -> bytes:
     return b"".join(next(taken[r.channel]) for r in rows)
 
 
+def _word_planes(rows: list[Row]) -> list[tuple[int, int, int]]:
+    """Lines, columns and 16-bit words of a sample, by channel."""
+    lines: dict[int, list[Row]] = {}
+    for r in rows:
+        lines.setdefault(r.channel, []).append(r)
+    return [(len(own), own[0].width, SIZES[own[0].kind] // 2) for _, own in sorted(lines.items())]
+
+
+def piz_encode(data: bytes, rows: list[Row]) -> bytes:
+    planes = _planes(data, rows)
+    return piz.encode([np.frombuffer(b"".join(planes[c]), "<u2").reshape(shape) for c, shape in zip(sorted(planes), _word_planes(rows), strict=True)])
+
+
+def piz_decode(payload: bytes, rows: list[Row]) -> bytes:
+    try:
+        planes = piz.decode(payload, _word_planes(rows))
+    except piz.BadData as e:
+        raise Corrupt(str(e)) from e
+    lines = {c: iter(p) for c, p in zip(sorted({r.channel for r in rows}), planes, strict=True)}
+    return b"".join(next(lines[r.channel]).astype("<u2").tobytes() for r in rows)
+
+
 def _inflate(payload: bytes) -> bytes:
     try:
         return zlib.decompress(payload)
@@ -288,6 +312,8 @@ def encode(compression: str, data: bytes, rows: list[Row] | None = None) -> byte
             packed = zlib.compress(predict(data), LEVEL)
         case "ZSTD":
             packed = zstandard.ZstdCompressor(level=3).compress(data)
+        case "PIZ" if rows is not None:
+            packed = piz_encode(data, rows)
         case "PXR24" if rows is not None:
             packed = pxr24_encode(data, rows)
         case "B44" | "B44A" if rows is not None:
@@ -314,6 +340,8 @@ def decode(compression: str, payload: bytes, size: int, rows: list[Row] | None =
                 data = zstandard.ZstdDecompressor().decompress(payload, max_output_size=max(1, size))
             except zstandard.ZstdError as e:
                 raise Corrupt(f"bad zstandard data: {e}") from e
+        case "PIZ" if rows is not None:
+            data = piz_decode(payload, rows)
         case "PXR24" if rows is not None:
             data = pxr24_decode(payload, rows)
         case "B44" | "B44A" if rows is not None:
