@@ -8,7 +8,7 @@ Lines with equal sets form a class, kept by its earliest line, so a very common
 row from then on. Between classes the join works with prefixes of rarity-ordered words: a
 longer set's probing prefix and a shorter set's indexing prefix share a word, or the sets
 don't match. Candidates pass the length and positional filters and a bitmap filter (words
-toggle one of 64 bits, then of 256; bits that differ count differing words at least); then
+toggle one of 128 bits, then of 256; bits that differ count differing words at least); then
 full sets decide. Beforehand, classes meet the earliest class of their MinHash buckets, which settles
 large groups of variants of one line: once a line is known to go, it isn't looked up as the
 later line of a pair any more, so that such groups' pairs aren't listed.
@@ -162,36 +162,42 @@ def removed_lines(docs: DataFrame, percent: int = 80, broadcast_lines: int = 2_0
     own = F.struct("doc_id", "row", "line_no")
     classes = materialize(lines.groupBy("key_1", "key_2").agg(F.min(own).alias("at"), *(F.first(x).alias(x) for x in ("n", *BITS, *bands))), "classes")
     places = classes.select(F.col("key_1").alias("id"), "at", "n", *BITS)
-    folded = reduce(lambda x, y: x.bitwiseXOR(y), map(F.col, BITS)).alias("bits")  # the bitmap of 64 bits
+    half = [reduce(lambda x, y: x.bitwiseXOR(y), map(F.col, two)).alias(n) for n, two in (("b1", BITS[:2]), ("b2", BITS[2:]))]  # the bitmap of 128 bits
+    far = lambda x, y: F.bit_count(F.col(f"{x}b1").bitwiseXOR(F.col(f"{y}b1"))) + F.bit_count(F.col(f"{x}b2").bitwiseXOR(F.col(f"{y}b2")))
+    close = lambda x, y, n, m: far(x, y) * (100 + percent) <= (n + m) * (100 - percent)
 
     # variants of one line: each class meets the earliest class of its buckets
-    banded = classes.where("n > 3").select(F.col("key_1").alias("id"), F.col("at.doc_id").alias("doc"), "n", folded, F.explode(F.array(*bands)).alias("bucket"))
+    banded = classes.where("n > 3").select(F.col("key_1").alias("id"), F.col("at.doc_id").alias("doc"), "n", *half, F.explode(F.array(*bands)).alias("bucket"))
     first = lambda c: F.min_by(c, F.coalesce("doc", F.lit(-(2**63))))
-    leaders = banded.groupBy("bucket").agg(first("id").alias("b"), first("n").alias("nb"), first("bits").alias("bb"), F.count("*").alias("size")).where("size > 1").drop("size")
-    far = lambda xs, ys: F.bit_count(xs.bitwiseXOR(ys))
-    close = lambda n, m, xs, ys: far(xs, ys) * (100 + percent) <= (n + m) * (100 - percent)
-    led = banded.join(leaders, "bucket").where((F.col("id") != F.col("b")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & close(F.col("n"), F.col("nb"), F.col("bits"), F.col("bb")))
+    leaders = banded.groupBy("bucket").agg(first("id").alias("b"), first("n").alias("ln"), first("b1").alias("lb1"), first("b2").alias("lb2"), F.count("*").alias("size")).where("size > 1").drop("size")
+    led = banded.join(leaders, "bucket").where((F.col("id") != F.col("b")) & (F.least("n", "ln") * 100 >= F.greatest("n", "ln") * percent) & close("", "l", F.col("n"), F.col("ln")))
     gone = matched(materialize(led.select(F.col("id").alias("a"), "b").distinct(), "pairs"), places, docs, percent, broadcast_lines)
 
     # the exact join: probing prefix of the longer set, indexing prefix of the shorter
     flags = classes.select("key_1", "key_2", "at").join(gone.select(F.col("id").alias("key_1"), F.lit(1).alias("gone")), "key_1", "left")
-    firsts = lines.where("n > 3").select("key_1", "key_2", own.alias("own"), "n", folded, "prefix").join(flags, ["key_1", "key_2"]).where("own = at")
-    firsts = materialize(firsts.select(F.col("key_1").alias("id"), F.coalesce("own.doc_id", F.lit(-(2**63))).alias("doc"), "n", "bits", "prefix", F.coalesce("gone", F.lit(0)).alias("gone")), "firsts")
+    firsts = lines.where("n > 3").select("key_1", "key_2", own.alias("own"), "n", *half, "prefix").join(flags, ["key_1", "key_2"]).where("own = at")
+    firsts = materialize(firsts.select(F.col("key_1").alias("id"), "own.doc_id", "n", "b1", "b2", "prefix", F.coalesce("gone", F.lit(0)).alias("gone")), "firsts")
     thin = materialize(lines.select("doc_id", "row", "line_no", "key_1", "key_2"), "lines")
     drop(docs.sparkSession, lines)
-    # size, place and flag in one long: a row is five longs
-    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("at") * 2 + F.col("gone")
-    short = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent) - F.lit(1e-9)).cast("int") + 1
-    probe = firsts.select("id", "doc", "n", "bits", "gone", F.posexplode("prefix").alias("at", "token")).select("token", "id", "doc", "bits", packed.alias("meta"))
-    index = firsts.select("id", "doc", "n", "bits", "gone", F.posexplode(F.slice("prefix", 1, short)).alias("at", "token")).select("token", "id", "doc", "bits", packed.alias("meta"))
-    size = lambda s: F.shiftright(F.col(f"{s}.meta"), 32).cast("int")
-    place = lambda s: (F.shiftright(F.col(f"{s}.meta"), 1).bitwiseAND(0x7FFFFFFF)).cast("int")
+    # size (23 bits), place (13), document order (26) and flag (1) in one long. Each errs to the safe side:
+    # sizes above the bound pass the filters, places stop there, and equal orders decide nothing.
+    ends = firsts.agg(F.min("doc_id").cast("double"), F.max("doc_id").cast("double")).first()
+    low, span = ends[0] or 0.0, max(1.0, (ends[1] or 0.0) - (ends[0] or 0.0))
+    order = F.coalesce(F.floor((F.col("doc_id").cast("double") - low) / span * (2**26 - 1)), F.lit(0)).cast("long")
+    most_n, most_at = 2**23 - 1, 2**13 - 1
+    packed = F.shiftleft(F.least(F.col("n"), F.lit(most_n)).cast("long"), 40) + F.shiftleft(F.least(F.col("at"), F.lit(most_at)).cast("long"), 27) + F.shiftleft(order, 1) + F.col("gone")
+    least = F.ceil(F.col("n") * (2 * percent) / (100 + percent) - F.lit(1e-9)).cast("int")
+    short = F.when(F.col("n") < most_n, F.col("n") - least + 1).otherwise(F.size("prefix"))
+    probe = firsts.select("id", "doc_id", "n", "b1", "b2", "gone", F.posexplode("prefix").alias("at", "token")).select("token", "id", "b1", "b2", packed.alias("meta"))
+    index = firsts.select("id", "doc_id", "n", "b1", "b2", "gone", F.posexplode(F.slice("prefix", 1, short)).alias("at", "token")).select("token", "id", "b1", "b2", packed.alias("meta"))
+    part = lambda s, shift, bits: F.shiftright(F.col(f"{s}.meta"), shift).bitwiseAND((1 << bits) - 1)
+    size, place, doc, flag = (lambda s, a=a: part(s, *a) for a in ((40, 23), (27, 13), (1, 26), (0, 1)))
     # the later of two lines isn't removed yet (of lines of one document, either)
-    flag = lambda s: F.col(f"{s}.meta").bitwiseAND(1)
-    live = F.when(F.col("x.doc") > F.col("y.doc"), flag("x")).when(F.col("x.doc") < F.col("y.doc"), flag("y")).otherwise(flag("x") * flag("y")) == 0
+    live = F.when(doc("x") > doc("y"), flag("x")).when(doc("x") < doc("y"), flag("y")).otherwise(flag("x") * flag("y")) == 0
     longer = (size("x") > size("y")) | ((size("x") == size("y")) & (F.col("x.id") > F.col("y.id")))
-    near = setjoin.may_match(size("x"), place("x"), size("y"), place("y"), percent) & close(size("x"), size("y"), F.col("x.bits"), F.col("y.bits"))
-    pairs = probe.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & longer & live & near)
+    huge = size("x") == most_n
+    near = huge | (close("x.", "y.", size("x"), size("y")) & setjoin.may_match(size("x"), place("x"), size("y"), place("y"), percent))
+    pairs = probe.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & near & longer & live)
     pairs = materialize(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
     drop(docs.sparkSession, firsts)
     gone = gone.unionAll(matched(pairs, places, docs, percent, broadcast_lines)).distinct()
