@@ -184,8 +184,8 @@ def write_archives(pages: DataFrame, folder: str, dictionary_rows: int = 256, mi
     again = thin.join(firsts, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
     again = materialize(again, "warc-revisits")
     rows = wanted.join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
-    some = pages.select("html").where("html is not null").limit(dictionary_rows).collect()
-    dictionary = train_dictionary([make_record(0, "", x.html[:20_000].encode(), None, False) for x in some])
+    some = pages.where("html is not null").select(F.substring("html", 1, 20_000).alias("start")).limit(dictionary_rows).collect()
+    dictionary = train_dictionary([make_record(0, "", x.start.encode(), None, False) for x in some])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, done = None, []
