@@ -69,7 +69,7 @@ def spectral_name(kind: str, w: Column, component: Column | int = 0) -> Column:
 
 def little_endian(data: Column, size: int, signed: bool = True) -> Column:
     """An integer attribute of ``size`` bytes; null where the length differs."""
-    value = F.conv(F.hex(F.reverse_bytes(data) if hasattr(F, "reverse_bytes") else _reversed(data, size)), 16, 10)
+    value = F.conv(F.hex(_reversed(data, size)), 16, 10)
     if size == 8 and not signed:
         return F.when(F.octet_length(data) == size, value.cast("decimal(20,0)"))
     value = value.cast("decimal(20,0)")
@@ -82,6 +82,37 @@ def _reversed(data: Column, size: int) -> Column:
     return F.concat(*(F.substring(data, i, 1) for i in range(size, 0, -1)))
 
 
+def little_endian_float(data: Column) -> Column:
+    """A 32-bit float attribute, exactly, as double; null where the length differs."""
+    bits = little_endian(data, 4, signed=False)
+    sign = F.when(F.shiftright(bits, 31) == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
+    exponent, fraction = F.shiftright(bits, 23).bitwiseAND(255), bits.bitwiseAND(0x7FFFFF).cast("double")
+    special = F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    normal = (fraction + float(1 << 23)) * F.pow(F.lit(2.0), (exponent - 150).cast("double"))
+    return sign * F.when(exponent == 0, fraction * 2.0**-149).when(exponent == 255, special).otherwise(normal)
+
+
+def little_endian_double(data: Column) -> Column:
+    """A 64-bit float attribute; null where the length differs."""
+    low, top = little_endian(F.substring(data, 1, 4), 4, signed=False), little_endian(F.substring(data, 5, 4), 4, signed=False)
+    sign = F.when(F.shiftright(top, 31) == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
+    exponent, fraction = F.shiftright(top, 20).bitwiseAND(2047), top.bitwiseAND(0xFFFFF).cast("double") * 2.0**32 + low.cast("double")
+    special = F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    # two factors, as 2 ** (exponent - 1075) alone may leave the range
+    half = F.floor((exponent - 1075) / 2)
+    normal = (fraction + 2.0**52) * F.pow(F.lit(2.0), half.cast("double")) * F.pow(F.lit(2.0), (exponent - 1075 - half).cast("double"))
+    value = F.when(exponent == 0, fraction * 2.0**-1022 * 2.0**-52).when(exponent == 2047, special).otherwise(normal)
+    return F.when(F.octet_length(data) == 8, sign * value)
+
+
+def valid_name(name: Column, long_names: Column) -> Column:
+    """UTF-8 bytes without NUL, 1 to 31 (or 255) of them."""
+    text = F.when(F.is_valid_utf8(name), name)
+    size = F.octet_length(name)
+    most = F.when(long_names, 255).otherwise(31)
+    return F.coalesce(text.isNotNull() & (size > 0) & (size <= most) & ~F.contains(text, F.lit("\0")), F.lit(False))
+
+
 def is_image(content: Column) -> Column:
     """The file signature test."""
     return F.hex(F.substring(content, 1, 4)) == MAGIC

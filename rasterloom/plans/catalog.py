@@ -28,6 +28,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries and SQL; importing the modules registers them."""
-    from rasterloom.plans import channel_queries, color_queries, deep_queries, file_queries, geometry_queries, sampling_queries, spectral_queries, stream_queries  # noqa: F401
+    from rasterloom.plans import channel_queries, color_queries, deep_queries, file_queries, geometry_queries, header_queries, sampling_queries, spectral_queries, stream_queries  # noqa: F401
 
     return QUERIES, SQL
