@@ -45,6 +45,19 @@ def word_lines(texts: pa.Array) -> tuple[wh.Words, np.ndarray, np.ndarray]:
     return words, text, number
 
 
+def cut_lines(texts: pa.Array, owner: np.ndarray, line_no: np.ndarray) -> pa.Array:
+    """Line ``line_no[i]`` of text ``owner[i]``, for each i; the rest of the texts isn't touched."""
+    offsets, data = wh.text_buffers(texts)
+    breaks = np.flatnonzero(data == 10)
+    own = np.searchsorted(breaks, offsets)
+    before, last = own[owner] + line_no - 1, own[owner + 1]
+    padded = np.concatenate([breaks, [len(data)]])
+    start = np.where(line_no == 0, offsets[owner], padded[np.maximum(before, 0)] + 1)
+    end = np.where(before + 1 < last, padded[np.minimum(before + 1, len(breaks))], offsets[owner + 1])
+    plain = data.tobytes()
+    return pa.array([plain[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()).cast(pa.string())
+
+
 def line_sets(texts: pa.Array, ranks: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """(text, line number, n, offsets, ordered keys) of the lines with words, in chunks."""
     words, text, number = word_lines(texts)
@@ -101,17 +114,14 @@ def words_of(ids: DataFrame, places: DataFrame, docs: DataFrame, broadcast_lines
         for batch in batches:
             texts, lists = batch.column(0), batch.column(1)
             for a, b in wh.blocks(texts):
-                words, _, number = word_lines(texts.slice(a, b - a))
-                ids, sets = [], []
-                for i in range(a, b):
-                    lo, hi = int(words.rows[i - a]), int(words.rows[i - a + 1])
-                    own = number[lo:hi]
-                    for x in lists[i].as_py():
-                        p, q = np.searchsorted(own, x["line_no"], "left"), np.searchsorted(own, x["line_no"], "right")
-                        ids.append(x["id"])
-                        sets.append(np.unique(words.hashes[lo + p : lo + q].view(np.int64)))
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "words"])
+                asked = lists.slice(a, b - a)
+                flat = asked.flatten()
+                ids, line_no = flat.field("id"), flat.field("line_no").to_numpy()
+                owner = np.repeat(np.arange(b - a), asked.value_lengths().to_numpy())
+                lines = cut_lines(texts.slice(a, b - a), owner, line_no)
+                words = wh.hash_words(lines)
+                sets = [np.unique(words.hashes[p:q].view(np.int64)) for p, q in zip(words.rows[:-1], words.rows[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.list_(pa.int64()))], ["id", "words"])
 
     found = materialize(with_text.mapInArrow(run, "id long, words array<long>"), "words")
     drop(docs.sparkSession, lines)

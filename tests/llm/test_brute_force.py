@@ -354,3 +354,15 @@ def test_pigeonhole_finds_every_code():
     for radius in (0, 1, 3, 5, 8, 9, 20, 64):
         far = np.unpackbits(codes ^ codes[0], axis=1).sum(axis=1)
         assert block.within(codes[0], radius).tolist() == np.flatnonzero(far <= radius).tolist()
+
+
+def test_cut_lines():
+    import pyarrow as pa
+
+    from rasterloom.llm import line_dedup
+
+    texts = ["a\nb b\n\nc", "", "\n", "one line", "x\n", None, "é\nü"]
+    wanted = [(i, k) for i, t in enumerate(texts) for k in range(len((t or "").split("\n")))]
+    for array in (pa.array(texts), pa.array(["skip\nme", *texts])[1:]):
+        got = line_dedup.cut_lines(array, np.array([i for i, _ in wanted]), np.array([k for _, k in wanted])).to_pylist()
+        assert got == [(texts[i] or "").split("\n")[k] for i, k in wanted]
