@@ -170,16 +170,16 @@ def removed_lines(docs: DataFrame, percent: int = 80, broadcast_lines: int = 2_0
     lines = materialize(sketch(docs, percent, ranks), "lines")
     bands = [f"band_{i}" for i in range(BANDS)]
     own = F.struct("doc_id", "row", "line_no")
-    classes = materialize(lines.groupBy("key_1", "key_2").agg(F.min(own).alias("at"), *(F.first(x).alias(x) for x in ("n", *BITS, *bands))), "classes")
+    classes = materialize(lines.groupBy("key_1", "key_2").agg(F.min(own).alias("at"), *(F.first(x).alias(x) for x in ("n", *BITS))), "classes")
     places = classes.select(F.col("key_1").alias("id"), "at", "n", *BITS)
     half = [reduce(lambda x, y: x.bitwiseXOR(y), map(F.col, two)).alias(n) for n, two in (("b1", BITS[:2]), ("b2", BITS[2:]))]  # the bitmap of 128 bits
     far = lambda x, y: F.bit_count(F.col(f"{x}b1").bitwiseXOR(F.col(f"{y}b1"))) + F.bit_count(F.col(f"{x}b2").bitwiseXOR(F.col(f"{y}b2")))
     close = lambda x, y, n, m: far(x, y) * (100 + percent) <= (n + m) * (100 - percent)
 
     # variants of one line: each class meets the earliest class of its buckets
-    banded = classes.where("n > 3").select(F.col("key_1").alias("id"), F.col("at.doc_id").alias("doc"), "n", *half, F.explode(F.array(*bands)).alias("bucket"))
+    banded = lines.where("n > 3").select(F.col("key_1").alias("id"), F.col("doc_id").alias("doc"), "n", *half, F.explode(F.array(*bands)).alias("bucket"))
     first = lambda c: F.min_by(c, F.coalesce("doc", F.lit(-(2**63))))
-    leaders = banded.groupBy("bucket").agg(first("id").alias("b"), first("n").alias("ln"), first("b1").alias("lb1"), first("b2").alias("lb2"), F.count("*").alias("size")).where("size > 1").drop("size")
+    leaders = banded.groupBy("bucket").agg(first("id").alias("b"), first("n").alias("ln"), first("b1").alias("lb1"), first("b2").alias("lb2"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").drop("lo", "hi")
     led = banded.join(leaders, "bucket").where((F.col("id") != F.col("b")) & (F.least("n", "ln") * 100 >= F.greatest("n", "ln") * percent) & close("", "l", F.col("n"), F.col("ln")))
     gone = matched(materialize(led.select(F.col("id").alias("a"), "b").distinct(), "pairs"), places, docs, percent, broadcast_lines)
 
