@@ -43,12 +43,10 @@ def scanline_blocks(headers: DataFrame) -> DataFrame:
 
 
 def uncompressed_bytes(plan: DataFrame, channels: DataFrame) -> DataFrame:
-    """Bytes of each block; channels: type, xs, ys (a few rows, joined to every block)."""
+    """Bytes of each block (id, block_index) of a plan; channels: id, type, xs, ys."""
     c = F.col
-    sizes = F.collect_list(F.struct("type", "xs", "ys"))
-    listed = plan.crossJoin(F.broadcast(channels.agg(sizes.alias("channels"))))
-    n = lambda ch: sample_count(c("x0"), c("x1"), ch["xs"]) * sample_count(c("y0"), c("y1"), ch["ys"]) * geo.lookup(geo.BYTES, ch["type"])
-    return listed.select("id", "block_index", F.aggregate("channels", F.lit(0).cast("long"), lambda acc, ch: acc + n(ch)).alias("bytes"))
+    n = sample_count(c("x0"), c("x1"), c("xs")) * sample_count(c("y0"), c("y1"), c("ys")) * geo.lookup(geo.BYTES, c("type"))
+    return plan.join(channels, "id").groupBy("id", "block_index").agg(F.sum(n).alias("bytes"))
 
 
 def locate_scanlines(rows: DataFrame, plan: DataFrame, min_y: int, lines: int) -> DataFrame:

@@ -96,7 +96,7 @@ _COUNT = "(floor(({hi}) / {s}::DOUBLE) - floor(({lo} - 1) / {s}::DOUBLE))"
     f"WITH {_HEADERS_SQL}, {_SCAN_SQL}, {values_sql('c', ['name', 'type_', 'xs', 'ys'], _CHANNELS)} SELECT id::BIGINT AS id, block, sum({_COUNT.format(lo='min_x', hi='max_x', s='xs')} * {_COUNT.format(lo='y0', hi='y1', s='ys')} * CASE type_ WHEN 'HALF' THEN 2 ELSE 4 END)::BIGINT AS bytes FROM scan, c GROUP BY 1, 2",
 )
 def _bytes(spark, sf_dir):
-    c = literal(spark, _CHANNELS, "name string, type string, xs long, ys long")
+    c = literal(spark, [(h[0], *ch) for h in _HEADERS for ch in _CHANNELS], "id long, name string, type string, xs long, ys long")
     return blocks.uncompressed_bytes(blocks.scanline_blocks(_headers(spark)), c).select("id", F.col("block_index").alias("block"), "bytes")
 
 

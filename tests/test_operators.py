@@ -55,13 +55,13 @@ def test_tile_levels(spark, mode, up, levels, tiles, last):
 def test_scanline_blocks(spark):
     h = spark.createDataFrame([(0, "ZIP", -4, -5, 3, 11, None, None, None, False)], HEADER)
     assert sorted((r.y0, r.y1) for r in blocks.scanline_blocks(h).collect()) == [(-5, 10), (11, 11)]
-    one = spark.createDataFrame([("HALF", 1, 1)], "type string, xs long, ys long")
+    one = spark.createDataFrame([(0, "HALF", 1, 1)], "id long, type string, xs long, ys long")
     assert sorted(r.bytes for r in blocks.uncompressed_bytes(blocks.scanline_blocks(h), one).collect()) == [16, 256]
 
 
 def test_absolute_sampling(spark):
     h = spark.createDataFrame([(0, "HTJ2K256", -3, -4, 2, 3, None, None, None, False)], HEADER)
-    kinds = spark.createDataFrame([("HALF", 1, 1), ("FLOAT", 2, 3)], "type string, xs long, ys long")
+    kinds = spark.createDataFrame([(0, "HALF", 1, 1), (0, "FLOAT", 2, 3)], "id long, type string, xs long, ys long")
     assert blocks.uncompressed_bytes(blocks.scanline_blocks(h), kinds).first().bytes == 48 * 2 + 9 * 4
 
 
