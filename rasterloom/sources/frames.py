@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from rasterloom.shipping import ship
 from rasterloom.sources import exr
 
 SAMPLE = "file_id string, part_index int, level_x int, level_y int, y int, x int, channel string, value double"
@@ -122,6 +123,7 @@ def decode_images(files: DataFrame, mode: str = "samples", fail_fast: bool = Tru
                         row[0], row[-1] = file_id, type(e).__name__
                         yield _batch([tuple(row)], schema)
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, SCHEMAS[mode])
 
 
@@ -153,6 +155,7 @@ def encode_images(samples: DataFrame, compression: str = "ZIP", pixel_type: str
         chunks = {b.index: exr.encode_block(part, b, {n: cut(b, p) for n, p in planes.items()}) for b in part.blocks()}
         return pa.table({"file_id": [table.column("file_id")[0].as_py()], "content": pa.array([exr.assemble([part], [chunks])], pa.binary())})
 
+    ship(samples.sparkSession)
     return samples.select("file_id", "y", "x", "channel", "value").groupBy("file_id").applyInArrow(build, "file_id string, content binary")
 
 
@@ -173,6 +176,7 @@ def write_images(images: DataFrame, folder: str) -> DataFrame:
                     out.write(content)
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
 
+    ship(images.sparkSession)
     return images.select("file_id", "content").mapInArrow(run, "path string")
 
 
@@ -283,6 +287,7 @@ class ExrDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(ExrDataSource)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rasterloom.operators.resample import axis_weights
+from rasterloom.shipping import ship
 
 RESIZED = "image long, y int, values array<double>"
 ASSEMBLED = "source string, start long, end long, status string"
@@ -51,6 +52,7 @@ def resize_rows(rows: DataFrame, size: tuple[int, int], target: tuple[int, int],
         state.update((pickle.dumps((following, {y: v for y, v in held.items() if y >= least})),))
         yield pd.DataFrame(out, columns=["image", "y", "values"])
 
+    ship(rows.sparkSession)
     return rows.groupBy("image").applyInPandasWithState(step, RESIZED, "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -113,6 +115,7 @@ def assemble_ranges(events: DataFrame, budget: int = 1 << 30) -> DataFrame:
         state.update((pickle.dumps(held.parts),))
         yield pd.DataFrame(out, columns=["source", "start", "end", "status"])
 
+    ship(events.sparkSession)
     return events.groupBy("source").applyInPandasWithState(step, ASSEMBLED, "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
