@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rasterloom.shipping import ship
+
 _SEEN: dict[str, str] = {}
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -42,7 +44,8 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep the session's Arrow batches small, for this and later jobs."""
+    """Keep the session's Arrow batches small, for this and later jobs, whose workers get the package."""
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         if not 0 < _number(spark.conf.get(key)) <= most:
             spark.conf.set(key, str(most))

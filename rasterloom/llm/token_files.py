@@ -167,6 +167,7 @@ def _arrow(schema) -> pa.Schema:
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Documents of the files: doc_id, start (ids of all documents before), n_tokens, ids."""
+    bounded_batches(manifest.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -211,6 +211,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
+    bounded_batches(manifest.sparkSession)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
