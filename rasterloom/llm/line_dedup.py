@@ -196,18 +196,17 @@ def removed_lines(docs: DataFrame, percent: int = 80, broadcast_lines: int = 2_0
     order = F.coalesce(F.floor((F.col("doc_id").cast("double") - low) / span * (2**26 - 1)), F.lit(0)).cast("long")
     most_n, most_at = 2**23 - 1, 2**13 - 1
     packed = F.shiftleft(F.least(F.col("n"), F.lit(most_n)).cast("long"), 40) + F.shiftleft(F.least(F.col("at"), F.lit(most_at)).cast("long"), 27) + F.shiftleft(order, 1) + F.col("gone")
-    least = F.ceil(F.col("n") * (2 * percent) / (100 + percent) - F.lit(1e-9)).cast("int")
-    short = F.when(F.col("n") < most_n, F.col("n") - least + 1).otherwise(F.size("prefix"))
-    probe = firsts.select("id", "doc_id", "n", "b1", "b2", "gone", F.posexplode("prefix").alias("at", "token")).select("token", "id", "b1", "b2", packed.alias("meta"))
-    index = firsts.select("id", "doc_id", "n", "b1", "b2", "gone", F.posexplode(F.slice("prefix", 1, short)).alias("at", "token")).select("token", "id", "b1", "b2", packed.alias("meta"))
+    rows = firsts.select("id", "doc_id", "n", "b1", "b2", "gone", F.posexplode("prefix").alias("at", "token")).select("token", "id", "b1", "b2", packed.alias("meta"))
     part = lambda s, shift, bits: F.shiftright(F.col(f"{s}.meta"), shift).bitwiseAND((1 << bits) - 1)
     size, place, doc, flag = (lambda s, a=a: part(s, *a) for a in ((40, 23), (27, 13), (1, 26), (0, 1)))
     # the later of two lines isn't removed yet (of lines of one document, either)
     live = F.when(doc("x") > doc("y"), flag("x")).when(doc("x") < doc("y"), flag("y")).otherwise(flag("x") * flag("y")) == 0
     longer = (size("x") > size("y")) | ((size("x") == size("y")) & (F.col("x.id") > F.col("y.id")))
     huge = size("x") == most_n
-    near = huge | (close("x.", "y.", size("x"), size("y")) & setjoin.may_match(size("x"), place("x"), size("y"), place("y"), percent))
-    pairs = probe.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & near & longer & live)
+    # the shorter set's indexing prefix; tested in the join, so that both sides are one exchange
+    least = F.floor((size("y") * (2 * percent) + (99 + percent)) / (100 + percent))
+    near = huge | ((place("y") <= size("y") - least) & close("x.", "y.", size("x"), size("y")) & setjoin.may_match(size("x"), place("x"), size("y"), place("y"), percent))
+    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.token") == F.col("y.token")) & near & longer & live)
     pairs = materialize(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
     drop(docs.sparkSession, firsts)
     gone = gone.unionAll(matched(pairs, places, docs, percent, broadcast_lines)).distinct()
