@@ -204,8 +204,8 @@ def removed_lines(docs: DataFrame, percent: int = 80, broadcast_lines: int = 2_0
     longer = (size("x") > size("y")) | ((size("x") == size("y")) & (F.col("x.id") > F.col("y.id")))
     huge = size("x") == most_n
     # the shorter set's indexing prefix; tested in the join, so that both sides are one exchange
-    least = F.floor((size("y") * (2 * percent) + (99 + percent)) / (100 + percent))
-    near = huge | ((place("y") <= size("y") - least) & close("x.", "y.", size("x"), size("y")) & setjoin.may_match(size("x"), place("x"), size("y"), place("y"), percent))
+    indexed = size("y") * (2 * percent) <= (size("y") - place("y")) * (100 + percent)
+    near = huge | (indexed & close("x.", "y.", size("x"), size("y")) & setjoin.may_match(size("x"), place("x"), size("y"), place("y"), percent))
     pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.token") == F.col("y.token")) & near & longer & live)
     pairs = materialize(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
     drop(docs.sparkSession, firsts)
