@@ -106,6 +106,8 @@ class PieceEncoder:
                 self.kind = "spaced"
             elif self._drops_space(spec):
                 self.kind = "words"
+        # the byte-level pattern takes all but the last line end of a run as one piece, and all of a run that nothing follows
+        self.runs = ("\n\n\n", *("\n\n" + t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
         self.kept = _Kept(self._whole, self.tokenizer.model, self.kind == "words", max(1, cache_pieces // 2))
 
     def _adds_nothing(self) -> bool:
@@ -128,7 +130,7 @@ class PieceEncoder:
             return None
         if self.kind == "words":
             return None if _CONTROL.search(text) else text.split()
-        if self.kind == "spaced" and not _ragged(text):
+        if self.kind == "spaced" and not _ragged(text) and not text.endswith("\n\n") and not any(x in text for x in self.runs):
             # a space or line end between two solid characters always begins a new piece
             first, *rest = text.replace("\n", " \n").split(" ")
             return [CLOSING + first, *rest] if first else rest

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -230,6 +231,21 @@ def test_encoder_is_exact():
             assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, (name, t)
 
 
+def test_encoder_is_exact_on_line_ends():
+    from rasterloom.llm.encoding import PieceEncoder
+
+    parts = ["\n", "\n\n", " ", "a", ".", "'s", "<|endoftext|>"]
+    texts = {"".join(x) for n in range(1, 6) for x in itertools.product(parts, repeat=n)} | {"a" + "\n" * n + x for n in range(9) for x in ("", "b", "\tb", "<|endoftext|>b")}
+    assert {"a\n\n\nb", "a\n\n", "\n\n", "a\n\n<|endoftext|>"} <= texts
+    texts = sorted(texts)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        plain, encoder = Tokenizer.from_file(path), PieceEncoder(path)
+        assert encoder._pieces("a\n\nb c\n") is not None  # paragraphs are still cut
+        for t, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, (name, t)
+
+
 def test_warc(spark):
     pages = {r.page_id: (r.html or "").encode() for r in queries.table(spark, SF, "pages").collect()}
     largest = {}
