@@ -3,10 +3,15 @@
 A seed is a fixed mask over consecutive words: the words at its marked positions are
 hashed together, the others are ignored, so a substituted word at an ignored position
 doesn't hide a match. Seeds of benchmark items are looked up in the seeds of every text;
-around each hit, text and item are laid side by side without gaps and the best segment is
-found: a matching word counts 1, a substituted one -3. A document holds an item's passage
-if its best segment has at least ``min_words`` words (or all of a shorter item). Words are runs of
-ASCII letters, digits and non-ASCII characters, without regard to case.
+around each hit, text and item are laid side by side without gaps. A document holds an item's
+passage if some segment there of at least ``min_words`` words, from an equal word to an equal
+word, or the whole item, has three equal words of four at least: a matching word counts 1, a
+substituted one -3, and the sum is 0 or more. The segment of largest sum is reported.
+
+Where a hit lies is up to the seeds: passages of 13 words or more with up to two substitutions,
+and whole items of 8 words or more with one, always have one; with more substitutions most do.
+Items of fewer words must be equal. Words are runs of ASCII letters, digits and non-ASCII
+characters, without regard to case.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ class Seeds:
     filter: np.ndarray
     words: list[np.ndarray]
     ids: list[int | None]
-    short: dict[int, list[int]]
+    short: dict[int, list[tuple[int, int]]]
 
 
 def masked(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
@@ -62,21 +67,24 @@ _FILTER_BITS = 22
 def make_seeds(ids: list[int | None], texts: list[str]) -> Seeds:
     words = [wh.hash_words(pa.array([t]), wh.MARKS).hashes for t in texts]
     h, items, at = [], [], []
-    short: dict[int, list[int]] = {}
-    span = min(map(len, MASKS))
+    short: dict[int, list[tuple[int, int]]] = {}
+    spans = sorted(map(len, MASKS))
     for i, w in enumerate(words):
-        if 0 < len(w) < span:  # too short for a mask: looked up by its whole sequence
-            short.setdefault(len(w), []).append(i)
+        if 0 < len(w) < spans[0]:  # too short for a mask: looked up by its whole sequence
+            short.setdefault(len(w), []).append((i, 0))
+        elif 0 < len(w) < spans[-1]:  # one word may break all of its masks: looked up by its halves, too
+            half = len(w) // 2
+            short.setdefault(half, []).extend([(i, 0), (i, len(w) - half)])
         for salt, mask in enumerate(MASKS):
             s = masked(w, mask, salt)
             h.append(s)
             items.append(np.full(len(s), i))
             at.append(np.arange(len(s)))
     for length, which in short.items():
-        for i in which:
-            h.append(masked(words[i], "1" * length, 100 + length))
+        for i, begin in which:
+            h.append(masked(words[i][begin : begin + length], "1" * length, 100 + length))
             items.append(np.array([i]))
-            at.append(np.array([0]))
+            at.append(np.array([begin]))
     h, items, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, items, at))
     order = np.argsort(h, kind="stable")
     seen = np.zeros(1 << _FILTER_BITS, bool)
@@ -84,12 +92,26 @@ def make_seeds(ids: list[int | None], texts: list[str]) -> Seeds:
     return Seeds(h[order], items[order], at[order], seen, words, ids, short)
 
 
-def best_segment(same: np.ndarray) -> tuple[int, int, int]:
-    """Start, length and matches of the segment of largest score; length 0 for none."""
+def best_segment(same: np.ndarray, least: int, whole: bool) -> tuple[int, int, int] | None:
+    """Start, length and matches of the passage of largest score on a diagonal, None for none.
+
+    A passage has at least ``least`` words, begins and ends with equal ones and has a score of 0
+    or more; if ``same`` is the ``whole`` item, all of it is one at such a score, too.
+    """
+    n = len(same)
+    if n < least:
+        return None
     total = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    begin = int(np.argmax(total[: end + 1] == low[end]))
+    far = MISMATCH * n + n + 1
+    low = np.minimum.accumulate(np.where(same, total[:-1], far))[: n - least + 1]
+    gain = np.where(same[least - 1 :], total[least:] - low, -far)
+    at = int(np.argmax(gain))
+    if gain[at] >= 0:
+        begin, end = int(np.argmax(same[: at + 1] & (total[: at + 1] == low[at]))), at + least
+    elif whole and total[-1] >= 0:
+        begin, end = 0, n
+    else:
+        return None
     return begin, end - begin, int(same[begin:end].sum())
 
 
@@ -115,8 +137,9 @@ def overlaps(hashes: np.ndarray, rows: np.ndarray, seeds: Seeds, min_words: int)
                 words = seeds.words[item]
                 begin, end = max(shift, int(rows[row])), min(shift + len(words), int(rows[row + 1]))
                 same = hashes[begin:end] == words[begin - shift : end - shift]
-                start, length, matches = best_segment(same)
-                if length >= min(min_words, len(words)):
+                passage = best_segment(same, min(min_words, len(words)), len(same) == len(words))
+                if passage is not None:
+                    start, length, matches = passage
                     new = (matches, length, -(begin + start - int(rows[row])), begin - shift + start)
                     if (row, item) not in found or new > found[row, item]:
                         found[row, item] = new

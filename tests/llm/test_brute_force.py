@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -302,6 +303,41 @@ def test_decontamination_tolerates_substitutions(spark):
     assert got == {1: (40, 40), 2: (39, 35), 4: (13, 13), 6: (40, 40)} or set(got) == {1, 2, 4, 6}
 
 
+def test_decontamination_of_nearly_whole_items():
+    """Every item of 8 words or more with one substitution, and of 13 or more with two, wherever they are."""
+    from rasterloom.llm import decontaminate, wordhash
+
+    def found(item, text):
+        words = wordhash.hash_words(pa.array([text]), wordhash.MARKS)
+        return [x[2:] for x in decontaminate.overlaps(words.hashes, words.rows, decontaminate.make_seeds([1], [item]), 13)]
+
+    for n in range(8, 18):
+        item = [f"w{i}" for i in range(n)]
+        for subs in itertools.chain(itertools.combinations(range(n), 1), itertools.combinations(range(n), 2) if n >= 13 else ()):
+            text = " ".join(["before", "it", *("other" if i in subs else w for i, w in enumerate(item)), "after"])
+            assert found(" ".join(item), text), (n, subs)
+    item = [f"w{i}" for i in range(30)]
+    # a longer passage isn't hidden by a higher-scored segment of 12 words
+    assert found(" ".join(item), " ".join([*item[:1], "x", *item[2:14], "y", "z"])) == [(0, 0, 14, 13)]
+    # 12 equal words of a long item, with other words around, are no passage; nor are too few equal ones
+    assert not found(" ".join(item), " ".join(["x", "x", *item[2:14], "y", "z", "z"]))
+    assert not found(" ".join(item[:16]), " ".join([*item[:9], *"abcdef", item[15]]))
+
+
+def test_best_segment_equals_brute_force():
+    from rasterloom.llm.decontaminate import best_segment
+
+    for n in range(1, 11):
+        for same in itertools.product([False, True], repeat=n):
+            score = lambda a, b: sum(1 if x else -3 for x in same[a:b])  # noqa: B023, E731
+            for least in (1, 3, 6):
+                fit = [(a, b) for a in range(n) for b in range(a + least, n + 1) if same[a] and same[b - 1] and score(a, b) >= 0]
+                whole = [(0, n)] if n >= least and score(0, n) >= 0 else []
+                a, b = min(fit or whole, key=lambda s: (-score(*s), s[1], s[0]), default=(0, 0))
+                got = best_segment(np.array(same), least, True)
+                assert got == ((a, b - a, sum(same[a:b])) if fit or whole else None), (same, least)
+
+
 def test_language_accuracy(spark):
     truth = {r.doc_id: r.lang for r in queries.table(spark, "/root/testdata/sf0.01", "documents").collect()}
     held = [r for r in queries.op9_language_id(spark, "/root/testdata/sf0.01").collect() if r.held_out]
