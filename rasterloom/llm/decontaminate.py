@@ -158,16 +158,20 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, bl
     after another, and each block meets all documents.
     """
     bounded_batches(docs.sparkSession)
-    items = benchmark.select("item_id", "text").where("text is not null").distinct()
-    count = items.count()
-    parts = -(-count // block_items)
     whole: DataFrame | None = None
+    for seeds in _seed_blocks(benchmark, block_items):
+        part = _search(docs, seeds, min_words)
+        whole = part if whole is None else whole.unionAll(part)
+    return docs.sparkSession.createDataFrame([], SCHEMA) if whole is None else whole
+
+
+def _seed_blocks(benchmark: DataFrame, block_items: int) -> Iterator[Seeds]:
+    items = benchmark.select("item_id", "text").where("text is not null").distinct()
+    parts = -(-items.count() // block_items)
     for k in range(parts):
         some = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         taken = sorted(some.collect(), key=lambda x: (x.item_id is not None, x.item_id or 0, x.text))
-        part = _search(docs, make_seeds([x.item_id for x in taken], [x.text for x in taken]), min_words)
-        whole = part if whole is None else whole.unionAll(part)
-    return docs.sparkSession.createDataFrame([], SCHEMA) if whole is None else whole
+        yield make_seeds([x.item_id for x in taken], [x.text for x in taken])
 
 
 def _search(docs: DataFrame, seeds: Seeds, min_words: int) -> DataFrame:
@@ -186,10 +190,33 @@ def _search(docs: DataFrame, seeds: Seeds, min_words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, min_words: int = 13) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, block_items: int = 20_000, keep_without_id: bool = True) -> DataFrame:
     """The rows of ``docs`` that hold no passage of ``benchmark``, with all their columns.
 
-    Rows are dropped by doc_id; a row without doc_id stays.
+    Each row is decided by its own text, whatever other rows share its doc_id. A row without
+    doc_id stays, unless ``keep_without_id`` is off: then it is decided like any other.
     """
-    bad = find_overlaps(docs, benchmark, min_words).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    bounded_batches(docs.sparkSession)
+    left = docs
+    for seeds in _seed_blocks(benchmark, block_items):
+        left = _without(left, seeds, min_words, keep_without_id)
+    return left
+
+
+def _without(docs: DataFrame, seeds: Seeds, min_words: int, keep_without_id: bool) -> DataFrame:
+    """The rows of ``docs`` that hold no passage of a block of items."""
+    shared = docs.sparkSession.sparkContext.broadcast(seeds)
+    at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            texts, keep = batch.column(text_at), np.ones(len(batch), bool)
+            for a, b in wh.blocks(texts):
+                words = wh.hash_words(texts.slice(a, b - a), wh.MARKS)
+                keep[[a + r for r, *_ in overlaps(words.hashes, words.rows, known, min_words)]] = False
+            if keep_without_id:
+                keep |= batch.column(at).is_null().to_numpy(zero_copy_only=False)
+            yield batch if keep.all() else batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

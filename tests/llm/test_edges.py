@@ -146,3 +146,18 @@ def test_stages(spark, stage, tmp_path):
         if name != "packing":
             assert out.columns == docs.columns
         out.count()
+
+
+def test_decontaminated_rows(spark, tmp_path):
+    """Rows of one doc_id, and rows without one, are decided each by its own text."""
+    passage = " ".join(f"w{i}" for i in range(20))
+    spark.createDataFrame([(1, passage), (2, "one two three four five six seven")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(1, "x " + passage), (1, "nothing of it"), (None, passage + " y"), (None, "nothing here"), (2, None), (3, "so one two three four five six seven")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [texts[1], texts[3], texts[4]]
+    out = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert rows(out.select("doc_id", "text")) == sorted(want, key=repr)
+    bench = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    assert rows(decontaminate.clean_documents(docs, bench, block_items=1, keep_without_id=False).select("doc_id", "text")) == sorted(want, key=repr)
+    assert rows(decontaminate.clean_documents(docs, bench).select("doc_id", "text")) == sorted([*want, texts[2]], key=repr)
