@@ -78,6 +78,7 @@ def line_sets(texts: pa.Array, ranks: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 def sketch(docs: DataFrame, percent: int, ranks: np.ndarray) -> DataFrame:
     """One row per line with words of ``docs`` (doc_id, row, text), as SCHEMA."""
+    least = setjoin.least_size(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +92,7 @@ def sketch(docs: DataFrame, percent: int, ranks: np.ndarray) -> DataFrame:
                     mixed = wh.mix(keys)
                     bit, word = np.uint64(1) << (mixed >> np.uint64(58)), mixed >> np.uint64(56) & np.uint64(3)
                     bits = [np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), at) for k in range(4)]
-                    length = np.where(n > 3, setjoin.prefix_length(n, percent), 0)  # shorter sets match equal ones only
+                    length = np.where(n >= least, setjoin.prefix_length(n, percent), 0)  # shorter sets match equal ones only
                     place = np.arange(len(keys)) - np.repeat(at, n)
                     chosen = keys[place < np.repeat(length, n)].view(np.int64)
                     prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(chosen))
@@ -169,6 +170,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, broadcast_lines: int = 2_0
     ranks = setjoin.rarity_ranks(docs.select("text"), hashes)
     lines = materialize(sketch(docs, percent, ranks), "lines")
     bands = [f"band_{i}" for i in range(BANDS)]
+    joined = F.col("n") >= setjoin.least_size(percent)
     own = F.struct("doc_id", "row", "line_no")
     classes = materialize(lines.groupBy("key_1", "key_2").agg(F.min(own).alias("at"), *(F.first(x).alias(x) for x in ("n", *BITS))), "classes")
     places = classes.select(F.col("key_1").alias("id"), "at", "n", *BITS)
@@ -177,7 +179,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, broadcast_lines: int = 2_0
     close = lambda x, y, n, m: far(x, y) * (100 + percent) <= (n + m) * (100 - percent)
 
     # variants of one line: each class meets the earliest class of its buckets
-    banded = lines.where("n > 3").select(F.col("key_1").alias("id"), F.col("doc_id").alias("doc"), "n", *half, F.explode(F.array(*bands)).alias("bucket"))
+    banded = lines.where(joined).select(F.col("key_1").alias("id"), F.col("doc_id").alias("doc"), "n", *half, F.explode(F.array(*bands)).alias("bucket"))
     first = lambda c: F.min_by(c, F.coalesce("doc", F.lit(-(2**63))))
     leaders = banded.groupBy("bucket").agg(first("id").alias("b"), first("n").alias("ln"), first("b1").alias("lb1"), first("b2").alias("lb2"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").drop("lo", "hi")
     led = banded.join(leaders, "bucket").where((F.col("id") != F.col("b")) & (F.least("n", "ln") * 100 >= F.greatest("n", "ln") * percent) & close("", "l", F.col("n"), F.col("ln")))
@@ -185,7 +187,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, broadcast_lines: int = 2_0
 
     # the exact join: probing prefix of the longer set, indexing prefix of the shorter
     flags = classes.select("key_1", "key_2", "at").join(gone.select(F.col("id").alias("key_1"), F.lit(1).alias("gone")), "key_1", "left")
-    firsts = lines.where("n > 3").select("key_1", "key_2", own.alias("own"), "n", *half, "prefix").join(flags, ["key_1", "key_2"]).where("own = at")
+    firsts = lines.where(joined).select("key_1", "key_2", own.alias("own"), "n", *half, "prefix").join(flags, ["key_1", "key_2"]).where("own = at")
     firsts = materialize(firsts.select(F.col("key_1").alias("id"), "own.doc_id", "n", "b1", "b2", "prefix", F.coalesce("gone", F.lit(0)).alias("gone")), "firsts")
     thin = materialize(lines.select("doc_id", "row", "line_no", "key_1", "key_2"), "lines")
     drop(docs.sparkSession, lines)
@@ -228,7 +230,7 @@ def drop_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     row = next(x for i in range(len(taken) + 1) if (x := f"row_{i}") not in taken)
     lines = row + "_lines"
     marked = docs.withColumn(row, F.xxhash64("text"))
-    gone = removed_lines(marked.select("doc_id", F.col(row).alias("row"), "text")).select(F.col("doc_id").alias(row + "_id"), F.col("row").alias(row + "_row"), F.col("lines").alias(lines))
+    gone = removed_lines(marked.select("doc_id", F.col(row).alias("row"), "text"), percent).select(F.col("doc_id").alias(row + "_id"), F.col("row").alias(row + "_row"), F.col("lines").alias(lines))
     joined = marked.join(gone, F.col("doc_id").eqNullSafe(F.col(row + "_id")) & (F.col(row) == F.col(row + "_row")), "left").select(*docs.columns, lines)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.IntegerType())])
     where, n_chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in taken else None

@@ -54,6 +54,11 @@ def ordered_keys(hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return ranks[bucket(hashes)] << np.uint64(44 - BITS) | (hashes & np.uint64((1 << (44 - BITS)) - 1))
 
 
+def least_size(percent: int) -> int:
+    """The least size of a set that can match a larger one: n of n + 1 tokens are percent/100 or more."""
+    return -(-percent // (100 - percent)) if percent < 100 else 2**31 - 1
+
+
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 

@@ -104,6 +104,25 @@ def test_lines(spark, documents):
     assert {d: r.n_removed for d, r in got.items()} == {d: len(gone[d]) for d in documents}
 
 
+@pytest.mark.parametrize("percent", [50, 66, 75, 100])
+def test_short_lines_at_any_percent(spark, percent):
+    """Lines of one to six words, at limits where sets of two or three words can match larger ones."""
+    from rasterloom.llm import line_dedup
+
+    rng = np.random.default_rng(percent)
+    texts = {d: "\n".join(" ".join(f"{d % 40}w{w}" for w in rng.permutation(8)[: rng.integers(1, 7)]) for _ in range(2)) for d in range(160)}
+    gone, seen = defaultdict(set), []
+    for d in sorted(texts):
+        for k, x in enumerate(texts[d].split("\n")):
+            s = set(x.split())
+            if any(100 * len(s & o) >= percent * len(s | o) for o in seen):
+                gone[d].add(k)
+            seen.append(s)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(docs, percent).collect()}
+    assert got == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]) for d, t in texts.items()}
+
+
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
