@@ -1,4 +1,4 @@
-"""Stateful streaming: row-wise resampling, and assembly of byte ranges that arrive in any order."""
+"""Stateful streaming: row-wise resampling, assembly of byte ranges that arrive in any order, windows on event time."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rasterloom.operators.resample import axis_weights
@@ -125,3 +126,31 @@ def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
     started = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
     started.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def count_windows(events: DataFrame, width: str, delay: str) -> DataFrame:
+    """hour, event_type, n, total: tumbling windows of a stream of (ts, event_type, value).
+
+    Events more than ``delay`` behind the latest one of earlier micro-batches may be late; those
+    of a window that the watermark has passed are dropped with its state.
+    """
+    windows = events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type")
+    return windows.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("hour"), "event_type", "n", "total")
+
+
+def last_updates(stream: DataFrame, folder: str, key: list[str]) -> DataFrame:
+    """Run a stream in update mode over all available input, and read each key's last row."""
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    started = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    started.awaitTermination()
+    updates = spark.read.schema(f"{_ddl(stream)}, batch long").option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    last = Window.partitionBy(*key).orderBy(F.desc("batch"))
+    return updates.withColumn("nth", F.row_number().over(last)).where("nth = 1").select(*stream.columns)
+
+
+def _ddl(frame: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)

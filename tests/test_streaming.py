@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.streaming.rows import Ranges, assemble_ranges, resize_rows, run_to_end
+from rasterloom.streaming.rows import Ranges, assemble_ranges, count_windows, last_updates, resize_rows, run_to_end
 
 
 def test_ranges():
@@ -30,3 +30,29 @@ def test_rows_in_any_order(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     out = run_to_end(resize_rows(stream, (4, 4), (2, 2), "box"), f"file://{tmp_path}/run").collect()
     assert sorted((r.image, r.y, tuple(r["values"])) for r in out) == [(0, 0, (0.5, 0.5)), (0, 1, (2.5, 2.5))]
+
+
+def test_windows_in_update_mode(spark, tmp_path):
+    """A window is updated over micro-batches; what the watermark has passed is late."""
+    schema = "ts timestamp, event_type string, value double"
+    parts = [[("2024-01-01 00:10:00", 1.0)], [("2024-01-01 00:50:00", 2.0), ("2024-01-01 05:00:00", 4.0)], [("2024-01-01 05:30:00", 8.0)], [("2024-01-01 00:20:00", 16.0), ("2024-01-01 04:30:00", 32.0)]]
+    for part in parts:
+        spark.createDataFrame([(ts, v) for ts, v in part], "ts string, value double").selectExpr("cast(ts as timestamp) ts", "'a' event_type", "value").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    windows = count_windows(stream, "1 hour", "1 hour")
+    assert windows.isStreaming
+    out = last_updates(windows, f"file://{tmp_path}/run", ["hour", "event_type"]).collect()
+    assert sorted((r.hour.hour, r.n, r.total) for r in out) == [(0, 2, 3.0), (4, 1, 32.0), (5, 2, 12.0)]
+
+
+def test_event_windows_is_a_stream(spark):
+    """The registered query goes through Structured Streaming."""
+    from rasterloom.plans import catalog, stream_queries
+
+    made, real = [], stream_queries.rows.last_updates
+    stream_queries.rows.last_updates = lambda stream, *rest: made.append(stream) or real(stream, *rest)
+    try:
+        assert catalog.load()[0]["stream_event_windows"](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        stream_queries.rows.last_updates = real
+    assert [x.isStreaming for x in made] == [True] and "EventTimeWatermark" in made[0]._jdf.queryExecution().logical().toString()
