@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.samples import thinned
@@ -59,6 +59,12 @@ def usable(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return good[ok], x[ok]
 
 
+def _fit(column: str) -> Column:
+    """The vector is finite and not zero, as in ``usable``."""
+    finite = F.forall(column, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    return F.coalesce(finite & F.exists(column, lambda v: v != 0), F.lit(False))
+
+
 def norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(axis=1))
 
@@ -157,10 +163,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = 409
     bounded_batches(vectors.sparkSession)
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    some = thinned(vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding"), ["vec_id"], sample).toArrow()
-    _, x = usable(some.column("embedding").combine_chunks()) if len(some) else (None, np.zeros((0, 0)))
-    if not len(x):
+    fit = vectors.where("vec_id is not null").where(_fit("embedding")).select("vec_id", "embedding")
+    some = thinned(fit, ["vec_id"], sample).toArrow()
+    if not len(some):  # no row, or few vec_ids, none of which the hash chose
+        some = fit.limit(sample).toArrow()
+    if not len(some):
         return spark.createDataFrame([], schema)
+    _, x = usable(some.column("embedding").combine_chunks())
     index, width = learn(x, code_bits, neighbours=k), x.shape[1]
     asked = queries.where("vec_id is not null").select("vec_id", "embedding").dropDuplicates(["vec_id"])
     parts = max(1, -(-asked.count() // block_queries))

@@ -135,6 +135,18 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), df, k=5).count() == 0
 
 
+def test_neighbours_among_many_unusable(spark):
+    """Three usable vectors among thousands that aren't: the sample holds them."""
+    nan = float("nan")
+    bad = [None, [], [0.0, 0.0], [None, 1.0], [nan, 1.0], [float("inf"), 1.0], [float("-inf"), 0.0], [None, None]]
+    vectors = [(i, bad[i % len(bad)]) for i in range(20_000)] + [(20_001, [1.0, 0.0]), (20_002, [1.0, 1.0]), (20_003, [-1.0, 0.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    out = neighbours.search(df, df.where("vec_id = 20001"), k=2, sample=100).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in out] == [(20_001, 1, 20_002), (20_001, 2, 20_003)]
+    assert neighbours.search(df.where("vec_id < 20000"), df, k=2, sample=100).count() == 0
+    assert {r.vec_id for r in df.where(neighbours._fit("embedding")).collect()} == {20_001, 20_002, 20_003}
+
+
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
 def test_stages(spark, stage, tmp_path):
     name, function = stage
