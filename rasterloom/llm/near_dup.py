@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     if not active.isEmpty():
         some = texts.join(picked(active), "doc_id").select("doc_id", "text", "c")
         shingle_hashes = lambda batch: (wh.shingles(wh.hash_words(batch.column(1).slice(a, b - a)), size)[0] for a, b in wh.blocks(batch.column(1)))
-        ranks = setjoin.rarity_ranks(some, shingle_hashes)
+        ranks = setjoin.rarity_ranks(setjoin.bucket_counts(some, shingle_hashes))
         tokens = materialize(prefixes(some, size, percent, ranks), "prefixes")
         spanning = lambda rows: rows.groupBy("token").agg(F.min("id").alias("b"), F.min_by("c", "id").alias("cb"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
         led = tokens.join(spanning(tokens).select("token", "b", "cb"), "token").where("c <> cb").select(F.col("id").alias("a"), "b").distinct()

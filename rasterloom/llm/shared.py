@@ -7,10 +7,12 @@ that is unset (tests, notebooks) a temporary folder of this machine is used.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rasterloom.shipping import ship
 
@@ -52,14 +54,31 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def _number(text: str) -> int:
-    digits = "".join(c for c in text if c.isdigit())
-    return int(digits or 0) << (20 if text.lower().endswith(("m", "mb")) else 0)
+    """A setting's bytes: digits and perhaps a unit of Spark's (b, k, m, g, t or p, with or without b)."""
+    digits, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", text.lower()).groups()
+    return int(digits) << (10 * (" kmgtp".index(unit) if unit else 0))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with underlines added until no column of ``df`` has it in any case."""
+    taken, out = {x.lower() for x in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def bounded(ids: DataFrame, most_bytes: int, row_bytes: int = 32) -> DataFrame:
+    """``ids``, marked for broadcast if its rows, counted first, hold ``most_bytes`` at most."""
+    return F.broadcast(ids) if ids.count() * row_bytes <= most_bytes else ids
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
