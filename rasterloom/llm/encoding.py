@@ -13,7 +13,7 @@ import re
 from array import array
 from functools import cache
 from operator import itemgetter
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 from tokenizers import Tokenizer
 
@@ -51,7 +51,7 @@ class _Kept(dict):
 
     def __missing__(self, piece: str) -> bytes:
         # one closing mark after a letter is a piece of its own, and so is the word before it
-        if piece[-2:-1].isalpha() and (mark := self.marks.get(piece[-1])) is not None:
+        if (mark := self.marks.get(piece[-1:])) is not None and self._ends_in_letter(piece[:-1]):
             return self[piece[:-1]] + mark
         ids = self.old.get(piece)
         if ids is None:
@@ -62,6 +62,11 @@ class _Kept(dict):
         self[piece] = ids
         return ids
 
+    def _ends_in_letter(self, word: str) -> bool:
+        """So the pattern sees it: lower-casing and NFC may leave a combining mark last, which joins a mark after it."""
+        last = word[-1:]
+        return last.isalpha() and (not self.lower or last.isascii() or normalize("NFC", last.lower())[-1].isalpha())
+
     def _made(self, piece: str) -> bytes:
         word = piece[1:] if (bare := piece[:1] == CLOSING) else piece
         if word.isalpha():
