@@ -148,14 +148,22 @@ def prefixes(texts: DataFrame, size: int, percent: int, ranks: np.ndarray) -> Da
     return texts.mapInArrow(run, "token long, id long, c long, n long, at long")
 
 
+def split_documents(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) from a doc_id whose rows differ to the classes of all its rows: it is one document."""
+    least, most = F.min(F.struct("key_1", "key_2")), F.max(F.struct("key_1", "key_2"))
+    several = sketches.where("doc_id is not null").groupBy("doc_id").agg(least.alias("least"), most.alias("most"), F.count("*").alias("n")).where("n > 1 and least <> most").select("doc_id")
+    rows = sketches.join(several, "doc_id").where("n_shingles > 0").join(classes.select("key_1", "key_2", "id"), ["key_1", "key_2"])
+    return rows.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int | None = None, rows: int | None = None, broadcast_ids: int = 1_000_000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked where 100 * |A and B| >= percent * |A or B| over their distinct
     ``size``-word shingles; ``component_id`` is the smallest doc_id that links reach and
     ``kept`` says whether the row's doc_id is that. Null, empty and white-space texts have
-    an empty set: linked with nothing and kept. Rows that share a doc_id count as one
-    document. A row without doc_id takes no part: component_id null, kept. Repeated rows
+    an empty set: linked with nothing and kept. Rows that share a doc_id are one
+    document, linked with whatever any of its texts is linked with. A row without doc_id takes no part: component_id null, kept. Repeated rows
     stay. Further columns are ignored; an empty table gives an empty result.
 
     Up to ``broadcast_ids`` ids of candidates are broadcast to pick their texts; more are
@@ -177,7 +185,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     texts = materialize(docs.select("doc_id", "text").join(picked(wanted), "doc_id"), "texts")
 
     tried = materialize(members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    of = components(materialize(confirmed(tried, texts, size, percent), "confirmed"))
+    of = components(materialize(confirmed(tried, texts, size, percent).unionAll(split_documents(sketches, classes)), "confirmed"))
 
     # buckets that still span components: their members meet again by rare shingles
     named = lambda rows, of: rows.join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
@@ -207,8 +215,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         drop(spark, tokens, rest, pairs, led)
     drop(spark, texts, members)
 
-    roots = classes.select("id").join(of.withColumnRenamed("node", "id"), "id", "inner")
-    named = sketches.select("doc_id", "n_shingles", "key_1", "key_2").join(classes.select("key_1", "key_2", "id"), ["key_1", "key_2"], "left").join(roots, "id", "left")
-    alone = F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id"))
-    component = F.coalesce("component", alone)
+    named = sketches.select("doc_id", "n_shingles", "key_1", "key_2").join(classes.select("key_1", "key_2", "id"), ["key_1", "key_2"], "left")
+    named = named.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id"))).join(of, "node", "left")
+    component = F.coalesce("component", "node")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
