@@ -3,12 +3,12 @@
 Subwords are the byte n-grams of lower-cased text, white space counting as one space. A
 text's vector is the mean of its subwords' embeddings; a softmax over a linear layer
 gives the languages. Both layers are trained by stochastic gradient descent. A part of the
-sample is kept from training and sets the softmax temperature and the rejection limit.
+sample is kept from training and sets the softmax temperature; it and made-up texts of no
+language set the rejection limit.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,14 +21,22 @@ from rasterloom.llm import wordhash as wh
 from rasterloom.llm.samples import folded, thinned
 from rasterloom.llm.shared import bounded_batches
 
-_LETTER = re.compile(r"[^\W\d_]")
 _CLEAN = wh._LOWER.copy()
 _CLEAN[wh._SPACE] = 32
 
 
+def lettered(texts: pa.Array) -> np.ndarray:
+    """Which texts hold a letter; null ones don't."""
+    return np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+
+
 @dataclass
 class Model:
-    """``table[bucket]``: what one subword adds to each language's mean score."""
+    """``table[bucket]``: what one subword adds to each language's mean score.
+
+    Texts that score below ``limit`` are rejected; of the calibration texts that was the share
+    ``wrongly_rejected``, and of shuffled characters, digits and markup all but ``wrongly_accepted``.
+    """
 
     languages: list[str]
     table: np.ndarray
@@ -36,6 +44,8 @@ class Model:
     temperature: float
     limit: float
     sizes: tuple[int, ...]
+    wrongly_rejected: float = 0.0
+    wrongly_accepted: float = 1.0
 
 
 def buckets(offsets: np.ndarray, data: np.ndarray, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +96,8 @@ def softmax(scores: np.ndarray) -> np.ndarray:
 def train(texts: list[str], languages: list[str], sizes=(2, 3, 4), bits: int = 16, width: int = 16, epochs: int = 12, rate: float = 0.5, reject: float = 0.001, seed: int = 7) -> Model:
     """Fit by stochastic gradient descent; every fifth text calibrates instead.
 
-    ``reject``: the share of calibration texts that may score below the limit, which is
-    0.5 at most: a text is only rejected where no language has half of the probability.
+    ``reject``: the share of calibration texts that may score below the limit. The limit lies
+    as high as that allows, but no higher than nearly all texts of no language need.
     """
     names = sorted(set(languages))
     y = np.array([names.index(x) for x in languages])
@@ -130,10 +140,26 @@ def train(texts: list[str], languages: list[str], sizes=(2, 3, 4), bits: int = 1
         losses = [(-np.log(softmax(scores / t)[np.arange(len(held)), target] + 1e-12).mean(), t) for t in (0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 5.0)]
         model.temperature = min(losses)[1]
         sure = softmax(scores / model.temperature).max(axis=1)
-        model.limit = float(min(0.5, np.quantile(sure, reject)))
+        noise = softmax(text_scores(model, pa.array(no_language([texts[i] for i in held], rng))) / model.temperature).max(axis=1)
+        model.limit = float(min(np.quantile(sure, reject), np.quantile(noise, 0.99)))
+        model.wrongly_rejected, model.wrongly_accepted = float((sure < model.limit).mean()), float((noise >= model.limit).mean())
     return model
 
 
+def no_language(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """Texts of no language, as long as the given ones up to 2000 characters: in turn shuffled letters, digits, markup."""
+    out = []
+    for i, text in enumerate(texts):
+        part = text[:2000]
+        if i % 3 == 0:
+            out.append("".join(rng.permutation(list(part)).tolist()))
+        elif i % 3 == 1:
+            out.append("".join(rng.choice(list("0123456789 .,-"), len(part)).tolist()))
+        else:
+            out.append("".join(rng.choice(["<td>", "</td>", "{", "}", ";", "&nbsp;", " = ", "0", "x", "()", "<br/>"], len(part) // 4 + 1).tolist()))
+    return out
+
+
 def fit(rows: DataFrame, sample: int = 3000) -> Model | None:
     """Train on about ``sample`` rows (text, lang, doc_id); None where there is none."""
     some = thinned(rows.where("text is not null and lang is not null"), ["doc_id"], sample).select("doc_id", "text", "lang").collect()
@@ -162,13 +188,13 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def judge(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    lettered = np.array([t.is_valid and bool(_LETTER.search(t.as_py())) for t in texts], bool)
+    has = lettered(texts)
     if model is None or not len(texts):
         return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
     p = softmax(text_scores(model, texts) / model.temperature)
     best = p.argmax(axis=1)
-    score = np.where(lettered, p.max(axis=1), 0.0)
-    return [model.languages[k] if ok else "und" for k, ok in zip(best, lettered, strict=True)], score, ~lettered | (score < model.limit)
+    score = np.where(has, p.max(axis=1), 0.0)
+    return [model.languages[k] if ok else "und" for k, ok in zip(best, has, strict=True)], score, ~has | (score < model.limit)
 
 
 def learn_and_identify(docs: DataFrame, folds: int = 4, held_out: int = 2, sample: int = 3000) -> DataFrame:
@@ -192,7 +218,7 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
             for a, b in wh.blocks(texts):
                 part = texts.slice(a, b - a)
                 if model is None:
-                    keep += [t.is_valid and bool(_LETTER.search(t.as_py())) for t in part]
+                    keep += lettered(part).tolist()
                 else:
                     keep += (~judge(model, part)[2]).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
