@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from rasterloom.llm import wordhash as wh
 from rasterloom.llm.shared import bounded_batches
 
-#: Marked positions are 1; all masks have the same weight.
+#: Marked positions are 1: six, seven and six of them.
 MASKS = ("11101011", "1101100111", "111001011")
 MISMATCH = 3
 

@@ -106,7 +106,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
     ``end_id``, so an empty one is a piece of one id; an empty table gives no rows. Rows
     with equal doc_id are packed as separate documents. ``sequence_id`` numbers windows
     (partition, then order); ``window`` is the context size, which the ids fill
-    exactly; ``step_id`` groups windows of one size that hold ``step_ids`` ids together.
+    exactly; ``step_id`` groups windows of one size that hold ``step_ids`` ids together; groups are
+    counted off per partition, whose last group of each size may hold fewer.
     """
     bounded_batches(docs.sparkSession)
 

@@ -5,7 +5,7 @@ digit, digits, URL schemes and identifier cues. A deterministic parser for the k
 expands from the anchor to the left and right, and validates what it found. Text without
 anchors costs no more than the scan.
 
-Kinds, in the order of results: email, ip, card, phone (the base kinds), url, account.
+Kinds, in the order of results: email, ip, card, phone (the base kinds), url, account, secret.
 Offsets are code points, ends exclusive. Spans of one kind don't overlap.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from rasterloom.llm.shared import bounded_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url", "account")
+KINDS = (*BASE_KINDS, "url", "account", "secret")
 
 # What a parser may run over, from an anchor on.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,6 +36,8 @@ _NAMED = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|#))?\x20?[:=#]?\x20?([0-9](?
 
 SCHEMES = ("http://", "https://", "ftp://")
 CUES = ("iban", "account", "acct", "konto", "cuenta", "compte")
+SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "private_key")
+_SECRET = re.compile(r"[\"']?\x20{0,2}(?::=|=>|[:=])\x20{0,2}[\"']?([A-Za-z0-9_.+/=-]{16,512})(?![A-Za-z0-9_.+/=-])")
 
 
 @cache
@@ -50,6 +52,9 @@ def automaton() -> ahocorasick.Automaton:
     for cue in CUES:
         for form in {cue, cue.upper(), cue.capitalize()}:
             found.add_word(form, ("cue", len(form)))
+    for cue in SECRET_CUES:
+        for form in {cue, cue.upper(), cue.capitalize()}:
+            found.add_word(form, ("secret", len(form)))
     found.make_automaton()
     return found
 
@@ -104,6 +109,14 @@ def _account(text: str, at: int) -> tuple[int, int] | None:
     return None
 
 
+def _secret(text: str, at: int) -> tuple[int, int] | None:
+    """What is assigned to a secret's name: 16 characters or more with letters and digits."""
+    m = _SECRET.match(text, at)
+    if m and any(map(str.isdigit, m.group(1))) and any(map(str.isalpha, m.group(1))):
+        return m.span(1)
+    return None
+
+
 def find(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind in ``text``, ascending; kinds without spans are absent."""
     found: dict[str, list[tuple[int, int]]] = {}
@@ -139,6 +152,9 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                 url_end = at + len(m.group().rstrip(".,;:!?)"))
                 if url_end > last + 1:
                     add("url", at, url_end)
+        elif what == "secret":
+            if span := _secret(text, last + 1):
+                add("secret", *span)
         elif at >= account_end and not (at and (text[at - 1].isalnum() or text[at - 1] == "_")) and (span := _account(text, last + 1)):
             add("account", *span)
             account_end = span[1]

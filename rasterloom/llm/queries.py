@@ -20,7 +20,8 @@ def op4_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
-    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    private = F.size(F.filter("spans", lambda s: s["kind"] != "url")).cast("long").alias("n_private")
+    return found.select("doc_id", *counts, private, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
 def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
