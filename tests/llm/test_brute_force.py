@@ -82,6 +82,16 @@ def test_near_duplicates_in_chains(spark):
     assert got == expected_components(texts, 5, 80)
 
 
+def test_near_duplicates_of_documents_in_several_rows(spark):
+    """Rows of one doc_id are one document: its links are those of all its texts."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (9, b), (11, c), (12, ""), (12, c), (13, None), (13, a + " more"), (14, b + " x"), (14, c + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(docs, size=3, percent=85).collect()]
+    # 14 joins the copies of b and of c, 7 those of a and b, 13 hangs on a
+    assert sorted(got) == sorted((d, 3, d == 3) for d, _ in rows)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 2000).astype(np.uint64)
@@ -104,6 +114,25 @@ def test_lines(spark, documents):
     assert {d: r.n_removed for d, r in got.items()} == {d: len(gone[d]) for d in documents}
 
 
+@pytest.mark.parametrize("common", [0, 3, 100_000])
+def test_lines_with_common_words(spark, common):
+    """Common words meet in pairs only; that loses no match, whatever counts as common."""
+    from rasterloom.llm import line_dedup
+
+    rng = np.random.default_rng(common)
+    words = [f"w{i}" for i in range(40)]
+    base = [list(rng.choice(words, rng.integers(1, 16), replace=False)) for _ in range(40)]
+    lines = [[w for w in base[rng.integers(40)] if rng.random() < 0.93] for _ in range(160)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(lines)]
+    docs = spark.createDataFrame([(i, 0, t) for i, t in rows], "doc_id long, row long, text string")
+    got = {r.doc_id for r in line_dedup.kept_lines(docs, 80, common_words=common).collect()}
+    sets, want = [set(x) for x in lines], set()
+    for i, one in enumerate(sets):
+        if one and not any(100 * len(one & other) >= 80 * len(one | other) for other in sets[:i] if other):
+            want.add(i)
+    assert got == want
+
+
 @pytest.mark.parametrize("percent", [50, 66, 75, 100])
 def test_short_lines_at_any_percent(spark, percent):
     """Lines of one to six words, at limits where sets of two or three words can match larger ones."""
@@ -178,6 +207,11 @@ def test_pii_extra_kinds():
     assert [text[a:b] for a, b in found["account"]] == ["DE89 3704 0044 0532 0130 00", "12345678"]
 
 
+def test_pii_secrets():
+    text = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" the token of a word; API_KEY=abcdefghijklmnop1 password: short1 secret:abcdefghijklmnopqrst'
+    assert [text[a:b] for a, b in pii.find(text)["secret"]] == ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "abcdefghijklmnop1"]
+
+
 def test_token_files(spark, documents):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = queries.op10_token_files(spark, SF).orderBy("start").collect()
@@ -251,6 +285,21 @@ def test_encoder_is_exact():
             assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, (name, t)
 
 
+def test_encoder_is_exact_on_random_texts():
+    """Letters, marks, line ends and the characters that lower-casing, NFC and white space treat specially."""
+    from rasterloom.llm.encoding import PieceEncoder
+
+    special = ["\u0130", "\u0131", "\u00df", "\u212a", "\u0301", "\u0307", "\u0323", "\u0958", "\u1100", "\u1161", "\u200d", "\xa0", "\u2028", "\x85", "\x1c", "\x0b", "\U0001f600", "<|endoftext|>", "'s", "'T", "\0", "\u2126", "\ufb01", "\u1e9b", "\u00aa", "\u00b2", "\u3000", "\u03a3", "\u00e9", "\u65e5", "\ufeff", "\u037e"]
+    rng = np.random.default_rng(4)
+    parts = np.array([*"aaabZIi09 .,!?:;'-_\n\n\n   \t\r", *special], object)
+    texts = ["".join(rng.choice(parts, n)) for n in rng.integers(1, 10, 20_000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        plain, encoder = Tokenizer.from_file(path), PieceEncoder(path, cache_pieces=3000)
+        for t, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, (name, t)
+
+
 def test_encoder_is_exact_on_line_ends():
     from rasterloom.llm.encoding import PieceEncoder
 
@@ -372,6 +421,28 @@ def test_language_rejects_what_it_cannot_tell():
     assert lang == ["en", "fr", "und", "und"] and rejected.tolist()[2:] == [True, True] and not rejected[:2].any()
 
 
+def test_language_scores_equal_plain_means():
+    """A text's score: the mean over all its byte n-grams of what each adds, and the bias."""
+    texts = ["The cat\n and  THE dog", "le chien", "a", "", None, "é" * 40, "x\ty " * 30]
+    model = languages.train([t or "" for t in texts] * 12, ["en", "fr", "en", "fr", "en", "fr", "fr"] * 12, bits=10, epochs=2)
+    got = languages.text_scores(model, pa.array(texts))
+    for text, scores in zip(texts, got, strict=True):
+        raw = bytes(32 if c in (32, 9, 10, 11, 12, 13) else c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+        grams = [raw[i : i + n] for n in model.sizes for i in range(len(raw) - n + 1)]
+        bucket = [((int.from_bytes(g, "little") + len(g)) * 0x9E3779B97F4A7C15 % 2**64) >> 54 for g in grams]
+        want = model.bias + (np.mean([model.table[b].astype(float) for b in bucket], axis=0) if grams else 0)
+        assert np.allclose(scores, want, atol=1e-5)
+
+
+def test_letters_and_rejection():
+    assert languages.lettered(pa.array(["½²", "٣ 4", "_", "ª", "日", "1a", "", None])).tolist() == [False, False, False, True, True, True, False, False]
+    rng = np.random.default_rng(0)
+    words = {"en": "the cat and dog ran home with some other thing".split(), "fr": "le chat et un chien sont là avec une autre".split()}
+    pairs = [(" ".join(rng.choice(words[k], 20)), k) for k in ("en", "fr") for _ in range(150)]
+    model = languages.train([t for t, _ in pairs], [k for _, k in pairs])
+    assert model.wrongly_rejected <= 0.05 and model.wrongly_accepted < 1
+
+
 def test_quality_accuracy(spark):
     labels = {r.doc_id: r.quality for r in queries.table(spark, "/root/testdata/sf0.01", "labels").collect()}
     out = queries.op1_factorisation_quality(spark, "/root/testdata/sf0.01").collect()
@@ -419,12 +490,33 @@ def test_neighbours_recall(spark):
 
 def test_pigeonhole_finds_every_code():
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 256, (3000, 8), np.uint8)
-    codes[1000:1100] = codes[0] ^ (rng.random((100, 8)) < 0.3).astype(np.uint8)
-    block = neighbours.Block(codes)
-    for radius in (0, 1, 3, 5, 8, 9, 20, 64):
-        far = np.unpackbits(codes ^ codes[0], axis=1).sum(axis=1)
-        assert block.within(codes[0], radius).tolist() == np.flatnonzero(far <= radius).tolist()
+    codes = rng.integers(0, 1 << 16, (3000, 4), np.uint16)
+    codes[1000:1100] = codes[0] ^ (1 << rng.integers(0, 16, (100, 4))).astype(np.uint16)
+    block, apart = neighbours.Block(codes), neighbours._POP[codes ^ codes[0]].astype(int)
+    need = neighbours.needed_radius(codes, codes[0])
+    for radius in (0, 1, 3, 4, 5, 8, 9, 20, 64):
+        got = block.within(codes[0], radius).tolist()
+        small, extra = divmod(radius, 4)
+        # a row is retrieved where one of its substrings lies within the radius of that substring
+        assert got == [i for i, d in enumerate(apart) if any(d[s] <= (small if s <= extra else small - 1) for s in range(4)) or radius == 64]
+        assert set(got) >= set(np.flatnonzero(apart.sum(axis=1) <= radius).tolist())
+        assert radius == 64 or got == np.flatnonzero(need <= radius).tolist()
+
+
+def test_neighbours_probe_a_part_only(spark):
+    """The probes touch less than half of the rows, and what they find holds 0.9 of the neighbours."""
+    folder = "/root/testdata/sf0.1"
+    rows = queries.table(spark, folder, "embeddings").toPandas()
+    x, ids = np.array(rows.embedding.tolist(), float), rows.vec_id.to_numpy()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    out = queries.op3_multi_index_hashing(spark, folder).toPandas()
+    assert out.rows_touched.max() < len(ids) / 2
+    hits = 0
+    for q, found in out.groupby("query_id"):
+        cos = unit @ unit[np.flatnonzero(ids == q)[0]]
+        cos[ids == q] = -2
+        hits += len(set(ids[np.argsort(-cos, kind="stable")[:5]]) & set(found.vec_id))
+    assert hits >= 0.9 * len(out) and len(out) == 5 * (ids % 50 == 0).sum()
 
 
 def test_cut_lines():

@@ -59,6 +59,10 @@ def test_lines(docs, none):
     assert got[7] == ("same text in both rows", 0)
     assert out.count() == len(DOCS)
     assert line_dedup.drop_lines(none).count() == 0
+    clashing = docs.withColumnRenamed("c", "N_removed").withColumnRenamed("a", "Row").drop("row")
+    again = line_dedup.drop_lines(clashing)
+    assert again.columns == [*clashing.columns, "n_removed_" if "n_removed_" not in docs.columns else "n_removed__"]
+    assert again.count() == len(DOCS) and line_dedup.drop_lines(clashing, counted=None).columns == clashing.columns
 
 
 def test_decontamination(spark, docs, none):
@@ -147,17 +151,46 @@ def test_neighbours_among_many_unusable(spark):
     assert {r.vec_id for r in df.where(neighbours._fit("embedding")).collect()} == {20_001, 20_002, 20_003}
 
 
+#: What stays of DOCS after each stage: doc_id and the words that are left.
+STAYS = {
+    "language_id": [4, 5, 6, 7, 7, 9, None],
+    "line_dedup": [1, 2, 3, 4, 5, 7, 7, 8, 9, None],
+    "near_dedup": [1, 2, 3, 4, 5, 7, 7, 8, 9, None],
+    "decontamination": [1, 2, 3, 4, 5, 6, 8, 9, None],
+}
+
+
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
 def test_stages(spark, stage, tmp_path):
+    """Nulls, empties, long texts, repeated rows, no doc_id, extra columns of clashing names, empty tables."""
     name, function = stage
-    spark.createDataFrame([(1, "nothing of this is anywhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    columns = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = spark.createDataFrame([(*d, "s", len(d[1] or "")) for d in DOCS], columns)
-    for df in (docs, docs.limit(0)):
-        out = function(spark, df, str(tmp_path))
-        if name != "packing":
-            assert out.columns == docs.columns
-        out.count()
+    spark.createDataFrame([(1, "same text in both rows"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    columns = "doc_id long, text string, lang string, source string, n_chars long, N_removed string, kept string, component_id string, Row string, score string"
+    docs = spark.createDataFrame([(*d, "s", len(d[1] or ""), *"vwxyz") for d in DOCS], columns)
+    out = function(spark, docs, str(tmp_path))
+    if name == "packing":
+        sizes = {r.doc_id: r.doc_tokens for r in out.collect()}
+        assert set(sizes) == {d for d, *_ in DOCS} and sizes[1] == sizes[2] == 1
+    else:
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert sorted((r.doc_id for r in found), key=repr) == sorted(STAYS[name], key=repr)
+        texts = {d: t for d, t, _ in DOCS}
+        assert all(r.text == texts[r.doc_id] and r.N_removed == "v" and r.score == "z" for r in found)
+    assert function(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_every_text_survives_once(spark, tmp_path):
+    """Of exact and near copies, also in rows of one doc_id, one document stays; others stay whole."""
+    own = {i: "\n".join(" ".join(f"w{i}x{j}y{k}" for k in range(12)) for j in range(4)) for i in range(12)}
+    rows = [(i, own[i % 8]) for i in range(20)] + [(30, own[8] + " more"), (31, own[8]), (40, own[9]), (40, own[10]), (41, own[10]), (50, own[11])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    once = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in once.collect()) == [*range(8), 30, 40, 40, 50]
+    for first in (docs, once):
+        left = corpus_pipeline.drop_repeated_lines(spark, first, str(tmp_path)).collect()
+        assert sorted(r.doc_id for r in left) == [*range(8), 30, 40, 40, 50]
+        assert all(len(r.text) == r.n_chars and r.text.split() for r in left)
 
 
 def test_decontaminated_rows(spark, tmp_path):
