@@ -82,55 +82,67 @@ def unpredict(data: bytes) -> bytes:
 _MIN_RUN, _MAX_RUN = 3, 128
 
 
+def _pieces(starts: np.ndarray, lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches cut into pieces of ``most`` and a rest."""
+    number = -(-lengths // most)
+    nth = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
+    return np.repeat(starts, number) + nth * most, np.minimum(np.repeat(lengths, number) - nth * most, most)
+
+
 def rle_encode(data: np.ndarray) -> bytes:
     """Runs of 3 to 128 equal bytes, and literals between them."""
     if not len(data):
         return b""
-    edge = np.flatnonzero(np.diff(data)) + 1
-    starts = np.concatenate([[0], edge])
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(data)) + 1])
     lengths = np.diff(np.append(starts, len(data)))
-    out, pending = bytearray(), 0  # ``pending`` literals end where the next run begins
-
-    def literals(end: int, n: int) -> None:
-        at = end - n
-        while at < end:
-            k = min(127, end - at)
-            out.append(256 - k)
-            out.extend(data[at : at + k].tobytes())
-            at += k
-
-    for start, length in zip(starts.tolist(), lengths.tolist(), strict=True):
-        if length < _MIN_RUN:
-            pending += length
-            continue
-        literals(start, pending)
-        pending, value = 0, int(data[start])
-        while length:
-            k = min(_MAX_RUN, length)
-            if k < _MIN_RUN:  # a tail too short for a run
-                pending = k
-                break
-            out += bytes((k - 1, value))
-            length -= k
-    literals(len(data), pending)
-    return bytes(out)
+    long = lengths >= _MIN_RUN
+    starts, lengths = starts[long], lengths[long]
+    tail = lengths % _MAX_RUN
+    lengths -= np.where(tail < _MIN_RUN, tail, 0)  # a tail too short for a run joins the literals
+    between = np.concatenate([[0], starts + lengths])
+    gaps = np.append(starts, len(data)) - between
+    run_at, run_n = _pieces(starts, lengths, _MAX_RUN)
+    text_at, text_n = _pieces(between, gaps, 127)
+    at, n = np.concatenate([run_at, text_at]), np.concatenate([run_n, text_n])
+    order = np.argsort(at)
+    run = (np.arange(len(at)) < len(run_at))[order]
+    at, n = at[order], n[order]
+    size = np.where(run, 2, n + 1)
+    place = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    out[place] = np.where(run, n - 1, 256 - n)
+    out[place[run] + 1] = data[at[run]]
+    n, at, place = n[~run], at[~run], place[~run]
+    shift = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    out[shift + np.repeat(place + 1 - at, n)] = data[shift]
+    return out.tobytes()
 
 
 def rle_decode(data: bytes, size: int) -> bytes:
-    out, at = bytearray(), 0
-    while at < len(data):
-        n = data[at] - 256 if data[at] > 127 else data[at]
-        if n < 0:
-            out += data[at + 1 : at + 1 - n]
-            at += 1 - n
-        else:
-            if at + 1 >= len(data):
-                raise Corrupt("a run has no value")
-            out += data[at + 1 : at + 2] * (n + 1)
-            at += 2
-    if len(out) != size:
+    if not data:
+        if size:
+            raise Corrupt("the run lengths give another size")
+        return b""
+    code = np.frombuffer(data, np.uint8)
+    step = np.where(code < 128, 2, 257 - code.astype(np.int32)).tolist()
+    heads, at, end = [], 0, len(data)
+    while at < end:  # an operation says where the next one lies
+        heads.append(at)
+        at += step[at]
+    heads = np.array(heads)
+    run = code[heads] < 128
+    if heads[-1] + 1 >= end and run[-1]:
+        raise Corrupt("a run has no value")
+    n = np.where(run, code[heads].astype(np.int64) + 1, 256 - code[heads].astype(np.int64))
+    if at > end:  # literals that the end cuts off
+        n[-1] -= at - end
+    if n.sum() != size:
         raise Corrupt("the run lengths give another size")
-    return bytes(out)
+    first = np.cumsum(n) - n
+    source = np.repeat(heads + 1 - np.where(run, 0, first), n)
+    if not run.all():
+        source += np.arange(size) * np.repeat(~run, n)
+    return code[source].tobytes()
 
 
 def float_to_24(bits: np.ndarray) -> np.ndarray:
@@ -182,44 +194,63 @@ def _ordered(h: np.ndarray) -> np.ndarray:
     return np.where(h & 0x7C00 == 0x7C00, 0x8000, t)
 
 
-def b44_pack(block: np.ndarray, flat: bool) -> bytes:
-    """Sixteen half patterns (row by row) in 14 bytes, or 3 where ``flat`` allows and all are equal."""
-    t = _ordered(block)
-    top = int(t.max())
-    for shift in range(32):
+#: The sample that each of a block's fifteen differences starts from, and the one it leads to.
+_B44_FROM = np.array([0, 4, 8, 0, 4, 8, 12, 1, 5, 9, 13, 2, 6, 10, 14])
+_B44_TO = np.array([4, 8, 12, 1, 5, 9, 13, 2, 6, 10, 14, 3, 7, 11, 15])
+
+
+def b44_pack(blocks: np.ndarray, flat: bool) -> bytes:
+    """Blocks (n, 16) of half patterns, row by row, in 14 bytes each, or 3 where ``flat`` allows and all are equal."""
+    t = _ordered(blocks).astype(np.int64)
+    x = (t.max(axis=1, keepdims=True) - t) << 1
+    n = len(t)
+    shift, first, run = np.zeros(n, np.int64), t[:, 0].copy(), np.zeros((n, 15), np.int64)
+    open_, s = np.arange(n), 0
+    while len(open_):
         # distances from the largest value, rounded half to even at this precision
-        x = (top - t) << 1
-        half, mask = (1 << shift) - 1, 1 << (shift + 1)
-        d = (x + half + np.where(x & mask, 1, 0)) >> (shift + 1) if shift else x >> 1
-        run = np.concatenate([[d[0] - d[4], d[4] - d[8], d[8] - d[12]], d[[0, 4, 8, 12]] - d[[1, 5, 9, 13]], d[[1, 5, 9, 13]] - d[[2, 6, 10, 14]], d[[2, 6, 10, 14]] - d[[3, 7, 11, 15]]]) + 32
-        if run.min() >= 0 and run.max() <= 63:
-            break
-    first = int(t[0]) if shift == 0 else int(top - (int(d[0]) << shift))
-    if flat and (run == 32).all():
-        return bytes((first >> 8 & 255, first & 255, 0xFC))
-    bits = 0
-    for v in run.tolist():
-        bits = bits << 6 | v
-    return bytes((first >> 8 & 255, first & 255)) + (shift << 90 | bits).to_bytes(12, "big")
-
-
-def b44_unpack(data: bytes) -> np.ndarray:
-    first = data[0] << 8 | data[1]
-    if len(data) == 3:
-        t = np.full(16, first, np.int64)
-    else:
-        word = int.from_bytes(data[2:14], "big")
-        shift = word >> 90
-        run = [(word >> (6 * (14 - k)) & 63) - 32 << shift for k in range(15)]
-        t = np.zeros(16, np.int64)
-        t[0] = first
-        for k in range(3):
-            t[4 * (k + 1)] = t[4 * k] + run[k]
-        for col in range(3):
-            for k in range(4):
-                t[4 * k + col + 1] = t[4 * k + col] + run[3 + 4 * col + k]
-        t &= 0xFFFF
-    return np.where(t & 0x8000, t & 0x7FFF, ~t & 0xFFFF).astype(np.uint16)
+        own = x[open_]
+        d = (own + ((1 << s) - 1) + ((own >> (s + 1)) & 1)) >> (s + 1) if s else own >> 1
+        steps = d[:, _B44_FROM] - d[:, _B44_TO] + 32
+        fits = (steps >= 0).all(axis=1) & (steps <= 63).all(axis=1)
+        done = open_[fits]
+        shift[done], run[done] = s, steps[fits]
+        if s:
+            first[done] = t[done].max(axis=1) - (d[fits, 0] << s)
+        open_, s = open_[~fits], s + 1
+    fields = np.concatenate([shift[:, None], run], axis=1).reshape(n, 4, 4)
+    f0, f1, f2, f3 = (fields[:, :, k] for k in range(4))
+    out = np.zeros((n, 14), np.uint8)
+    out[:, 0], out[:, 1] = first >> 8 & 255, first & 255
+    out[:, 2::3], out[:, 3::3], out[:, 4::3] = f0 << 2 | f1 >> 4, (f1 & 15) << 4 | f2 >> 2, (f2 & 3) << 6 | f3
+    keep = np.ones((n, 14), bool)
+    if flat:
+        equal = (run == 32).all(axis=1)
+        out[equal, 2] = 0xFC
+        keep[equal, 3:] = False
+    return out[keep].tobytes()
+
+
+def b44_unpack(payload: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """The half patterns (n, 16) of n blocks from ``at`` on, and where they end."""
+    starts, end = [], len(payload)
+    for _ in range(n):
+        if at + 3 > end:
+            raise Corrupt("a B44 block is cut off")
+        starts.append(at)
+        at += 3 if payload[at + 2] >= 13 << 2 else 14
+    if at > end:
+        raise Corrupt("a B44 block is cut off")
+    data = np.frombuffer(payload + bytes(14), np.uint8)[np.array(starts, np.int64)[:, None] + np.arange(14)].astype(np.int64)
+    b = data[:, 2:].reshape(n, 4, 3)
+    fields = np.stack([b[:, :, 0] >> 2, (b[:, :, 0] & 3) << 4 | b[:, :, 1] >> 4, (b[:, :, 1] & 15) << 2 | b[:, :, 2] >> 6, b[:, :, 2] & 63], axis=2).reshape(n, 16)
+    flat = data[:, 2] >= 13 << 2
+    steps = np.where(flat[:, None], 0, (fields[:, 1:] - 32) << np.where(flat, 0, fields[:, 0])[:, None])
+    t = np.zeros((n, 16), np.int64)
+    t[:, 0] = data[:, 0] << 8 | data[:, 1]
+    for k, (one, other) in enumerate(zip(_B44_FROM, _B44_TO, strict=True)):
+        t[:, other] = t[:, one] + steps[:, k]
+    t &= 0xFFFF
+    return np.where(t & 0x8000, t & 0x7FFF, ~t & 0xFFFF).astype(np.uint16), at
 
 
 def _planes(data: bytes, rows: list[Row]) -> dict[int, list[bytes]]:
@@ -237,9 +268,8 @@ def b44_encode(data: bytes, rows: list[Row], flat: bool) -> bytes:
             continue
         plane = np.stack([np.frombuffer(x, "<u2") for x in lines])
         padded = np.pad(plane, ((0, -len(lines) % 4), (0, -plane.shape[1] % 4)), mode="edge")
-        for y in range(0, padded.shape[0], 4):
-            for x in range(0, padded.shape[1], 4):
-                out.append(b44_pack(padded[y : y + 4, x : x + 4].reshape(-1), flat))
+        h, w = padded.shape
+        out.append(b44_pack(padded.reshape(h // 4, 4, w // 4, 4).swapaxes(1, 2).reshape(-1, 16), flat))
     return b"".join(out)
 
 
@@ -256,14 +286,9 @@ def b44_decode(payload: bytes, rows: list[Row]) -> bytes:
             planes[channel] = [payload[at + k * size : at + (k + 1) * size] for k in range(h)]
             at += size * h
             continue
-        plane = np.zeros((h + -h % 4, w + -w % 4), np.uint16)
-        for y in range(0, h, 4):
-            for x in range(0, w, 4):
-                if at + 3 > len(payload):
-                    raise Corrupt("a B44 block is cut off")
-                n = 3 if payload[at + 2] >= 13 << 2 else 14
-                plane[y : y + 4, x : x + 4] = b44_unpack(payload[at : at + n]).reshape(4, 4)
-                at += n
+        down, across = -(-h // 4), -(-w // 4)
+        blocks, at = b44_unpack(payload, at, down * across)
+        plane = blocks.reshape(down, across, 4, 4).swapaxes(1, 2).reshape(4 * down, 4 * across)
         planes[channel] = [row.astype("<u2").tobytes() for row in plane[:h, :w]]
     taken = {c: iter(lines) for c, lines in planes.items()}
     return b"".join(next(taken[r.channel]) for r in rows)
