@@ -24,15 +24,15 @@ def layer_channels(channels: DataFrame, layer: str) -> DataFrame:
     return channels.withColumn("inner_name", names.in_layer(F.col("name"), layer)).where("inner_name is not null")
 
 
-def interleave(samples: DataFrame, channels: list[str]) -> DataFrame:
-    """One row per pixel from (y, x, channel, value); the list of channels is given, never inferred."""
-    return samples.groupBy("y", "x").agg(*(F.max(F.when(F.col("channel") == c, F.col("value"))).alias(c) for c in channels))
+def interleave(samples: DataFrame, channels: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per pixel from (keys, y, x, channel, value); the list of channels is given, never inferred."""
+    return samples.groupBy(*keys, "y", "x").agg(*(F.max(F.when(F.col("channel") == c, F.col("value"))).alias(c) for c in channels))
 
 
-def deinterleave(pixels: DataFrame, columns: list[str]) -> DataFrame:
-    """(y, x, channel, value) from pixels; channels are named by their number."""
+def deinterleave(pixels: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, y, x, channel, value) from pixels; channels are named by their number."""
     parts = PLANAR_NAMES[len(columns)]
-    return pixels.select("y", "x", F.explode(F.array(*(F.struct(F.lit(n).alias("channel"), F.col(c).alias("value")) for n, c in zip(parts, columns, strict=True)))).alias("s")).select("y", "x", "s.channel", "s.value")
+    return pixels.select(*keys, "y", "x", F.explode(F.array(*(F.struct(F.lit(n).alias("channel"), F.col(c).alias("value")) for n, c in zip(parts, columns, strict=True)))).alias("s")).select(*keys, "y", "x", "s.channel", "s.value")
 
 
 def rgba(samples: DataFrame, preview: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -60,16 +60,16 @@ def subsample(pixels: DataFrame, xs: int, ys: int) -> DataFrame:
     return pixels.where((F.pmod("x", F.lit(xs)) == 0) & (F.pmod("y", F.lit(ys)) == 0))
 
 
-def point_expand(grid: DataFrame, samples: DataFrame, window: tuple[int, int, int, int], xs: int, ys: int, value: str = "value") -> DataFrame:
-    """Every pixel of ``grid`` (y, x) with the value of its nearest preceding sample, 0 for none.
+def point_expand(grid: DataFrame, samples: DataFrame, window: tuple[int, int, int, int], xs: int, ys: int, value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every pixel of ``grid`` (keys, y, x) with the value of its nearest preceding sample, 0 for none.
 
     An equi-join on the aligned coordinate: no range join is needed. window: min_x, min_y,
     max_x, max_y.
     """
     x0, y0, x1, y1 = (F.lit(v).cast("long") for v in window)
-    keyed = grid.select("y", "x", point_sample(F.col("x"), x0, x1, F.lit(xs).cast("long")).alias("sx"), point_sample(F.col("y"), y0, y1, F.lit(ys).cast("long")).alias("sy"))
-    values = samples.select(F.col("x").alias("sx"), F.col("y").alias("sy"), value)
-    return keyed.join(values, ["sx", "sy"], "left").select("y", "x", F.coalesce(value, F.lit(0.0)).alias(value))
+    keyed = grid.select(*keys, "y", "x", point_sample(F.col("x"), x0, x1, F.lit(xs).cast("long")).alias("sx"), point_sample(F.col("y"), y0, y1, F.lit(ys).cast("long")).alias("sy"))
+    values = samples.select(*keys, F.col("x").alias("sx"), F.col("y").alias("sy"), value)
+    return keyed.join(values, [*keys, "sx", "sy"], "left").select(*keys, "y", "x", F.coalesce(value, F.lit(0.0)).alias(value))
 
 
 def _neighbours(at: Column, first: int, step: int, count: int) -> tuple[Column, Column, Column]:
@@ -81,16 +81,27 @@ def _neighbours(at: Column, first: int, step: int, count: int) -> tuple[Column,
 
 
 def upsample_bilinear(grid: DataFrame, samples: DataFrame, window: tuple[int, int, int, int], xs: int, ys: int, values: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Every pixel of ``grid`` (keys, y, x) with bilinearly interpolated sample values: four neighbours meet by equi-joins."""
+    """Every pixel of ``grid`` (keys, y, x) with bilinearly interpolated values of a full grid of ``samples``.
+
+    Each sample learns its right, lower and diagonal neighbours (itself at the ends) from its line and
+    column; a pixel then meets the one sample above and left of it by an equi-join.
+    """
     x0, y0, x1, y1 = window
     fx, fy = x0 + -x0 % xs, y0 + -y0 % ys
     nx, ny = (x1 - fx) // xs + 1, (y1 - fy) // ys + 1
-    lx, hx, tx = _neighbours(F.col("x"), fx, xs, nx)
-    ly, hy, ty = _neighbours(F.col("y"), fy, ys, ny)
-    corners = F.array(*(F.struct(px.cast("long").alias("sx"), py.cast("long").alias("sy"), (wx * wy).alias("w")) for px, wx in ((lx, 1 - tx), (hx, tx)) for py, wy in ((ly, 1 - ty), (hy, ty))))
-    near = grid.select(*keys, "y", "x", F.explode(corners).alias("c")).select(*keys, "y", "x", "c.*").where("w > 0")
-    keyed = samples.select(*keys, F.col("x").alias("sx"), F.col("y").alias("sy"), *values)
-    return near.join(keyed, [*keys, "sx", "sy"]).groupBy(*keys, "y", "x").agg(*(F.sum(F.col(v) * F.col("w")).alias(v) for v in values))
+    lx, _, tx = _neighbours(F.col("x"), fx, xs, nx)
+    ly, _, ty = _neighbours(F.col("y"), fy, ys, ny)
+    line, column = Window.partitionBy(*keys, "sy").orderBy("sx"), Window.partitionBy(*keys, "sx").orderBy("sy")
+    beside = lambda c, w: F.coalesce(F.lead(c).over(w), F.col(c))
+    some = range(len(values))
+    cells = samples.select(*keys, F.col("x").alias("sx"), F.col("y").alias("sy"), *(F.col(v).alias(f"_a{i}") for i, v in enumerate(values)))
+    cells = cells.select("*", *(beside(f"_a{i}", line).alias(f"_b{i}") for i in some))
+    cells = cells.select("*", *(beside(f"_{c}{i}", column).alias(f"_{c}{i}_") for c in "ab" for i in some))
+    placed = grid.select(*keys, "y", "x", lx.cast("long").alias("sx"), ly.cast("long").alias("sy"), tx.alias("_tx"), ty.alias("_ty"))
+    x, y = F.col("_tx"), F.col("_ty")
+    across = lambda i, end: F.col(f"_a{i}{end}") * (1 - x) + F.col(f"_b{i}{end}") * x
+    mixed = [(across(i, "") * (1 - y) + across(i, "_") * y).alias(v) for i, v in enumerate(values)]
+    return placed.join(cells, [*keys, "sx", "sy"]).select(*keys, "y", "x", *mixed)
 
 
 def luma_chroma_to_rgba(luma: DataFrame, chroma: DataFrame, weights=DEFAULT_LUMINANCE, keys: tuple[str, ...] = ()) -> DataFrame:

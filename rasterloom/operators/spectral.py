@@ -45,9 +45,9 @@ def spectrum_type(channels: DataFrame, group: str = "part") -> DataFrame:
     return channels.groupBy(group).agg(name.alias("spectrum_type"))
 
 
-def pixel_spectra(cube: DataFrame) -> DataFrame:
-    """(y, x, spectrum): values in the order of their wavelengths."""
-    return cube.groupBy("y", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("wavelength_idx", "value"))), lambda s: s["value"]).alias("spectrum"))
+def pixel_spectra(cube: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, y, x, spectrum): values in the order of their wavelengths."""
+    return cube.groupBy(*keys, "y", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("wavelength_idx", "value"))), lambda s: s["value"]).alias("spectrum"))
 
 
 def sample(spectrum: Column, index: Column) -> Column:
@@ -55,22 +55,25 @@ def sample(spectrum: Column, index: Column) -> Column:
     return F.coalesce(F.get(spectrum, index.cast("int")), F.lit(0.0))
 
 
-def cube(samples: DataFrame, axis: DataFrame) -> DataFrame:
-    """(stokes, wavelength_idx, y, x, value) of (channel_idx, name, y, x, value) on an axis (wavelength_idx, wavelength).
+def cube(samples: DataFrame, axis: DataFrame, channels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, stokes, wavelength_idx, y, x, value) of samples (keys, name, y, x, value) on an axis (wavelength_idx, wavelength).
 
-    A channel joins the first axis entry within the tolerance; a later channel overwrites an
-    earlier one; channels that match nothing are skipped. The axis is at most 4096 rows.
+    channels: the header's (keys, channel_idx, name). A channel joins the first axis entry within the
+    tolerance; where several join one entry, the last of the header counts; channels that match
+    nothing are skipped. All of that is settled on the headers, so samples only meet their channel.
+    The axis is at most 4096 rows.
     """
-    w = samples.select("channel_idx", "y", "x", "value", names.wavelength(F.col("name")).alias("w"), F.coalesce(names.stokes(F.col("name")), F.lit(0)).alias("stokes")).where("w is not null")
+    listed = channels.select(*keys, "channel_idx", "name", names.wavelength(F.col("name")).alias("w"), F.coalesce(names.stokes(F.col("name")), F.lit(0)).alias("stokes")).where("w is not null")
     bins = axis.select("wavelength_idx", "wavelength", F.explode(F.sequence(F.floor((F.col("wavelength") - TOLERANCE) * 50), F.floor((F.col("wavelength") + TOLERANCE) * 50))).alias("bin"))
-    matched = w.join(F.broadcast(bins), (F.floor(w["w"] * 50) == bins["bin"]) & (F.abs(w["w"] - bins["wavelength"]) < TOLERANCE))
-    first = matched.groupBy("stokes", "channel_idx", "y", "x").agg(F.min("wavelength_idx").alias("wavelength_idx"), F.first("value").alias("value"))
-    return first.groupBy("stokes", "wavelength_idx", "y", "x").agg(F.max_by("value", "channel_idx").alias("value"))
+    matched = listed.join(F.broadcast(bins), (F.floor(listed["w"] * 50) == bins["bin"]) & (F.abs(listed["w"] - bins["wavelength"]) < TOLERANCE))
+    first = matched.groupBy(*keys, "stokes", "channel_idx", "name").agg(F.min("wavelength_idx").alias("wavelength_idx"))
+    last = first.groupBy(*keys, "stokes", "wavelength_idx").agg(F.max_by("name", "channel_idx").alias("name"))
+    return samples.select(*keys, "name", "y", "x", "value").join(last, [*keys, "name"]).select(*keys, "stokes", "wavelength_idx", "y", "x", "value")
 
 
-def cube_channels(cube_: DataFrame, kind: str) -> DataFrame:
-    """(name, y, x, value) of a cube (wavelength, y, x, value), with formatted channel names."""
-    return cube_.select(names.spectral_name(kind, F.col("wavelength")).alias("name"), "y", "x", "value")
+def cube_channels(cube_: DataFrame, kind: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, name, y, x, value) of a cube (keys, wavelength, y, x, value), with formatted channel names."""
+    return cube_.select(*keys, names.spectral_name(kind, F.col("wavelength")).alias("name"), "y", "x", "value")
 
 
 #: Attribute names of spectral metadata.

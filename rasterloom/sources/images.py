@@ -60,11 +60,12 @@ def layers(headers: DataFrame) -> DataFrame:
     return listed.where(layer.isNotNull()).groupBy("file_id", "part_index", layer.alias("layer")).agg(F.min("channel_idx").alias("first_idx"))
 
 
-def spectral_cube(samples: DataFrame, wavelengths: list[float]) -> DataFrame:
-    """(stokes, wavelength_idx, y, x, value) of the first part's spectral channels on a given axis."""
-    s = samples.where("part_index = 0 and level_x = 0 and level_y = 0").select(F.xxhash64("channel").alias("channel_idx"), F.col("channel").alias("name"), "y", "x", "value")
+def spectral_cube(samples: DataFrame, headers: DataFrame, wavelengths: list[float]) -> DataFrame:
+    """(file_id, stokes, wavelength_idx, y, x, value) of the first parts' spectral channels on a given axis; later channels overwrite earlier ones."""
+    s = samples.where("part_index = 0 and level_x = 0 and level_y = 0").withColumnRenamed("channel", "name")
+    listed = headers.where("part_index = 0").select("file_id", F.posexplode("channels").alias("channel_idx", "c")).select("file_id", "channel_idx", F.col("c.name").alias("name"))
     axis = samples.sparkSession.createDataFrame(list(enumerate(wavelengths)), "wavelength_idx long, wavelength double")
-    return spectral.cube(s, axis)
+    return spectral.cube(s, axis, listed, keys=("file_id",))
 
 
 def describe(headers: DataFrame) -> DataFrame:
