@@ -133,16 +133,18 @@ def _sorted(spark, sf_dir):
     return channels.canonical_order(c)
 
 
-_LEVELS = [(k, k % 3, k % 2, -k, k, k * 7 % 5, k + 3) for k in range(12)]
-_LEVEL_COLUMNS = ["id", "level_x", "level_y", "min_x", "min_y", "max_x", "max_y"]
-
-
-@query("level_sort", f"WITH {values_sql('l', _LEVEL_COLUMNS, _LEVELS)} SELECT id::BIGINT AS id, row_number() OVER (ORDER BY level_y, level_x, min_y, min_x, max_y, max_x)::BIGINT AS place FROM l")
+@query(
+    "level_sort",
+    "SELECT p_partkey AS id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 3, p_size % 2, p_partkey * 7 % 5, p_partkey))::BIGINT AS place FROM part",
+)
 def _level_sort(spark, sf_dir):
+    """Blocks of many files, each file's in the order of level, then place."""
     from pyspark.sql import Window
 
-    w = Window.orderBy("level_y", "level_x", "min_y", "min_x", "max_y", "max_x")  # a file's levels: some dozens
-    return literal(spark, _LEVELS, ", ".join(f"{c} long" for c in _LEVEL_COLUMNS)).select("id", F.row_number().over(w).cast("long").alias("place"))
+    w = Window.partitionBy("file").orderBy("level_y", "level_x", "min_y", "min_x")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    b = table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_brand").alias("file"), (size % 3).alias("level_y"), (size % 2).alias("level_x"), (k * 7 % 5).alias("min_y"), k.alias("min_x"))
+    return b.select("id", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("multipart_union", f"WITH {PIXELS_SQL} SELECT 0::BIGINT AS part_index, y, x, value FROM px WHERE y < 5 UNION ALL SELECT 1::BIGINT, y, x, r FROM px WHERE y >= 5")

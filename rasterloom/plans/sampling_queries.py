@@ -106,8 +106,8 @@ for _name, _expr in (("trilinear", _tri_sql), ("tetrahedral", _tetra_sql)):
     @query(f"lut3d_{_name}", f"WITH {PIXELS_SQL}, {_LATTICE} SELECT y, x, " + ", ".join(f"round({_expr(c)}, 6) AS {c}" for c in "rgb") + " FROM f")
     def _lut(spark, sf_dir, tetrahedral=_name == "tetrahedral"):
         cube = lut.from_function(_SIZE, _table)
-        out = lut.apply(cube, F.col("r"), F.col("g"), F.col("b"), tetrahedral)
-        return pixels(spark, sf_dir).select("y", "x", *(F.round(v, 6).alias(c) for v, c in zip(out, "rgb", strict=True)))
+        out = lut.apply(pixels(spark, sf_dir).select("y", "x", *"rgb"), cube, tetrahedral=tetrahedral)
+        return out.select("y", "x", *(F.round(c, 6).alias(c) for c in "rgb"))
 
 
 _CUBE = 'TITLE "small"  # a name\nLUT_3D_SIZE 2\nDOMAIN_MIN 0 0 0\nDOMAIN_MAX 2 2 2\n# red varies fastest\n' + "\n".join(f"{r} {g} {b}" for b in (0, 1) for g in (0, 1) for r in (0, 1))
@@ -116,8 +116,8 @@ _CUBE = 'TITLE "small"  # a name\nLUT_3D_SIZE 2\nDOMAIN_MIN 0 0 0\nDOMAIN_MAX 2
 @query("lut_cube_text", f"WITH {PIXELS_SQL} SELECT y, x, round(least(greatest(r / 2, 0), 1), 6) AS r, round(g / 2, 6) AS g, round(b / 2, 6) AS b FROM px")
 def _cube_text(spark, sf_dir):
     """An identity table read from .cube text, over the domain 0 to 2."""
-    out = lut.apply(lut.parse_cube(_CUBE), F.col("r"), F.col("g"), F.col("b"))
-    return pixels(spark, sf_dir).select("y", "x", *(F.round(v, 6).alias(c) for v, c in zip(out, "rgb", strict=True)))
+    out = lut.apply(pixels(spark, sf_dir).select("y", "x", *"rgb"), lut.parse_cube(_CUBE))
+    return out.select("y", "x", *(F.round(c, 6).alias(c) for c in "rgb"))
 
 
 @query("lut_cube_parse", "SELECT i::BIGINT AS i, ((i % 24) // 3 >> (i % 3) & 1)::DOUBLE AS value FROM range(24) t(i)")

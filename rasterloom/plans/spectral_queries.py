@@ -97,9 +97,10 @@ def _to_cube(spark, sf_dir):
     """Channels onto an axis of every second wavelength; every seventh channel isn't spectral."""
     s = spectral_view(spark, sf_dir)
     name = F.when(F.col("wavelength_idx") % 7 == 6, F.concat(F.lit("R"), F.col("wavelength_idx").cast("string"))).otherwise(names.spectral_name("emissive", F.col("wavelength")))
-    samples = s.select(F.col("wavelength_idx").alias("channel_idx"), name.alias("name"), "y", "x", F.round("value", 6).alias("value"))
+    samples = s.select(name.alias("name"), "y", "x", F.round("value", 6).alias("value"))
+    header = spark.range(64).select(F.col("id").alias("wavelength_idx"), (F.col("id") * 5 + 400.0).alias("wavelength")).select(F.col("wavelength_idx").alias("channel_idx"), name.alias("name"))
     axis = spark.range(32).select(F.col("id").alias("wavelength_idx"), (F.col("id") * 10 + 400.0).alias("wavelength"))
-    return spectral.cube(samples, axis).select(F.col("stokes").cast("long").alias("stokes"), "wavelength_idx", "y", "x", "value")
+    return spectral.cube(samples, axis, F.broadcast(header)).select(F.col("stokes").cast("long").alias("stokes"), "wavelength_idx", "y", "x", "value")
 
 
 @query("spectral_cube_to_part", f"WITH {SPECTRAL_SQL} SELECT 'S0.' || wavelength::BIGINT || ',000000nm' AS name, y, x, round(value, 6) AS value FROM sp")

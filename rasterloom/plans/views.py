@@ -13,6 +13,9 @@ PIXELS_SQL = f"px AS (SELECT event_id // {WIDTH} AS y, event_id % {WIDTH} AS x,
 #: deep_pixels(y, x, cnt): an order is a pixel, its line items are its samples.
 DEEP_SQL = f"dp AS (SELECT o_orderkey // {WIDTH} AS y, o_orderkey % {WIDTH} AS x, coalesce(n, 0)::BIGINT AS cnt FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) t ON l_orderkey = o_orderkey)"
 
+#: deep_images(image, y, x, cnt): the same as images of 10 lines.
+DEEP_IMAGES_SQL = f"{DEEP_SQL}, di AS (SELECT y // 10 AS image, y % 10 AS y, x, cnt FROM dp)"
+
 #: spectral(y, x, wavelength_idx, wavelength, value): a vector is a pixel's spectrum, 25 pixels wide.
 SPECTRAL_SQL = "sp AS (SELECT vec_id // 25 AS y, vec_id % 25 AS x, (i - 1)::BIGINT AS wavelength_idx, 400.0::DOUBLE + 5 * (i - 1) AS wavelength, embedding[i]::DOUBLE AS value FROM embeddings, generate_series(1, 64) g(i))"
 
@@ -45,6 +48,11 @@ def deep_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.expr(f"o_orderkey div {WIDTH}").alias("y"), (F.col("o_orderkey") % WIDTH).alias("x"), F.coalesce("n", F.lit(0)).cast("long").alias("cnt"))
 
 
+def deep_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deep pixels as images of 10 lines."""
+    return deep_pixels(spark, sf_dir).select(F.expr(f"y div {LINES}").alias("image"), (F.col("y") % LINES).alias("y"), "x", "cnt")
+
+
 def spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
     return long.select(F.expr("vec_id div 25").alias("y"), (F.col("vec_id") % 25).alias("x"), F.col("i").cast("long").alias("wavelength_idx"), (F.col("i") * 5 + 400.0).alias("wavelength"), F.col("v").cast("double").alias("value"))
