@@ -121,11 +121,24 @@ def test_lut_identity_and_edges(spark):
     cube = lut.from_function(2, lambda r, g, b: (r, g, b))
     rows = [(0.25, 0.5, 0.75), (0.5, 0.5, 0.5), (-1.0, 2.0, float("nan")), (0.9, 0.1, 0.1)]
     for tetrahedral in (False, True):
-        out = lut.apply(cube, *(F.col(c) for c in "rgb"), tetrahedral)
-        got = [tuple(r) for r in spark.createDataFrame(rows, "r double, g double, b double").select(*out).collect()]
+        pixels = spark.createDataFrame(rows, "r double, g double, b double")
+        got = [tuple(r) for r in lut.apply(pixels, cube, tetrahedral=tetrahedral).collect()]
         assert np.allclose(got, [(0.25, 0.5, 0.75), (0.5, 0.5, 0.5), (0, 1, 0), (0.9, 0.1, 0.1)], atol=1e-5)
 
 
+def test_large_tables_interpolate_alike(spark):
+    """Tables beyond a plan's literals take another way with the same values."""
+    rng = np.random.default_rng(0)
+    rows = [(i, *map(float, v)) for i, v in enumerate(rng.random((50, 3)) * 1.2 - 0.1)] + [(50, 0.5, 0.5, 0.25), (51, 0.0, 1.0, float("nan"))]
+    pixels = spark.createDataFrame(rows, "n long, r double, g double, b double")
+    for size in (lut.LITERAL_SIZE, lut.LITERAL_SIZE + 1):
+        cube = lut.from_function(size, lambda r, g, b: (r * r, g * b, 1 - b))
+        for tetrahedral in (False, True):
+            want = lut.interpolate(cube, np.array([r[1:] for r in rows]), tetrahedral)
+            got = [tuple(r)[1:] for r in lut.apply(pixels, cube, tetrahedral=tetrahedral).orderBy("n").collect()]
+            assert np.allclose(got, want, atol=1e-9)
+
+
 def test_weights():
     for name in resample.FILTERS:
         for mode in resample.EDGES:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from rasterloom.operators import blocks, bytesops, channels, deep, spectral
 
@@ -106,3 +107,37 @@ def test_segments(spark):
     s = s.unionAll(spark.createDataFrame([(0, 14, 17)], s.schema))
     assert [tuple(r)[1:] for r in bytesops.merge_segments(s).collect()] == [(10, 20, 3)]
     assert bytesops.first_gap(s).count() == 0
+
+
+def test_images_stay_apart(spark):
+    """Two images in one table: every operator with keys gives each what it gives it alone."""
+    from rasterloom.operators import deep, spectral
+
+    def alike(operator, rows, schema, **more):
+        both = spark.createDataFrame([(k, *r) for k in ("a", "b") for r in (rows if k == "a" else rows[::2])], "image string, " + schema)
+        got = operator(both, keys=("image",), **more)
+        for k in "ab":
+            own = got.where(F.col("image") == k).drop("image").collect()
+            alone = operator(both.where(F.col("image") == k).drop("image"), **more).collect()
+            assert sorted(map(tuple, own), key=repr) == sorted(map(tuple, alone), key=repr)
+
+    counts = [(y, x, (3 * y + x) % 4) for y in range(-2, 5000, 997) for x in range(5)]
+    schema = "y long, x long, cnt long"
+    alike(deep.row_cumulative, counts, schema)
+    alike(deep.sample_offsets, counts, schema)
+    alike(lambda df, keys=(): deep.sampled_offsets(df, 2, 3, keys), counts, schema)
+    alike(deep.statistics, counts, schema)
+    alike(lambda df, keys=(): deep.counts_from_cumulative(deep.row_cumulative(df, keys).drop("cnt"), keys), counts, schema)
+    alike(lambda df, keys=(): bytesops.delta(df, "cnt", "d", keys), counts, schema)
+    alike(lambda df, keys=(): bytesops.undo_delta(df, "cnt", "d", keys), counts, schema)
+    alike(lambda df, keys=(): bytesops.runs(df.withColumnRenamed("cnt", "v"), keys), counts, schema)
+    samples = [(y, x, c, float(y + x)) for y in range(3) for x in range(4) for c in "RG"]
+    alike(lambda df, keys=(): channels.interleave(df, ["R", "G"], keys), samples, "y long, x long, channel string, value double")
+    cube = [(i, y, 0, float(i * y)) for i in range(4) for y in range(3)]
+    alike(spectral.pixel_spectra, cube, "wavelength_idx long, y long, x long, value double")
+
+
+def test_merged_segments_have_a_limit(spark):
+    s = spark.createDataFrame([(0, 10 * k, 10 * k + 10) for k in range(7)] + [(0, 90, 150), (0, 150, 155)], "source long, start long, end long")
+    got = sorted(tuple(r)[1:] for r in bytesops.merge_segments(s, most_length=30).collect())
+    assert got == [(0, 30, 3), (30, 60, 3), (60, 70, 1), (90, 150, 1), (150, 155, 1)]

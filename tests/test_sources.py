@@ -7,6 +7,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rasterloom.sources import codecs, exr, frames
 
@@ -149,19 +150,71 @@ def test_data_source(spark, tmp_path):
     folder = f"file://{tmp_path}/images"
     frames.write_images(frames.encode_images(df, "ZIPS"), folder).collect()
     frames.register(spark)
-    back = spark.read.format("exr").option("blocks_per_task", 4).load(folder)
+    back = spark.read.format("exr").option("blocks_per_task", 4).option("whole_bytes", 0).load(folder)
     assert back.count() == len(rows) and back.rdd.getNumPartitions() == 15
-    some = spark.read.format("exr").option("min_y", 7).option("max_y", 8).option("channels", "G").load(folder)
+    assert spark.read.format("exr").load(folder).rdd.getNumPartitions() == 1  # small files share a task
+    some = spark.read.format("exr").option("min_y", 7).option("max_y", 8).option("channels", "G").option("whole_bytes", 0).load(folder)
     assert some.count() == 3 * 2 * 5 and some.rdd.getNumPartitions() == 3
     assert spark.read.format("exr").option("mode", "header").load(folder).count() == 3
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
-        pushed = spark.read.format("exr").option("blocks_per_task", 4).option("pushdown", "true").load(folder).where("y >= 16 and channel = 'R'")
+        pushed = spark.read.format("exr").option("blocks_per_task", 4).option("whole_bytes", 0).option("pushdown", "true").load(folder).where("y >= 16 and channel = 'R'")
         assert pushed.count() == 3 * 4 * 5 and pushed.rdd.getNumPartitions() == 3
     finally:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
 
 
+def test_sink(spark, tmp_path):
+    """Files appear as a whole or not at all; overwriting replaces what was there."""
+    folder, at = f"file://{tmp_path}/out", tmp_path / "out"
+    frames.register(spark)
+    files = spark.createDataFrame([(f"im{i}", bytes([i])) for i in range(6)], "file_id string, content binary").repartition(3)
+    files.write.format("exr").mode("append").save(folder)
+    assert sorted(p.name for p in at.iterdir()) == [f"im{i}.exr" for i in range(6)]
+    assert (at / "im4.exr").read_bytes() == b"\x04"
+    broken = files.selectExpr("file_id", "if(file_id = 'im5', raise_error('broken'), unhex('ff')) content")
+    twice = files.selectExpr("'im1' file_id", "content")
+    for bad in (broken, twice):
+        with pytest.raises(Exception, match="broken|twice"):
+            bad.write.format("exr").mode("append").save(folder)
+        assert sorted(p.name for p in at.iterdir()) == [f"im{i}.exr" for i in range(6)] and (at / "im1.exr").read_bytes() == b"\x01"
+    files.where("file_id <= 'im1'").write.format("exr").mode("overwrite").save(folder)
+    assert sorted(p.name for p in at.iterdir()) == ["im0.exr", "im1.exr"]
+    with pytest.raises(Exception, match="file_id and content"):
+        files.select("content").write.format("exr").mode("append").save(folder)
+
+
+def test_one_tile_of_one_level(spark, tmp_path):
+    rows = [("im", ly, y, x, float(100 * ly + 10 * y + x)) for ly in range(4) for y in range(max(1, 8 >> ly)) for x in range(max(1, 8 >> ly))]
+    df = spark.createDataFrame(rows, "file_id string, level_y int, y int, x int, value double").selectExpr("file_id", "level_y as level_x", "level_y", "y", "x", "'Z' channel", "value")
+    folder = f"file://{tmp_path}/images"
+    frames.write_images(frames.encode_images(df, "ZIP", tiles=(4, 4), levels="MIP"), folder)
+    one = spark.read.format("exr").option("level_x", 0).option("tile_x", 1).option("tile_y", 0).load(folder)
+    assert sorted((r.y, r.x, r.value) for r in one.collect()) == [(y, x, 10.0 * y + x) for y in range(4) for x in range(4, 8)]
+    assert sorted(r.value for r in spark.read.format("exr").option("level_y", 2).load(folder).collect()) == [200, 201, 210, 211]
+    with pytest.raises(Exception, match="outside level"):
+        frames.encode_images(df.withColumn("x", F.col("x") + F.col("level_x") * 9), tiles=(4, 4), levels="MIP").collect()
+    with pytest.raises(ValueError, match="levels"):
+        frames.encode_images(df, levels="RIP")
+
+
+def test_run_lengths_round_trip():
+    from rasterloom.sources import codecs
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 127, 128, 129, 130, 131, 255, 256, 257, 258, 5000):
+        for values in (1, 2, 3, 256):
+            for longest in (1, 4, 400):
+                data = np.repeat(rng.integers(0, values, n), rng.integers(1, longest + 1, n))[:n].astype(np.uint8)
+                packed = codecs.rle_encode(data)
+                assert codecs.rle_decode(packed, n) == data.tobytes()
+                if n:
+                    with pytest.raises(codecs.Corrupt):
+                        codecs.rle_decode(packed, n + 1)
+                    with pytest.raises(codecs.Corrupt):
+                        codecs.rle_decode(packed[:-1], n)
+
+
 def test_permissive_mode(spark, tmp_path):
     (tmp_path / "bad.exr").write_bytes(b"nothing")
     assert frames.read_images(spark, f"file://{tmp_path}", "header", fail_fast=False).first().status == "Corrupt"
