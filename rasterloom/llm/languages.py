@@ -97,7 +97,8 @@ def train(texts: list[str], languages: list[str], sizes=(2, 3, 4), bits: int = 1
     """Fit by stochastic gradient descent; every fifth text calibrates instead.
 
     ``reject``: the share of calibration texts that may score below the limit. The limit lies
-    as high as that allows, but no higher than nearly all texts of no language need.
+    no higher than that allows, nor than nearly all texts of no language need, nor than 0.5: texts
+    of two languages stay.
     """
     names = sorted(set(languages))
     y = np.array([names.index(x) for x in languages])
@@ -141,7 +142,7 @@ def train(texts: list[str], languages: list[str], sizes=(2, 3, 4), bits: int = 1
         model.temperature = min(losses)[1]
         sure = softmax(scores / model.temperature).max(axis=1)
         noise = softmax(text_scores(model, pa.array(no_language([texts[i] for i in held], rng))) / model.temperature).max(axis=1)
-        model.limit = float(min(np.quantile(sure, reject), np.quantile(noise, 0.99)))
+        model.limit = float(min(0.5, np.quantile(sure, reject), np.quantile(noise, 0.99)))
         model.wrongly_rejected, model.wrongly_accepted = float((sure < model.limit).mean()), float((noise >= model.limit).mean())
     return model
 
