@@ -2,7 +2,8 @@
 
 An archive begins with a skippable frame that holds the dictionary; then comes one
 zstandard frame per record. Reading loads the dictionary, decodes record by record and
-checks each record's headers, lengths and digests.
+checks each record's headers, lengths and digests. Archives made elsewhere can be read, too:
+records of any standard type, with any record ids.
 
 Records with equal payloads are written in full once, as ``response``; the others are
 ``revisit`` records that name it and carry the payload's length in their HTTP head.
@@ -29,9 +30,10 @@ DICTIONARY_FRAME = 0x184D2A5D
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NO_DATE = "1970-01-01T00:00:00Z"
+OTHER_TYPES = ("warcinfo", "request", "metadata", "resource", "conversion", "continuation")
 
 MANIFEST = "path string, n_records long, n_bytes long"
-SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, record_id string, refers_to_id string, payload binary"
 
 
 def sha1_base32(data: bytes) -> str:
@@ -42,10 +44,10 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:page:{'none' if page_id is None else page_id}>"
 
 
-def page_of(record: str) -> int | None:
-    if not (m := re.fullmatch(r"<urn:page:(none|-?\d+)>", record)):
-        raise ValueError(f"unknown record id {record!r}")
-    return None if m[1] == "none" else int(m[1])
+def page_of(record: str | None) -> int | None:
+    """The page that a record id names; None where it names none or is of another form."""
+    m = re.fullmatch(r"<urn:page:(-?\d{1,19})>", record or "")
+    return int(m[1]) if m and -(1 << 63) <= int(m[1]) < 1 << 63 else None
 
 
 def make_record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -67,43 +69,80 @@ def _fields(lines: bytes) -> dict[str, str]:
         name, colon, value = line.partition(":")
         if not colon or not name or name != name.strip():
             raise ValueError(f"bad header line {line!r}")
-        if name.lower() in out:
+        if name.lower() in out and name.lower() != "warc-concurrent-to":  # the only one that may be repeated
             raise ValueError(f"header {name} is repeated")
         out[name.lower()] = value.strip()
     return out
 
 
+def _http(head: bytes) -> dict[str, str]:
+    """Fields of an HTTP head, those that are repeated joined by commas; what is no field is left out."""
+    out: dict[str, str] = {}
+    for line in head.decode("latin-1").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            name, value = name.strip().lower(), value.strip()
+            out[name] = f"{out[name]}, {value}" if name in out else value
+    return out
+
+
 def parse_record(data: bytes) -> tuple:
-    """A record's row (as SCHEMA); raises ValueError where it isn't valid."""
+    """A record's row (as SCHEMA); raises ValueError where it isn't valid.
+
+    The payload of a response is what follows its HTTP head, that of a revisit null, that of
+    other records their whole block. Lengths and digests that a record states must be right; of HTTP
+    heads only those of bodies sent as they are. A response without a payload digest gets one.
+    """
     head, gap, rest = data.partition(b"\r\n\r\n")
     version, _, lines = head.partition(b"\r\n")
-    if version != VERSION or not gap:
+    if version not in (VERSION, b"WARC/1.0") or not gap:
         raise ValueError("no WARC header")
     fields = _fields(lines)
-    missing = {"warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest"} - fields.keys()
+    missing = {"warc-type", "warc-record-id", "warc-date", "content-length"} - fields.keys()
     if missing:
         raise ValueError(f"missing headers {sorted(missing)}")
-    length = int(fields["content-length"])
+    length = _length(fields["content-length"])
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise ValueError("the block's length differs from Content-Length")
     block = rest[:length]
-    if (said := fields.get("warc-block-digest")) and said != f"sha1:{sha1_base32(block)}":
+    if _differs(fields.get("warc-block-digest"), block):
         raise ValueError("the block's digest differs")
-    http, gap, payload = block.partition(b"\r\n\r\n")
-    if not gap or not http.startswith(b"HTTP/"):
-        raise ValueError("no HTTP head")
-    size, digest = int(_fields(http.partition(b"\r\n")[2])["content-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
-    kind, refers = fields["warc-type"], None
-    if kind == "response":
-        if size != len(payload) or digest != sha1_base32(payload):
-            raise ValueError("the payload's length or digest differs")
-    elif kind == "revisit":
-        if payload or "warc-refers-to" not in fields:
-            raise ValueError("a revisit has a payload or refers to nothing")
-        refers, payload = page_of(fields["warc-refers-to"]), None
-    else:
+    kind, said, refers = fields["warc-type"], fields.get("warc-payload-digest"), fields.get("warc-refers-to")
+    payload: bytes | None = block
+    size: int | None = length
+    if kind in ("response", "revisit"):
+        start, gap, payload = block.partition(b"\r\n\r\n")
+        is_http = start.startswith(b"HTTP/")
+        if is_http and not gap or not is_http and fields.get("content-type", "").startswith("application/http") and block:
+            raise ValueError("no HTTP head")
+        http = _http(start) if is_http else {}
+        payload = payload if is_http else block
+        plain = "transfer-encoding" not in http
+        stated = _length(http["content-length"]) if plain and "content-length" in http else None
+        if kind == "revisit":
+            if payload or refers is None and "warc-refers-to-target-uri" not in fields and "warc-profile" not in fields:
+                raise ValueError("a revisit has a payload or refers to nothing")
+            payload, size = None, stated
+        else:
+            size = len(payload)
+            if plain and (stated not in (None, size) or _differs(said, payload)):
+                raise ValueError("the payload's length or digest differs")
+    elif kind not in OTHER_TYPES:
         raise ValueError(f"unknown record type {kind}")
-    return page_of(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, size, digest, refers, payload
+    digest = said.removeprefix("sha1:") if said else None if payload is None else sha1_base32(payload)
+    record = fields["warc-record-id"]
+    return page_of(record), fields.get("warc-target-uri"), kind, size, digest, page_of(refers), record, refers, payload
+
+
+def _length(text: str) -> int:
+    if not re.fullmatch(r"[0-9]+", text):
+        raise ValueError(f"bad length {text!r}")
+    return int(text)
+
+
+def _differs(said: str | None, data: bytes) -> bool:
+    """Whether a stated SHA-1 isn't that of ``data``; digests of other kinds aren't checked."""
+    return said is not None and said.startswith("sha1:") and said != f"sha1:{sha1_base32(data)}"
 
 
 def train_dictionary(samples: list[bytes], size: int = 1 << 15) -> bytes:
@@ -134,8 +173,14 @@ class ArchiveWriter:
         self.out.close()
 
 
-def read_archive(path: str, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The records' bytes, a frame each; memory holds a chunk and one record."""
+_STEP = 1 << 14
+
+
+def read_archive(path: str, chunk: int = 1 << 20, most_bytes: int = (1 << 31) - 1) -> Iterator[bytes]:
+    """The records' bytes, a frame each; memory holds a chunk and one record.
+
+    A record beyond ``most_bytes``, by default what a binary value can hold, raises ValueError.
+    """
     where, name = files.filesystem(path)
     with where.open_input_stream(name, compression=None) as file:
         head = file.read(8)
@@ -149,18 +194,20 @@ def read_archive(path: str, chunk: int = 1 << 20) -> Iterator[bytes]:
             dictionary = zstandard.ZstdDecompressor().decompress(dictionary, max_output_size=1 << 27)
         known = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
         unpack = zstandard.ZstdDecompressor(**known)
-        data, frame, parts = b"", None, []
-        while True:
-            if not data:
-                data = file.read(chunk)
-                if not data:
-                    break
-            frame = frame or unpack.decompressobj()
-            parts.append(frame.decompress(data))
-            data = frame.unused_data if frame.eof else b""
-            if frame.eof:
-                yield b"".join(parts)
-                frame, parts = None, []
+        frame, parts, held = None, [], 0
+        while data := file.read(chunk):
+            view, at = memoryview(data), 0
+            while at < len(view):  # by small steps: what lies behind a frame's end is copied
+                frame = frame or unpack.decompressobj()
+                fed = view[at : at + _STEP]
+                parts.append(frame.decompress(fed))
+                held += len(parts[-1])
+                if held > most_bytes:
+                    raise ValueError(f"{path}: a record of more than {most_bytes} bytes")
+                at += len(fed) - (len(frame.unused_data) if frame.eof else 0)
+                if frame.eof:
+                    yield b"".join(parts)
+                    frame, parts, held = None, [], 0
         if frame is not None:
             raise ValueError(f"{path}: the last record is cut off")
 
@@ -209,7 +256,7 @@ def write_archives(pages: DataFrame, folder: str, dictionary_rows: int = 256, mi
 def read_archives(manifest: DataFrame) -> DataFrame:
     """The records of the archives, as SCHEMA; a damaged record stops the read."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
     bounded_batches(manifest.sparkSession)
 

@@ -345,6 +345,38 @@ def test_warc_rejects_damage(spark, tmp_path):
     assert manifest.count() > 1 and warc.read_archives(manifest).count() == queries.table(spark, SF, "pages").count()
 
 
+def foreign(kind, block, *fields):
+    head = [f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Length: {len(block)}", *fields]
+    return b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_of_other_makers(spark, tmp_path):
+    sha = lambda data: base64.b32encode(hashlib.sha1(data).digest()).decode()
+    cookies = b"HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nSet-Cookie: b\r\n\r\nbody"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 9\r\n\r\n4\r\nbody\r\n0\r\n\r\n"
+    given = [
+        (foreign("warcinfo", b"software: x\r\n"), ("warcinfo", 13, sha(b"software: x\r\n"), b"software: x\r\n")),
+        (foreign("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <urn:uuid:2>", "WARC-Concurrent-To: <urn:uuid:3>"), ("request", 18, sha(b"GET / HTTP/1.1\r\n\r\n"), b"GET / HTTP/1.1\r\n\r\n")),
+        (foreign("response", cookies), ("response", 4, sha(b"body"), b"body")),
+        (foreign("response", chunked, "WARC-Payload-Digest: sha1:" + sha(b"body")), ("response", 14, sha(b"body"), b"4\r\nbody\r\n0\r\n\r\n")),
+        (foreign("response", b"name A 1.2.3.4", "Content-Type: text/dns"), ("response", 14, sha(b"name A 1.2.3.4"), b"name A 1.2.3.4")),
+        (foreign("revisit", b"", "WARC-Refers-To: <urn:uuid:2>"), ("revisit", None, None, None)),
+    ]
+    path = f"{tmp_path}/a.warc.zst"
+    writer = warc.ArchiveWriter(path, b"")
+    for record, _ in given:
+        writer.add(record)
+    writer.close()
+    out = warc.read_archives(spark.createDataFrame([(path,)], "path string")).collect()
+    assert [(r.record_type, r.payload_bytes, r.payload_digest, r.payload and bytes(r.payload)) for r in out] == [want for _, want in given]
+    assert {(r.page_id, r.record_id) for r in out} == {(None, "<urn:uuid:1>")} and out[-1].refers_to_id == "<urn:uuid:2>"
+    for bad in (foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nbody"), foreign("revisit", b""), foreign("resource", b"x", "WARC-Type: resource"), foreign("metadata", b"x", "WARC-Block-Digest: sha1:A")):
+        with pytest.raises(ValueError):
+            warc.parse_record(bad)
+    with pytest.raises(ValueError):
+        list(warc.read_archive(path, most_bytes=50))
+
+
 def test_decontamination(spark, documents):
     marks = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", lower(t))
     items = {r.item_id: marks(r.text) for r in queries.table(spark, SF, "benchmark").collect()}
