@@ -30,6 +30,8 @@ from rasterloom.llm.shared import bounded_batches
 #: Marked positions are 1: six, seven and six of them.
 MASKS = ("11101011", "1101100111", "111001011")
 MISMATCH = 3
+#: Text of a block of items: its seeds, some 80 bytes a word, go to every worker.
+BLOCK_BYTES = 4 << 20
 
 SCHEMA = "doc_id long, item_id long, doc_start long, item_start long, length long, matches long"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -154,8 +156,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, bl
     further columns are ignored; empty tables give an empty result. Ties of segments go to
     the earliest in the text.
 
-    The benchmark is a stated query set: blocks of ``block_items`` items go to the tasks, one
-    after another, and each block meets all documents.
+    The benchmark is a stated query set: blocks of about ``block_items`` items or BLOCK_BYTES
+    bytes, whichever is less, go to the tasks, one after another, and each block meets all documents.
     """
     bounded_batches(docs.sparkSession)
     whole: DataFrame | None = None
@@ -167,7 +169,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, bl
 
 def _seed_blocks(benchmark: DataFrame, block_items: int) -> Iterator[Seeds]:
     items = benchmark.select("item_id", "text").where("text is not null").distinct()
-    parts = -(-items.count() // block_items)
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(-(-n // block_items), -(-size // BLOCK_BYTES), min(n, 1))
     for k in range(parts):
         some = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         taken = sorted(some.collect(), key=lambda x: (x.item_id is not None, x.item_id or 0, x.text))
