@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from rasterloom.llm import decontaminate, languages, line_dedup, near_dup, neighbours, packing, pii, quality, token_files, warc
+from rasterloom.llm import decontaminate, languages, line_dedup, near_dup, neighbours, packing, pii, quality, samples, token_files, warc
 from rasterloom.llm.shared import new_path
 
 LONG = "word " * 60_000 + "end"
@@ -95,6 +95,19 @@ def test_quality(spark, docs, none):
     assert {r.score for r in quality.learn_and_score(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_samples_are_bounded(spark):
+    hot = spark.range(3000).selectExpr("if(id % 3 = 0, id, 7) doc_id", "concat('text ', id % 40) text", "'en' lang", "cast(id % 2 as int) quality")
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(languages, "train", lambda texts, langs: seen.append(texts))
+        patch.setattr(quality, "train", lambda texts, labels: seen.append(texts))
+        languages.fit(hot)
+        quality.fit(hot, hot)
+    assert [len(x) for x in seen] == [1001, 1002]  # id 7 has both labels
+    assert samples.thinned(hot, ["doc_id"], 5000, "text", 2000).where("doc_id <> 7").count() < 200
+    assert samples.thinned(hot, ["doc_id"], 5000, "text").count() == 3000
+
+
 def test_packing(docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     out = packing.pack_documents(docs, path).collect()
