@@ -135,16 +135,18 @@ def train(texts: list[str], labels: list[int], bits: int = 15, rank: int = 8, ep
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Machine | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, sample_bytes: int = 64 << 20) -> Machine | None:
     """Train on about ``sample`` labelled rows: docs (doc_id, text), labels (doc_id, quality).
 
-    The sample of labels is bounded, so its join with the documents broadcasts it. None
+    The sample of labels is bounded, so its join with the documents broadcasts it; if their texts are
+    longer than about ``sample_bytes`` together, fewer are taken. None
     where there is no labelled text. A null text is empty; rows without label are left out.
     However often a doc_id is repeated, only its first text in byte order is learned from, once for
     each of its labels.
     """
     some = thinned(labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality"), ["doc_id"], sample).distinct()
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = thinned(found, [F.col("doc_id"), F.lit("again")], sample, "text", sample_bytes).collect()
     rows.sort(key=lambda x: (x.doc_id, x.quality, x.text or ""))
     return train([x.text or "" for x in rows], [x.quality for x in rows]) if rows else None
 

@@ -103,7 +103,9 @@ def test_samples_are_bounded(spark):
         patch.setattr(quality, "train", lambda texts, labels: seen.append(texts))
         languages.fit(hot)
         quality.fit(hot, hot)
-    assert [len(x) for x in seen] == [1001, 1002]  # id 7 has both labels
+        quality.fit(hot, hot, sample_bytes=2000)
+    assert [len(x) for x in seen[:2]] == [1001, 1002]  # id 7 has both labels
+    assert 0 < len(seen[2]) < 500 and set(seen[2]) <= set(seen[1])
     assert samples.thinned(hot, ["doc_id"], 5000, "text", 2000).where("doc_id <> 7").count() < 200
     assert samples.thinned(hot, ["doc_id"], 5000, "text").count() == 3000
 
