@@ -45,9 +45,10 @@ class Seeds:
     items: np.ndarray
     at: np.ndarray
     filter: np.ndarray
-    words: list[np.ndarray]
+    words: np.ndarray
+    bounds: np.ndarray  # item i has words[bounds[i]:bounds[i + 1]]
     ids: list[int | None]
-    short: dict[int, list[tuple[int, int]]]
+    short: list[int]
 
 
 def masked(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
@@ -91,7 +92,8 @@ def make_seeds(ids: list[int | None], texts: list[str]) -> Seeds:
     order = np.argsort(h, kind="stable")
     seen = np.zeros(1 << _FILTER_BITS, bool)
     seen[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Seeds(h[order], items[order], at[order], seen, words, ids, short)
+    bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    return Seeds(h[order], items[order], at[order], seen, np.concatenate([np.zeros(0, np.uint64), *words]), bounds, ids, sorted(short))
 
 
 def best_segment(same: np.ndarray, least: int, whole: bool) -> tuple[int, int, int] | None:
@@ -117,34 +119,85 @@ def best_segment(same: np.ndarray, least: int, whole: bool) -> tuple[int, int, i
     return begin, end - begin, int(same[begin:end].sum())
 
 
-def overlaps(hashes: np.ndarray, rows: np.ndarray, seeds: Seeds, min_words: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(row, item, doc word, item word, length, matches): each row's best segment per item."""
-    found: dict[tuple[int, int], tuple] = {}
-    tried = set()
-    plans = [(mask, salt) for salt, mask in enumerate(MASKS)] + [("1" * n, 100 + n) for n in seeds.short]
-    for mask, salt in plans:
+#: Diagonals, or words on diagonals, that are held at once.
+CHUNK = 1 << 20
+
+
+def _slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive slices of about ``most`` by sum of ``sizes``, one entry at least."""
+    ends, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        before = ends[begin] - sizes[begin]
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield slice(begin, end)
+        begin = end
+
+
+def _ramp(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``sizes[i]`` consecutive numbers from ``starts[i]`` on, for each i."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _diagonals(hashes: np.ndarray, rows: np.ndarray, seeds: Seeds) -> Iterator[np.ndarray]:
+    """Columns (row, item, shift) of where an item's first word lies if a seed hit is real.
+
+    Distinct within each array, and nearly always there is one array only.
+    """
+    longest, held, n = int(np.diff(seeds.bounds).max(initial=0)), [], 0
+    span = longest + len(hashes) + 1
+
+    def distinct() -> np.ndarray:
+        codes = np.unique(np.concatenate(held))
+        pair, shift = np.divmod(codes, span)
+        return np.stack([*np.divmod(pair, len(seeds.ids)), shift - longest])
+
+    for mask, salt in [(mask, salt) for salt, mask in enumerate(MASKS)] + [("1" * k, 100 + k) for k in seeds.short]:
         h = masked(hashes, mask, salt)
         hits = np.flatnonzero(seeds.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        if not len(hits):
-            continue
-        lo, hi = np.searchsorted(seeds.hashes, h[hits], "left"), np.searchsorted(seeds.hashes, h[hits], "right")
-        for place, a, b in zip(hits[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-            row = int(np.searchsorted(rows, place, "right")) - 1
-            for k in range(a, b):
-                item = int(seeds.items[k])
-                shift = place - int(seeds.at[k])  # the word that lies beside the item's first
-                if (row, item, shift) in tried:
-                    continue
-                tried.add((row, item, shift))
-                words = seeds.words[item]
-                begin, end = max(shift, int(rows[row])), min(shift + len(words), int(rows[row + 1]))
-                same = hashes[begin:end] == words[begin - shift : end - shift]
-                passage = best_segment(same, min(min_words, len(words)), len(same) == len(words))
+        low = np.searchsorted(seeds.hashes, h[hits], "left")
+        number = np.searchsorted(seeds.hashes, h[hits], "right") - low
+        hits, low, number = hits[number > 0], low[number > 0], number[number > 0]
+        for some in _slices(number, CHUNK):
+            k = _ramp(low[some], number[some])
+            place = np.repeat(hits[some], number[some])
+            row = np.searchsorted(rows, place, "right") - 1
+            held.append((row * len(seeds.ids) + seeds.items[k]) * span + (place - seeds.at[k] + longest))
+            n += len(k)
+            if n >= CHUNK:
+                yield distinct()
+                held, n = [], 0
+    if held:
+        yield distinct()
+
+
+def overlaps(hashes: np.ndarray, rows: np.ndarray, seeds: Seeds, min_words: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(row, item, doc word, item word, length, matches): each row's best segment per item.
+
+    Diagonals are compared as arrays. A passage has three equal words of four and ``min_words`` words or
+    all of its item's, so only diagonals with as many equal words are looked at one by one.
+    """
+    found: dict[tuple[int, int], tuple] = {}
+    for row, item, shift in _diagonals(hashes, rows, seeds):
+        size = seeds.bounds[item + 1] - seeds.bounds[item]
+        begin, end = np.maximum(shift, rows[row]), np.minimum(shift + size, rows[row + 1])
+        least = np.minimum(min_words, size)
+        long = end - begin >= least
+        row, item, shift, size, begin, end, least = (x[long] for x in (row, item, shift, size, begin, end, least))
+        for some in _slices(end - begin, CHUNK):
+            length = (end - begin)[some]
+            own = (seeds.bounds[item] + begin - shift)[some]
+            same = hashes[_ramp(begin[some], length)] == seeds.words[_ramp(own, length)]
+            first = np.cumsum(length) - length
+            equal = np.add.reduceat(same, first, dtype=np.int64)
+            for i in np.flatnonzero(4 * equal >= 3 * least[some]).tolist():
+                k = some.start + i
+                passage = best_segment(same[first[i] : first[i] + length[i]], int(least[k]), length[i] == size[k])
                 if passage is not None:
-                    start, length, matches = passage
-                    new = (matches, length, -(begin + start - int(rows[row])), begin - shift + start)
-                    if (row, item) not in found or new > found[row, item]:
-                        found[row, item] = new
+                    start, n, matches = passage
+                    at = int(begin[k]) + start
+                    new, pair = (matches, n, int(rows[row[k]]) - at, at - int(shift[k])), (int(row[k]), int(item[k]))
+                    if pair not in found or new > found[pair]:
+                        found[pair] = new
     return [(row, item, -at, item_at, length, matches) for (row, item), (matches, length, at, item_at) in sorted(found.items())]
 
 
