@@ -14,16 +14,29 @@ from rasterloom.streaming import rows
 _SPANS = 4
 
 
-@query("stream_resize_rows", _resize_sql("mitchell", "clamp", ["value"]) + "SELECT image, y, x, round(value, 6) AS value FROM down")
-def _resize(spark, sf_dir):
+def _resized(spark, sf_dir, pixel_type=None):
     """Images arrive line by line in several files; each target line leaves once its sources are there."""
     folder = _folder(spark)
     lines = images(spark, sf_dir).groupBy("image", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "value"))), lambda s: s["value"]).alias("values"))
     lines = lines.select("image", F.col("y").cast("int").alias("y"), "values")
     lines.repartition(4, "y").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    small = rows.run_to_end(rows.resize_rows(stream, (_WIDTH, LINES), _TARGET), folder)
-    return small.select("image", F.col("y").cast("long").alias("y"), F.posexplode("values").alias("x", "value")).select("image", "y", F.col("x").cast("long").alias("x"), F.round("value", 6).alias("value"))
+    small = rows.run_to_end(rows.resize_rows(stream, (_WIDTH, LINES), _TARGET, pixel_type=pixel_type), folder).where("status = 'Success'")
+    return small.select("image", F.col("y").cast("long").alias("y"), F.posexplode("values").alias("x", "value")).select("image", "y", F.col("x").cast("long").alias("x"), "value")
+
+
+_DOWN_SQL = _resize_sql("mitchell", "clamp", ["value"])
+
+
+@query("stream_resize_rows", _DOWN_SQL + "SELECT image, y, x, round(value, 6) AS value FROM down")
+def _resize(spark, sf_dir):
+    return _resized(spark, sf_dir).withColumn("value", F.round("value", 6))
+
+
+@query("stream_resize_rows_u32", _DOWN_SQL + "SELECT image, y, x, round_even(greatest(value, 0), 0)::BIGINT AS value FROM down")
+def _resize_whole(spark, sf_dir):
+    """The same into whole numbers, as unsigned samples hold them."""
+    return _resized(spark, sf_dir, "UINT").withColumn("value", F.col("value").cast("long"))
 
 
 @query(

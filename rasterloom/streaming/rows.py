@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from rasterloom.operators.resample import axis_weights
 from rasterloom.shipping import ship
 
-RESIZED = "image long, y int, values array<double>"
+RESIZED = "image long, y int, values array<double>, status string"
 ASSEMBLED = "source string, start long, end long, status string"
 
 
@@ -25,13 +25,27 @@ def _matrix(source: int, target: int, name: str, mode: str) -> np.ndarray:
     return m
 
 
-def resize_rows(rows: DataFrame, size: tuple[int, int], target: tuple[int, int], name: str = "mitchell", mode: str = "clamp") -> DataFrame:
+#: The largest UINT sample.
+_UINT_TOP = 4294967295.0
+
+
+def narrowed(values: np.ndarray, pixel_type: str) -> np.ndarray:
+    """Values as samples of a pixel type hold them: UINT rounds half to even within 0..2**32 - 1 (NaN: 0)."""
+    if pixel_type == "UINT":
+        return np.where(values > 0, np.minimum(np.rint(values), _UINT_TOP), 0.0)
+    with np.errstate(over="ignore"):
+        return values.astype({"HALF": np.float16, "FLOAT": np.float32}[pixel_type]).astype(float)
+
+
+def resize_rows(rows: DataFrame, size: tuple[int, int], target: tuple[int, int], name: str = "mitchell", mode: str = "clamp", pixel_type: str | None = None) -> DataFrame:
     """Target rows of each image as soon as their source rows have arrived.
 
     rows: a stream of (image long, y int, values array<double>). State per image: the resampled
     source rows that a later target row still needs (as many as the filter reaches over, plus
-    rows that came ahead of others) and the next target row. Repeated rows and rows of
-    finished images are dropped.
+    rows that came ahead of others) and the next target row. ``pixel_type`` (HALF, FLOAT, UINT)
+    narrows target values; without one they are doubles. Target rows have the status 'Success';
+    a source row that lies outside the image, comes again while it is held or comes when no target
+    row needs it any more changes nothing and gives a row 'Rejected' with its y, without values.
     """
     across, down = _matrix(size[0], target[0], name, mode), _matrix(size[1], target[1], name, mode)
     first = [int(np.flatnonzero(w)[0]) for w in down]
@@ -39,19 +53,20 @@ def resize_rows(rows: DataFrame, size: tuple[int, int], target: tuple[int, int],
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         following, held = pickle.loads(state.get[0]) if state.exists else (0, {})
-        least = min(first[following:], default=size[1])
+        least, out = min(first[following:], default=size[1]), []
         for batch in batches:
             for y, values in zip(batch["y"], batch["values"], strict=True):
                 if least <= y < size[1] and y not in held:
                     held[int(y)] = across @ np.asarray(values, float)
-        out = []
+                else:
+                    out.append((key[0], int(y), None, "Rejected"))
         while following < target[1] and all(y in held for y in range(first[following], last[following] + 1) if down[following, y]):
-            used = np.flatnonzero(down[following])
-            out.append((key[0], following, sum(down[following, y] * held[int(y)] for y in used).tolist()))
+            made = sum(down[following, y] * held[int(y)] for y in np.flatnonzero(down[following]))
+            out.append((key[0], following, (narrowed(made, pixel_type) if pixel_type else made).tolist(), "Success"))
             following += 1
         least = min(first[following:], default=size[1])
         state.update((pickle.dumps((following, {y: v for y, v in held.items() if y >= least})),))
-        yield pd.DataFrame(out, columns=["image", "y", "values"])
+        yield pd.DataFrame(out, columns=["image", "y", "values", "status"])
 
     ship(rows.sparkSession)
     return rows.groupBy("image").applyInPandasWithState(step, RESIZED, "held binary", "append", GroupStateTimeout.NoTimeout)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from rasterloom.streaming.rows import Ranges, assemble_ranges, count_windows, last_updates, resize_rows, run_to_end
+import numpy as np
+
+from rasterloom.streaming.rows import Ranges, assemble_ranges, count_windows, last_updates, narrowed, resize_rows, run_to_end
 
 
 def test_ranges():
@@ -29,7 +31,25 @@ def test_rows_in_any_order(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     out = run_to_end(resize_rows(stream, (4, 4), (2, 2), "box"), f"file://{tmp_path}/run").collect()
-    assert sorted((r.image, r.y, tuple(r["values"])) for r in out) == [(0, 0, (0.5, 0.5)), (0, 1, (2.5, 2.5))]
+    assert sorted((r.image, r.y, tuple(r["values"])) for r in out if r.status == "Success") == [(0, 0, (0.5, 0.5)), (0, 1, (2.5, 2.5))]
+    assert [(r.image, r.y, r["values"], r.status) for r in out if r.status != "Success"] == [(0, 2, None, "Rejected")]
+
+
+def test_late_and_foreign_rows_are_rejected(spark, tmp_path):
+    for k, part in enumerate([[0, 1], [1, 2, 9, -1], [3, 3], [0]]):
+        rows = spark.createDataFrame([(0, y, [float(y)] * 4) for y in part], "image long, y int, values array<double>")
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = run_to_end(resize_rows(stream, (4, 4), (2, 2), "box", pixel_type="UINT"), f"file://{tmp_path}/run").collect()
+    assert sorted((r.y, tuple(r["values"])) for r in out if r.status == "Success") == [(0, (0.0, 0.0)), (1, (2.0, 2.0))]
+    assert sorted(r.y for r in out if r.status == "Rejected") == [-1, 0, 1, 3, 9]
+
+
+def test_narrowed():
+    v = np.array([np.nan, -1.0, 0.5, 1.5, 2.5, 5e9, np.inf])
+    assert narrowed(v, "UINT").tolist() == [0, 0, 0, 2, 2, 4294967295, 4294967295]
+    assert narrowed(np.array([1.0002, 1e6, 65519.0]), "HALF").tolist() == [1.0, np.inf, 65504.0]
+    assert narrowed(np.array([0.1]), "FLOAT").tolist() == [float(np.float32(0.1))]
 
 
 def test_windows_in_update_mode(spark, tmp_path):
