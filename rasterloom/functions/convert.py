@@ -59,6 +59,16 @@ def unsigned_strict(v: Column) -> Column:
 READABLE = {("HALF", "HALF"), ("HALF", "FLOAT"), ("UINT", "UINT"), ("FLOAT", "FLOAT")}
 
 
+def half_bits_to_unsigned(bits: Column, normalized: bool = False) -> Column:
+    """A binary16 pattern as 32-bit unsigned integer, by way of its value."""
+    return to_unsigned(half_bits_to_float(bits), U32, normalized)
+
+
+def unsigned_to_half_bits(v: Column, normalized: bool = False) -> Column:
+    """A 32-bit unsigned integer as binary16 pattern, by way of its value as 32-bit float."""
+    return float_to_half_bits(from_unsigned(v, U32, normalized).cast("float"))
+
+
 def preview_byte(v: Column) -> Column:
     """0..255 of a display value: half to even, clamped; NaN gives 0."""
     return F.when(F.isnan(v), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.lit(255), F.rint(F.greatest(F.least(v, F.lit(10.0)), F.lit(-10.0)) * 255)))).cast("long")

@@ -40,6 +40,20 @@ def chunk_header_bytes(tiled: Column, deep: Column, multipart: Column) -> Column
     return base + F.when(multipart, 4).otherwise(0)
 
 
+#: Fixed value: window coordinates lie between its negative and itself, both excluded.
+WINDOW_LIMIT = 1073741823
+
+
+def window_in_range(min_x: Column, min_y: Column, max_x: Column, max_y: Column) -> Column:
+    """A window's coordinates are ones that a file may have."""
+    return (min_x > -WINDOW_LIMIT) & (min_y > -WINDOW_LIMIT) & (max_x < WINDOW_LIMIT) & (max_y < WINDOW_LIMIT)
+
+
+def sampling_divides(min_x: Column, min_y: Column, width: Column, height: Column, xs: Column, ys: Column) -> Column:
+    """A flat scanline part's channel: its sampling divides the window's corner and size."""
+    return (min_x % xs == 0) & (width % xs == 0) & (min_y % ys == 0) & (height % ys == 0)
+
+
 def contains(a: str, b: str) -> Column:
     """Box a (columns a_min_x ...) holds box b."""
     c = F.col

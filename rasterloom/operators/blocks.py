@@ -54,8 +54,8 @@ def locate_scanlines(rows: DataFrame, plan: DataFrame, min_y: int, lines: int) -
     return rows.withColumn("block_index", floor_div(F.col("y") - min_y, lines)).join(plan, "block_index")
 
 
-def overlapping(left: DataFrame, right: DataFrame, cell: int) -> DataFrame:
-    """Pairs of regions (id, x0, y0, x1, y1; inclusive) that overlap, with the common region.
+def overlapping(left: DataFrame, right: DataFrame, cell: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of regions (keys, id, x0, y0, x1, y1; inclusive) that overlap, with the common region.
 
     Regions are dealt to the cells of a grid and meet there by an equi-join; a pair counts in
     the cell of its common region's first corner only.
@@ -63,16 +63,32 @@ def overlapping(left: DataFrame, right: DataFrame, cell: int) -> DataFrame:
     c = F.col
 
     def dealt(df: DataFrame, s: str) -> DataFrame:
-        named = df.select(*(c(n).alias(f"{s}_{n}") for n in ("id", "x0", "y0", "x1", "y1")))
+        named = df.select(*keys, *(c(n).alias(f"{s}_{n}") for n in ("id", "x0", "y0", "x1", "y1")))
         gx = F.sequence(F.floor(c(f"{s}_x0") / cell), F.floor(c(f"{s}_x1") / cell))
         gy = F.sequence(F.floor(c(f"{s}_y0") / cell), F.floor(c(f"{s}_y1") / cell))
         return named.withColumn("gx", F.explode(gx)).withColumn("gy", F.explode(gy))
 
-    both = dealt(left, "l").join(dealt(right, "r"), ["gx", "gy"])
+    both = dealt(left, "l").join(dealt(right, "r"), [*keys, "gx", "gy"])
     x0, y0 = F.greatest("l_x0", "r_x0"), F.greatest("l_y0", "r_y0")
     x1, y1 = F.least("l_x1", "r_x1"), F.least("l_y1", "r_y1")
     first = (F.floor(x0 / cell) == c("gx")) & (F.floor(y0 / cell) == c("gy"))
-    return both.where((x0 <= x1) & (y0 <= y1) & first).select(c("l_id").alias("a"), c("r_id").alias("b"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    return both.where((x0 <= x1) & (y0 <= y1) & first).select(*keys, c("l_id").alias("a"), c("r_id").alias("b"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+
+def level_status(regions: DataFrame, levels: DataFrame, cell: int, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, status) of each level (keys, x0, y0, x1, y1) that regions (keys, id, x0, y0, x1, y1) should cover.
+
+    'Outside' if a region leaves its level, 'Overlapping' if two regions meet, 'Incomplete' if regions
+    leave samples out, else 'Complete'. Ids tell the regions of a level apart.
+    """
+    c = F.col
+    area = (c("x1") - c("x0") + 1) * (c("y1") - c("y0") + 1)
+    window = levels.select(*keys, *(c(n).alias(f"w_{n}") for n in ("x0", "y0", "x1", "y1")))
+    leaves = (c("x0") < c("w_x0")) | (c("y0") < c("w_y0")) | (c("x1") > c("w_x1")) | (c("y1") > c("w_y1"))
+    own = regions.join(window, [*keys]).groupBy(*keys).agg(F.bool_or(leaves).alias("leaves"), F.sum(area).alias("covered"))
+    meeting = overlapping(regions, regions, cell, keys).where("a < b").select(*keys, F.lit(True).alias("meet")).distinct()
+    status = F.when(c("leaves"), "Outside").when(c("meet"), "Overlapping").when(F.coalesce("covered", F.lit(0)) < c("size"), "Incomplete").otherwise("Complete")
+    return levels.select(*keys, area.alias("size")).join(own, [*keys], "left").join(meeting, [*keys], "left").select(*keys, status.alias("status"))
 
 
 def missing(planned: DataFrame, written: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,9 +13,9 @@ TOLERANCE = 0.01
 
 def distinct_wavelengths(sorted_values: Column) -> Column:
     """Ascending wavelengths; one is kept if it exceeds the last kept by more than the tolerance."""
-    step = lambda kept, w: F.when(F.size(kept) == 0, F.array(w)).when(w > F.element_at(kept, -1) + TOLERANCE, F.concat(kept, F.array(w))).otherwise(kept)
-    kept = F.aggregate(sorted_values, F.array().cast("array<double>"), step)
-    return F.slice(kept, 1, MAX_WAVELENGTHS)
+    more = lambda kept, w: (w > F.element_at(kept, -1) + TOLERANCE) & (F.size(kept) < MAX_WAVELENGTHS)
+    step = lambda kept, w: F.when(F.size(kept) == 0, F.array(w)).when(more(kept, w), F.concat(kept, F.array(w))).otherwise(kept)
+    return F.aggregate(sorted_values, F.array().cast("array<double>"), step)
 
 
 def distinct_wavelengths_any(values: Column) -> Column:
@@ -76,6 +76,12 @@ def cube_channels(cube_: DataFrame, kind: str, keys: tuple[str, ...] = ()) -> Da
     return cube_.select(*keys, names.spectral_name(kind, F.col("wavelength")).alias("name"), "y", "x", "value")
 
 
+def clashing_names(axis: DataFrame, kind: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, name, n): channel names that several wavelengths of an axis (keys, wavelength) are formatted to."""
+    named = axis.select(*keys, names.spectral_name(kind, F.col("wavelength")).alias("name"))
+    return named.groupBy(*keys, "name").agg(F.count("*").alias("n")).where("n > 1")
+
+
 #: Attribute names of spectral metadata.
 SPECTRAL_ATTRIBUTES = ("spectralLayoutVersion", "ROOT/units", "emissiveUnits", "polarisationHandedness")
 

@@ -183,6 +183,22 @@ def _half_round(spark, sf_dir):
     return pixels(spark, sf_dir).select(*_KEY, convert.half_bits_to_float(convert.float_to_half_bits(F.col("value"))).alias("v"))
 
 
+@query("half_bits_to_u32", f"SELECT b AS bits, CASE WHEN isnan(v) OR v <= 0 THEN 0 WHEN isinf(v) THEN 4294967295 ELSE round_even(v, 0) END::BIGINT AS u FROM (SELECT b, {_HALF_SQL} AS v FROM range(65536) t(b))")
+def _half_whole(spark, sf_dir):
+    """All 65 536 patterns as unsigned samples."""
+    return spark.range(65536).select(F.col("id").alias("bits"), convert.half_bits_to_unsigned(F.col("id")).alias("u"))
+
+
+@query(
+    "u32_to_half_bits",
+    f"WITH {PIXELS_SQL}, s AS (SELECT y, x, (y * 100 + x) * 7 % 70000 AS u FROM px), e AS (SELECT y, x, u, floor(log2(greatest(u, 1))) AS e FROM s) SELECT y, x, CASE WHEN u = 0 THEN 0 WHEN u >= 65520 THEN 31744 ELSE (e + 14) * 1024 + round_even(u / pow(2.0::DOUBLE, e - 10), 0) END::BIGINT AS bits FROM e",
+)
+def _whole_half(spark, sf_dir):
+    """Unsigned samples as halves: to the nearest, ties to even; beyond the largest half infinity."""
+    u = (F.col("y") * 100 + F.col("x")) * 7 % 70000
+    return pixels(spark, sf_dir).select(*_KEY, convert.unsigned_to_half_bits(u).alias("bits"))
+
+
 @query("type_conversion_matrix", "SELECT s AS stored, r AS requested, (s = 'HALF' AND r IN ('HALF', 'FLOAT')) OR (s = r) AS readable FROM (VALUES ('HALF'), ('FLOAT'), ('UINT')) a(s), (VALUES ('HALF'), ('FLOAT'), ('UINT')) b(r)")
 def _readable(spark, sf_dir):
     kinds = ("HALF", "FLOAT", "UINT")

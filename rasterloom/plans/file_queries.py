@@ -27,10 +27,10 @@ _LINES = 10
 _LONG = f"WITH {PIXELS_SQL}, long AS (SELECT y, x, 'R' AS channel, r AS value FROM px UNION ALL SELECT y, x, 'G', g FROM px) SELECT (y // {_LINES})::VARCHAR AS image, (y % {_LINES})::BIGINT AS y, x::BIGINT AS x, channel, {{v}} AS value FROM long"
 
 
-def _images(spark, sf_dir, compression: str, pixel_type: str = "FLOAT", tiles=None):
+def _images(spark, sf_dir, compression: str, pixel_type: str = "FLOAT", tiles=None, **more):
     long = channels.deinterleave(pixels(spark, sf_dir), ["r", "g"])
     named = long.select(F.expr(f"y div {_LINES}").cast("string").alias("file_id"), (F.col("y") % _LINES).cast("int").alias("y"), F.col("x").cast("int").alias("x"), "channel", "value")
-    return frames.encode_images(named, compression, pixel_type, tiles)
+    return frames.encode_images(named, compression, pixel_type, tiles, **more)
 
 
 def _pixels(spark, sf_dir):
@@ -91,6 +91,42 @@ def _multipart(spark, sf_dir):
     return _shown(back, F.col("part_index").cast("long").alias("part"))
 
 
+@query("image_part_renamed", f"WITH {PIXELS_SQL}, n(part, name) AS (VALUES (0, 'part R'), (1, 'renamed')) SELECT DISTINCT (y // {_LINES})::VARCHAR AS image, part::BIGINT AS part, name FROM px, n")
+def _renamed(spark, sf_dir):
+    """Files of two parts, read and written again with another name of the second."""
+    long = channels.deinterleave(_pixels(spark, sf_dir).select("file_id", "y", "x", *"rg"), ["r", "g"], ("file_id",))
+    part = F.when(F.col("channel") == "R", 0).otherwise(1)
+    files = frames.encode_images(long.withColumn("part_index", part).withColumn("part_name", F.concat(F.lit("part "), "channel")), "ZSTD").select(F.col("file_id").alias("path"), "content")
+    again = frames.encode_images(images.rename_part(frames.decode_images(files), frames.decode_images(files, "header"), 1, "renamed"), "ZSTD")
+    return frames.decode_images(again.select(F.col("file_id").alias("path"), "content"), "header").select(F.col("file_id").alias("image"), F.col("part_index").cast("long").alias("part"), "name")
+
+
+@query("image_roundtrip_decreasing", _LONG.format(v="value::FLOAT::DOUBLE"))
+def _decreasing(spark, sf_dir):
+    """Files whose last lines come first."""
+    return _shown(frames.decode_images(_images(spark, sf_dir, "ZIPS", line_order="DECREASING_Y").select(F.col("file_id").alias("path"), "content")))
+
+
+@query("image_line_order", f"WITH {PIXELS_SQL}, f AS (SELECT y // {_LINES} AS image, max(y % {_LINES}) AS last FROM px GROUP BY 1) SELECT image::VARCHAR AS image, b::BIGINT AS block, (last - b)::BIGINT AS place FROM f, range({_LINES}) t(b) WHERE b <= last")
+def _line_order(spark, sf_dir):
+    """Where the blocks of such files lie."""
+    found = frames.decode_images(_images(spark, sf_dir, "ZIPS", line_order="DECREASING_Y").select(F.col("file_id").alias("path"), "content"), "blocks")
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy("file_offset")) - 1
+    return found.select(F.col("file_id").alias("image"), F.col("block_index").cast("long").alias("block"), place.cast("long").alias("place"))
+
+
+for _name, _order in (("image_missing_offsets", "INCREASING_Y"), ("image_missing_offsets_decreasing", "DECREASING_Y")):
+
+    @query(_name, _LONG.format(v="value::FLOAT::DOUBLE"))
+    def _no_offsets(spark, sf_dir, order=_order):
+        """Files whose table of offsets, which lies before the first chunk, is all zero: chunks are found by a walk."""
+        files = _images(spark, sf_dir, "ZIPS", line_order=order).select(F.col("file_id").alias("path"), "content")
+        tables = frames.decode_images(files, "blocks").groupBy(F.col("file_id").alias("path")).agg(F.min("file_offset").alias("first"), (F.count("*") * 8).alias("size"))
+        zeros = F.unhex(F.repeat(F.lit("00"), F.col("size").cast("int")))
+        broken = F.overlay("content", zeros, (F.col("first") - F.col("size") + 1).cast("int"), F.col("size").cast("int"))
+        return _shown(frames.decode_images(files.join(tables, "path").select("path", broken.alias("content"))))
+
+
 _SIDES = "w AS (SELECT y // 10 AS image, max(y % 10) + 1 AS h FROM px GROUP BY 1)"
 
 for _mode, _pairs in (("mip", [(k, k) for k in range(7)]), ("rip", [(a, b) for a in range(7) for b in range(4)])):

@@ -169,6 +169,53 @@ def _repeated(spark, sf_dir):
     return blocks.repeated(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block")), ["block"])
 
 
+_REGIONS_SQL = (
+    "r AS (SELECT o_orderkey // 10 AS image, o_orderkey % 10 AS id, o_orderkey % 5 * 8 + (o_custkey % 23 = 0)::INT AS x0, o_orderkey % 10 // 5 * 2 AS y0 FROM orders WHERE o_custkey % 29 <> 0), "
+    "o AS (SELECT DISTINCT a.image FROM r a JOIN r b ON a.image = b.image AND a.id < b.id AND a.x0 <= b.x0 + 7 AND b.x0 <= a.x0 + 7 AND a.y0 <= b.y0 + 1 AND b.y0 <= a.y0 + 1)"
+)
+
+
+@query(
+    "level_regions",
+    f"WITH {_REGIONS_SQL}, g AS (SELECT image, max(x0) AS far, count(*) AS n FROM r GROUP BY 1), i AS (SELECT DISTINCT o_orderkey // 10 AS image FROM orders) SELECT i.image, CASE WHEN far > 32 THEN 'Outside' WHEN i.image IN (SELECT image FROM o) THEN 'Overlapping' WHEN coalesce(n, 0) < 10 THEN 'Incomplete' ELSE 'Complete' END AS status FROM i LEFT JOIN g ON g.image = i.image",
+)
+def _level_regions(spark, sf_dir):
+    """Levels of 40 x 4 samples in ten regions each, some of them moved or left out."""
+    from rasterloom.plans.views import table
+
+    orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    x0, y0 = k % 5 * 8 + (F.col("o_custkey") % 23 == 0).cast("int"), F.expr("o_orderkey % 10 div 5") * 2
+    image = F.expr("o_orderkey div 10").alias("image")
+    regions = orders.where("o_custkey % 29 <> 0").select(image, (k % 10).alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + 7).alias("x1"), (y0 + 1).alias("y1"))
+    levels = orders.select(image).distinct().select("image", *(F.lit(v).cast("long").alias(n) for n, v in (("x0", 0), ("y0", 0), ("x1", 39), ("y1", 3))))
+    return blocks.level_status(regions, levels, 16, ("image",))
+
+
+_FAR = "(o_orderkey % 3000 - 1500) * 1000000 + o_orderkey % 2"
+
+
+@query("window_validation", f"WITH w AS (SELECT o_orderkey, CASE o_orderkey % 100 WHEN 0 THEN -1073741823 WHEN 1 THEN -1073741822 WHEN 2 THEN 1073741822 - 9 WHEN 3 THEN 1073741823 - 9 ELSE {_FAR} END AS x FROM orders) SELECT o_orderkey AS id, x BETWEEN -1073741822 AND 1073741822 - 9 AS ok FROM w")
+def _window_validation(spark, sf_dir):
+    """Windows of 10 columns whose coordinates may lie beyond what files can have."""
+    from rasterloom.plans.views import table
+
+    x = F.expr(f"CASE o_orderkey % 100 WHEN 0 THEN -1073741823 WHEN 1 THEN -1073741822 WHEN 2 THEN 1073741822 - 9 WHEN 3 THEN 1073741823 - 9 ELSE {_FAR} END")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), geo.window_in_range(x, F.lit(0), x + 9, F.lit(9)).alias("ok"))
+
+
+_SAMPLING = {"min_x": "l_partkey % 7 - 3", "min_y": "l_orderkey % 5 - 2", "width": "l_suppkey % 6 + 1", "height": "l_partkey % 4 + 1", "xs": "l_linenumber % 3 + 1", "ys": "l_orderkey % 2 + 1"}
+_SAMPLING_SQL = ", ".join(f"{v} AS {k}" for k, v in _SAMPLING.items())
+
+
+@query("sampling_validation", f"WITH c AS (SELECT l_orderkey, l_linenumber, {_SAMPLING_SQL} FROM lineitem) SELECT l_orderkey AS image, l_linenumber AS channel, min_x % xs = 0 AND width % xs = 0 AND min_y % ys = 0 AND height % ys = 0 AS ok FROM c")
+def _sampling_validation(spark, sf_dir):
+    """A line item is a channel: does its sampling fit the window?"""
+    from rasterloom.plans.views import table
+
+    c = table(spark, sf_dir, "lineitem")
+    return c.select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("channel"), geo.sampling_divides(*(F.expr(v) for v in _SAMPLING.values())).alias("ok"))
+
+
 @query("tile_slices", f"WITH {PIXELS_SQL} SELECT y // 8 AS tile_y, x // 16 AS tile_x, count(*)::BIGINT AS samples, round(sum(value), 4) AS total FROM px GROUP BY 1, 2")
 def _slices(spark, sf_dir):
     p = pixels(spark, sf_dir)

@@ -108,6 +108,30 @@ def _from_cube(spark, sf_dir):
     return spectral.cube_channels(spectral_view(spark, sf_dir), "emissive").withColumn("value", F.round("value", 6))
 
 
+_CLOSE = "400 + o_orderkey % 1000 + CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 7 * 5e-8 ELSE 0 END"
+
+
+@query(
+    "spectral_clashing_names",
+    f"WITH w AS (SELECT DISTINCT o_orderkey // 3000 AS part, ({_CLOSE})::DOUBLE AS w FROM orders), n AS (SELECT part, 'T.' || round(w)::BIGINT || ',000000nm' AS name FROM w) SELECT part, name, count(*)::BIGINT AS n FROM n GROUP BY 1, 2 HAVING count(*) > 1",
+)
+def _clashing(spark, sf_dir):
+    """Wavelengths that no longer differ once they are formatted with six decimals."""
+    axis = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 3000").alias("part"), F.expr(f"cast({_CLOSE.replace('5e-8', '5e-8D')} as double)").alias("wavelength")).distinct()
+    return spectral.clashing_names(axis, "reflective", ("part",))
+
+
+@query(
+    "wavelengths_capped",
+    "WITH w AS (SELECT event_id // 1000 AS part, (30000 + 2 * (event_id % 1000 * 5 + j)) / 100.0::DOUBLE AS w FROM events, range(5) t(j)), r AS (SELECT part, w, row_number() OVER (PARTITION BY part ORDER BY w) AS k FROM w) SELECT part, count(*)::BIGINT AS n, min(w) AS low, max(w) AS high FROM r WHERE k <= 4096 GROUP BY 1",
+)
+def _capped(spark, sf_dir):
+    """Parts of 5000 wavelengths: the 4096 lowest count."""
+    w = (F.lit(30000) + (F.col("event_id") % 1000 * 5 + F.col("j")) * 2) / 100.0
+    named = table(spark, sf_dir, "events").select("event_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")).select(F.expr("event_id div 1000").alias("part"), names.spectral_name("emissive", w).alias("name"))
+    return spectral.wavelengths(named).select("part", F.size("wavelengths").cast("long").alias("n"), F.array_min("wavelengths").alias("low"), F.array_max("wavelengths").alias("high"))
+
+
 @query("stokes_planes", f"WITH {_PARSED} SELECT part, right(kind, 1)::BIGINT AS stokes, count(*)::BIGINT AS channels FROM p WHERE w IS NOT NULL AND kind <> 'T' GROUP BY 1, 2")
 def _stokes(spark, sf_dir):
     s = names.stokes(F.col("name"))

@@ -445,9 +445,13 @@ def assemble(parts: list[Part], chunks: list[dict[int, bytes]], force_multipart:
     at = len(head) + 8 * sum(map(len, chunks))
     tables, body = [], []
     for k, own in enumerate(chunks):
-        for i in range(len(own)):
+        blocks, order, offsets = parts[k].blocks(), range(len(own)), [0] * len(own)
+        if parts[k].line_order == "DECREASING_Y":  # the table goes by block all the same
+            order = sorted(order, key=lambda i, b=blocks: (b[i].level_y, b[i].level_x, -b[i].box[1], b[i].tile_x))
+        for i in order:
             data = (struct.pack("<i", k) if multipart else b"") + own[i]
-            tables.append(at)
+            offsets[i] = at
             body.append(data)
             at += len(data)
+        tables += offsets
     return head + struct.pack(f"<{len(tables)}Q", *tables) + b"".join(body)

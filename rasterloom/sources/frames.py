@@ -137,7 +137,7 @@ def read_images(spark: SparkSession, path: str, mode: str = "samples", fail_fast
 LEVELS = ("ONE", "MIP", "RIP")
 
 
-def _plain_parts(table: pa.Table, compression: str, pixel_type: str, tiles, levels: str, rounding: str) -> tuple[list[exr.Part], list[dict[int, bytes]]]:
+def _plain_parts(table: pa.Table, compression: str, pixel_type: str, tiles, levels: str, rounding: str, line_order: str) -> tuple[list[exr.Part], list[dict[int, bytes]]]:
     """The flat parts of one image's samples, with their chunks."""
     part_of, lx, ly, y, x, value = (table.column(n).to_numpy() for n in ("part_index", "level_x", "level_y", "y", "x", "value"))
     channel, names = np.array(table.column("channel").to_pylist()), np.array(table.column("part_name").to_pylist())
@@ -146,7 +146,7 @@ def _plain_parts(table: pa.Table, compression: str, pixel_type: str, tiles, leve
         own = part_of == k
         base = own & (lx == 0) & (ly == 0)
         window = (int(x[base].min()), int(y[base].min()), int(x[base].max()), int(y[base].max()))
-        part = exr.Part(index=len(parts), name=str(names[own][0]), kind="tiledimage" if tiles else "scanlineimage", compression=compression, window=window, display=window, tiles=(*tiles, levels, rounding) if tiles else None)
+        part = exr.Part(index=len(parts), name=str(names[own][0]), kind="tiledimage" if tiles else "scanlineimage", compression=compression, line_order=line_order, window=window, display=window, tiles=(*tiles, levels, rounding) if tiles else None)
         part.channels = [(str(n), pixel_type, 1, 1, False) for n in sorted(set(channel[own].tolist()), key=str.encode)]
         w, h = window[2] - window[0] + 1, window[3] - window[1] + 1
         planes = {}
@@ -169,19 +169,22 @@ def _with_defaults(samples: DataFrame, defaults: dict) -> DataFrame:
     return samples.select("*", *(v.alias(n) for n, v in defaults.items() if n not in samples.columns))
 
 
-def encode_images(samples: DataFrame, compression: str = "ZIP", pixel_type: str = "FLOAT", tiles: tuple[int, int] | None = None, levels: str = "ONE", rounding: str = "DOWN") -> DataFrame:
+def encode_images(samples: DataFrame, compression: str = "ZIP", pixel_type: str = "FLOAT", tiles: tuple[int, int] | None = None, levels: str = "ONE", rounding: str = "DOWN", line_order: str = "INCREASING_Y") -> DataFrame:
     """(file_id, content) of (file_id, y, x, channel, value): one image file each.
 
     Optional columns: part_index and part_name (several parts make a multipart file; names must
     differ), level_x and level_y (with ``tiles`` and ``levels`` MIP or RIP; samples of a level lie at
     the window's corner). An image's samples meet in one task, as its file must be written in one
-    piece; images are spread. Pixels without a row are 0.
+    piece; images are spread. Pixels without a row are 0. ``line_order``: DECREASING_Y puts the last
+    lines first in the file; RANDOM_Y is for tiles only.
     """
+    if line_order not in exr.LINE_ORDERS or (line_order == "RANDOM_Y" and not tiles):
+        raise ValueError("InvalidArgument: the line order is INCREASING_Y, DECREASING_Y, or with tiles RANDOM_Y")
     if levels not in LEVELS or (levels != "ONE" and not tiles):
         raise ValueError("InvalidArgument: levels are ONE, or with tiles MIP or RIP")
 
     def build(table: pa.Table) -> pa.Table:
-        parts, chunks = _plain_parts(table, compression, pixel_type, tiles, levels, rounding)
+        parts, chunks = _plain_parts(table, compression, pixel_type, tiles, levels, rounding, line_order)
         return pa.table({"file_id": [table.column("file_id")[0].as_py()], "content": pa.array([exr.assemble(parts, chunks)], pa.binary())})
 
     ship(samples.sparkSession)

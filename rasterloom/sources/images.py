@@ -77,6 +77,12 @@ def describe(headers: DataFrame) -> DataFrame:
     return headers.select("file_id", "part_index", F.concat_ws(" | ", title, "part_type", size, box, "compression", "line_order", listed).alias("summary"))
 
 
+def rename_part(samples: DataFrame, headers: DataFrame, index: int, name: str) -> DataFrame:
+    """Samples with part_name, as ``encode_images`` takes it: that of their header, of part ``index`` the new one."""
+    given = F.when(F.col("part_index") == index, F.lit(name)).otherwise(F.col("name")).alias("part_name")
+    return samples.join(headers.select("file_id", "part_index", given), ["file_id", "part_index"])
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A CSV of sample images: sample_id, kind, relative_path."""
     return spark.read.schema("sample_id string, kind string, relative_path string").option("header", True).csv(path)
