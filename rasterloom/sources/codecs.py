@@ -68,12 +68,35 @@ def predict(data: bytes) -> np.ndarray:
     return out
 
 
+_LANES, _LOW = np.uint64(0x0001000100010001), np.uint64(0x00FF00FF00FF00FF)
+_SHIFT, _TOP = np.uint64(8), np.uint64(48)
+
+
+def byte_sums(d: np.ndarray) -> np.ndarray:
+    """Prefix sums of bytes modulo 256, eight bytes at a time.
+
+    Odd and even bytes of a word are lanes of 16 bits, so sums of its eight bytes don't run over; only
+    one total a word is summed one after another.
+    """
+    words = np.zeros(-(-len(d) // 8), "<u8")
+    words.view(np.uint8)[: len(d)] = d
+    odd = words >> _SHIFT & _LOW
+    sums = ((words & _LOW) + odd) * _LANES  # of pairs, up to each lane
+    total = (sums >> _TOP).astype(np.uint8)
+    sums += (np.cumsum(total, dtype=np.uint8) - total).astype(np.uint64) * _LANES
+    even = sums - odd & _LOW
+    sums &= _LOW
+    sums <<= _SHIFT
+    sums |= even
+    return sums.view(np.uint8)[: len(d)]
+
+
 def unpredict(data: bytes) -> bytes:
     d = np.frombuffer(data, np.uint8) + np.uint8(128)  # modulo 256, as the sums are
     if not len(d):
         return b""
     d[:1] -= np.uint8(128)
-    t = np.cumsum(d, dtype=np.uint8)
+    t = byte_sums(d)
     out, half = np.empty_like(t), (len(t) + 1) // 2
     out[0::2], out[1::2] = t[:half], t[half:]
     return out.tobytes()
@@ -107,28 +130,33 @@ def rle_encode(data: np.ndarray) -> bytes:
     order = np.argsort(at)
     run = (np.arange(len(at)) < len(run_at))[order]
     at, n = at[order], n[order]
+    # a run keeps its first byte, a literal all of its bytes, and each has a count before it
+    keep = np.repeat(~run, n)
+    keep[at[run]] = True
     size = np.where(run, 2, n + 1)
     place = np.cumsum(size) - size
     out = np.empty(int(size.sum()), np.uint8)
+    value = np.ones(len(out), bool)
+    value[place] = False
+    out[value] = data[keep]
     out[place] = np.where(run, n - 1, 256 - n)
-    out[place[run] + 1] = data[at[run]]
-    n, at, place = n[~run], at[~run], place[~run]
-    shift = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    out[shift + np.repeat(place + 1 - at, n)] = data[shift]
     return out.tobytes()
 
 
+#: Bytes of an operation by its first.
+_STEP = [2] * 128 + [257 - c for c in range(128, 256)]
+
+
 def rle_decode(data: bytes, size: int) -> bytes:
     if not data:
         if size:
             raise Corrupt("the run lengths give another size")
         return b""
     code = np.frombuffer(data, np.uint8)
-    step = np.where(code < 128, 2, 257 - code.astype(np.int32)).tolist()
     heads, at, end = [], 0, len(data)
     while at < end:  # an operation says where the next one lies
         heads.append(at)
-        at += step[at]
+        at += _STEP[data[at]]
     heads = np.array(heads)
     run = code[heads] < 128
     if heads[-1] + 1 >= end and run[-1]:
@@ -138,11 +166,10 @@ def rle_decode(data: bytes, size: int) -> bytes:
         n[-1] -= at - end
     if n.sum() != size:
         raise Corrupt("the run lengths give another size")
-    first = np.cumsum(n) - n
-    source = np.repeat(heads + 1 - np.where(run, 0, first), n)
-    if not run.all():
-        source += np.arange(size) * np.repeat(~run, n)
-    return code[source].tobytes()
+    times = np.ones(end, np.int64)
+    times[heads] = 0
+    times[heads[run] + 1] = n[run]
+    return np.repeat(code, times).tobytes()
 
 
 def float_to_24(bits: np.ndarray) -> np.ndarray:
