@@ -8,10 +8,9 @@ from rasterloom.functions import geometry as geo
 from rasterloom.functions.numeric import floor_div, sample_count
 from rasterloom.operators import blocks
 from rasterloom.plans.catalog import query
-from rasterloom.plans.views import PIXELS_SQL, literal, pixels, values_sql
+from rasterloom.plans.views import PIXELS_SQL, pixels, table, values_sql, with_rows, with_rows_sql
 
 #: id, part type, compression, window, tile size, level mode, round up, multipart, deep
-_COLUMNS = ["id", "compression", "min_x", "min_y", "max_x", "max_y", "tile_x", "tile_y", "mode", "round_up", "multipart", "deep"]
 _HEADERS = [
     (0, "ZIP", -4, -5, 3, 11, None, None, None, False, False, False),
     (1, "ZIP", -2, 4, 3, 23, None, None, None, False, False, False),
@@ -25,7 +24,22 @@ _HEADERS = [
     (9, "ZSTD", 1, -2, 7, 0, 3, 2, "MIP", False, False, True),
     (10, "HTJ2K256", 0, 0, 300, 1200, None, None, None, False, False, False),
 ]
-_HEADERS_SQL = values_sql("h0", _COLUMNS, _HEADERS) + ", h AS (SELECT *, max_x - min_x + 1 AS w, max_y - min_y + 1 AS hh FROM h0)"
+#: An order is a header, too: scanlines or tiles.
+_ORDERS = {
+    "id": "o_orderkey + 11",
+    "compression": "CASE o_custkey % 5 WHEN 0 THEN 'NONE' WHEN 1 THEN 'ZIP' WHEN 2 THEN 'PIZ' WHEN 3 THEN 'ZIPS' ELSE 'B44' END",
+    "min_x": "o_custkey % 9 - 4",
+    "min_y": "o_orderkey % 7 - 3",
+    "max_x": "o_custkey % 9 - 4 + o_orderkey % 40",
+    "max_y": "o_orderkey % 7 - 3 + o_custkey % 30",
+    "tile_x": "CASE WHEN o_orderkey % 2 = 0 THEN 2 + o_custkey % 6 END",
+    "tile_y": "CASE WHEN o_orderkey % 2 = 0 THEN 3 + o_orderkey % 4 END",
+    "mode": "CASE WHEN o_orderkey % 2 = 1 THEN NULL WHEN o_custkey % 3 = 0 THEN 'ONE' WHEN o_custkey % 3 = 1 THEN 'MIP' ELSE 'RIP' END",
+    "round_up": "o_custkey % 2 = 1",
+    "multipart": "o_orderkey % 5 = 0",
+    "deep": "o_custkey % 7 = 0",
+}
+_HEADERS_SQL = with_rows_sql("h0", _HEADERS, "orders", _ORDERS) + ", h AS (SELECT *, max_x - min_x + 1 AS w, max_y - min_y + 1 AS hh FROM h0)"
 _LINES_SQL = "CASE compression " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in geo.LINES.items()) + " END"
 _SIZE_SQL = "greatest(1, CASE WHEN round_up THEN ({n} + (1::BIGINT << {l}) - 1) // (1::BIGINT << {l}) ELSE {n} >> {l} END)"
 #: levels(id, lx, ly, lw, lh) of tiled headers
@@ -36,26 +50,26 @@ _LEVELS_SQL = (
 )
 _TILES_SQL = (
     "tiles AS (SELECT l.id, lx, ly, tx.range AS tx, ty.range AS ty, min_x + tx.range * tile_x AS x0, min_y + ty.range * tile_y AS y0, least(tile_x, lw - tx.range * tile_x) AS bw, least(tile_y, lh - ty.range * tile_y) AS bh, multipart, deep "
-    "FROM levels l, range(4000) tx, range(4000) ty WHERE tx.range < (lw + tile_x - 1) // tile_x AND ty.range < (lh + tile_y - 1) // tile_y AND tx.range < 50 AND ty.range < 50)"
+    "FROM levels l, range(50) tx, range(50) ty WHERE tx.range < (lw + tile_x - 1) // tile_x AND ty.range < (lh + tile_y - 1) // tile_y)"
 )
 _SCAN_SQL = f"scan AS (SELECT id, b.range AS block, min_x, max_x, min_y + b.range * {_LINES_SQL} AS y0, least(min_y + (b.range + 1) * {_LINES_SQL} - 1, max_y) AS y1, multipart, deep FROM h, range(2000) b WHERE tile_x IS NULL AND b.range < (hh + {_LINES_SQL} - 1) // {_LINES_SQL})"
 _SCHEMA = "id long, compression string, min_x long, min_y long, max_x long, max_y long, tile_x long, tile_y long, mode string, round_up boolean, multipart boolean, deep boolean"
 
 
-def _headers(spark):
-    return literal(spark, _HEADERS, _SCHEMA)
+def _headers(spark, sf_dir):
+    return with_rows(spark, sf_dir, _HEADERS, _SCHEMA, "orders", _ORDERS)
 
 
 @query("level_sizes", f"WITH {_HEADERS_SQL}, {_LEVELS_SQL} SELECT id::BIGINT AS id, lx::BIGINT AS level_x, ly::BIGINT AS level_y, lw::BIGINT AS width, lh::BIGINT AS height FROM levels")
 def _levels(spark, sf_dir):
-    return blocks.levels(_headers(spark)).select("id", "level_x", "level_y", "width", "height")
+    return blocks.levels(_headers(spark, sf_dir)).select("id", "level_x", "level_y", "width", "height")
 
 
 for _mode in ("mip", "rip"):
 
     @query(f"{_mode}_levels", f"WITH {_HEADERS_SQL}, {_LEVELS_SQL} SELECT id::BIGINT AS id, count(*)::BIGINT AS levels, max(lx)::BIGINT AS last_x, max(ly)::BIGINT AS last_y FROM levels WHERE mode = '{_mode.upper()}' GROUP BY 1")
     def _mode_levels(spark, sf_dir, mode=_mode):
-        return blocks.levels(_headers(spark).where(F.col("mode") == mode.upper())).groupBy("id").agg(F.count("*").alias("levels"), F.max("level_x").alias("last_x"), F.max("level_y").alias("last_y"))
+        return blocks.levels(_headers(spark, sf_dir).where(F.col("mode") == mode.upper())).groupBy("id").agg(F.count("*").alias("levels"), F.max("level_x").alias("last_x"), F.max("level_y").alias("last_y"))
 
 
 @query("level_count", "SELECT n::BIGINT AS size, (floor(log2(n::DOUBLE + 1e-9)) + 1)::BIGINT AS down, (ceil(log2(n::DOUBLE - 1e-9)) + 1)::BIGINT AS up FROM range(1, 5000) t(n)")
@@ -66,24 +80,24 @@ def _level_count(spark, sf_dir):
 
 @query("block_plan_scanline", f"WITH {_HEADERS_SQL}, {_SCAN_SQL} SELECT id::BIGINT AS id, block, min_x::BIGINT AS x0, y0::BIGINT AS y0, max_x::BIGINT AS x1, y1::BIGINT AS y1 FROM scan")
 def _scanlines(spark, sf_dir):
-    return blocks.scanline_blocks(_headers(spark)).select("id", F.col("block_index").alias("block"), "x0", "y0", "x1", "y1")
+    return blocks.scanline_blocks(_headers(spark, sf_dir)).select("id", F.col("block_index").alias("block"), "x0", "y0", "x1", "y1")
 
 
 @query("block_plan_tiled", f"WITH {_HEADERS_SQL}, {_LEVELS_SQL}, {_TILES_SQL} SELECT id::BIGINT AS id, lx::BIGINT AS level_x, ly::BIGINT AS level_y, tx AS tile_x, ty AS tile_y, x0::BIGINT AS x0, y0::BIGINT AS y0, (x0 + bw - 1)::BIGINT AS x1, (y0 + bh - 1)::BIGINT AS y1 FROM tiles")
 def _tiled(spark, sf_dir):
-    return blocks.tiled_blocks(_headers(spark)).select("id", "level_x", "level_y", F.col("tx").alias("tile_x"), F.col("ty").alias("tile_y"), "x0", "y0", "x1", "y1")
+    return blocks.tiled_blocks(_headers(spark, sf_dir)).select("id", "level_x", "level_y", F.col("tx").alias("tile_x"), F.col("ty").alias("tile_y"), "x0", "y0", "x1", "y1")
 
 
 @query("chunk_counts", f"WITH {_HEADERS_SQL}, {_LEVELS_SQL}, {_TILES_SQL}, {_SCAN_SQL} SELECT id::BIGINT AS id, count(*)::BIGINT AS chunks FROM (SELECT id FROM tiles UNION ALL SELECT id FROM scan) GROUP BY 1")
 def _chunks(spark, sf_dir):
-    h = _headers(spark)
+    h = _headers(spark, sf_dir)
     both = blocks.scanline_blocks(h).select("id").unionAll(blocks.tiled_blocks(h).select("id"))
     return both.groupBy("id").agg(F.count("*").alias("chunks"))
 
 
 @query("chunk_header_bytes", f"WITH {_HEADERS_SQL} SELECT id::BIGINT AS id, (CASE WHEN deep AND tile_x IS NOT NULL THEN 40 WHEN deep THEN 28 WHEN tile_x IS NOT NULL THEN 20 ELSE 8 END + CASE WHEN multipart THEN 4 ELSE 0 END)::BIGINT AS bytes FROM h")
 def _header_bytes(spark, sf_dir):
-    return _headers(spark).select("id", geo.chunk_header_bytes(F.col("tile_x").isNotNull(), F.col("deep"), F.col("multipart")).cast("long").alias("bytes"))
+    return _headers(spark, sf_dir).select("id", geo.chunk_header_bytes(F.col("tile_x").isNotNull(), F.col("deep"), F.col("multipart")).cast("long").alias("bytes"))
 
 
 #: channels of every header: name, pixel type, sampling
@@ -96,8 +110,9 @@ _COUNT = "(floor(({hi}) / {s}::DOUBLE) - floor(({lo} - 1) / {s}::DOUBLE))"
     f"WITH {_HEADERS_SQL}, {_SCAN_SQL}, {values_sql('c', ['name', 'type_', 'xs', 'ys'], _CHANNELS)} SELECT id::BIGINT AS id, block, sum({_COUNT.format(lo='min_x', hi='max_x', s='xs')} * {_COUNT.format(lo='y0', hi='y1', s='ys')} * CASE type_ WHEN 'HALF' THEN 2 ELSE 4 END)::BIGINT AS bytes FROM scan, c GROUP BY 1, 2",
 )
 def _bytes(spark, sf_dir):
-    c = literal(spark, [(h[0], *ch) for h in _HEADERS for ch in _CHANNELS], "id long, name string, type string, xs long, ys long")
-    return blocks.uncompressed_bytes(blocks.scanline_blocks(_headers(spark)), c).select("id", F.col("block_index").alias("block"), "bytes")
+    listed = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(t).alias("type"), F.lit(xs).cast("long").alias("xs"), F.lit(ys).cast("long").alias("ys")) for n, t, xs, ys in _CHANNELS)))
+    c = _headers(spark, sf_dir).select("id", listed.alias("c")).select("id", "c.*")
+    return blocks.uncompressed_bytes(blocks.scanline_blocks(_headers(spark, sf_dir)), c).select("id", F.col("block_index").alias("block"), "bytes")
 
 
 @query("sample_location_counts", f"SELECT lo::BIGINT AS lo, s::BIGINT AS s, ({_COUNT.format(lo='lo', hi='lo + 12', s='s')})::BIGINT AS n FROM range(-20, 20) a(lo), range(1, 6) b(s)")
@@ -135,37 +150,39 @@ def _tile(spark, sf_dir):
     return p.join(tiles, keys).select("y", "x", "tile_x", "tile_y", "block_index")
 
 
-_REGIONS = [(k, 7 * k % 90, 3 * k % 9, 7 * k % 90 + 12, 3 * k % 9 + 4) for k in range(25)]
+#: An order is a region of 13 x 5 samples.
+_REGIONS = "r AS (SELECT o_orderkey AS k, o_orderkey * 37 % 997 AS x0, o_orderkey // 10 AS y0, o_orderkey * 37 % 997 + 12 AS x1, o_orderkey // 10 + 4 AS y1 FROM orders)"
+
+
+def _regions_of(spark, sf_dir):
+    x0, y0 = F.col("o_orderkey") * 37 % 997, F.expr("o_orderkey div 10")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + 12).alias("x1"), (y0 + 4).alias("y1"))
 
 
 @query(
     "region_overlap_join",
-    f"WITH {values_sql('r', ['k', 'x0', 'y0', 'x1', 'y1'], _REGIONS)} SELECT a.k::BIGINT AS a, b.k::BIGINT AS b, greatest(a.x0, b.x0)::BIGINT AS x0, greatest(a.y0, b.y0)::BIGINT AS y0, least(a.x1, b.x1)::BIGINT AS x1, least(a.y1, b.y1)::BIGINT AS y1 FROM r a JOIN r b ON a.k < b.k AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1",
+    f"WITH {_REGIONS} SELECT a.k::BIGINT AS a, b.k::BIGINT AS b, greatest(a.x0, b.x0)::BIGINT AS x0, greatest(a.y0, b.y0)::BIGINT AS y0, least(a.x1, b.x1)::BIGINT AS x1, least(a.y1, b.y1)::BIGINT AS y1 FROM r a JOIN r b ON a.k < b.k AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1",
 )
-def _regions(spark, sf_dir):
-    r = literal(spark, _REGIONS, "id long, x0 long, y0 long, x1 long, y1 long")
+def _overlap(spark, sf_dir):
+    r = _regions_of(spark, sf_dir)
     return blocks.overlapping(r, r, 16).where("a < b")
 
 
-@query("box_contains", f"WITH {values_sql('r', ['k', 'x0', 'y0', 'x1', 'y1'], _REGIONS)} SELECT k::BIGINT AS id, x0 <= 20 AND y0 <= 3 AND x1 >= 22 AND y1 >= 5 AS inside FROM r")
+@query("box_contains", f"WITH {_REGIONS} SELECT k::BIGINT AS id, x0 <= 20 AND y0 <= 3 AND x1 >= 22 AND y1 >= 5 AS inside FROM r")
 def _contains(spark, sf_dir):
-    r = literal(spark, _REGIONS, "id long, a_min_x long, a_min_y long, a_max_x long, a_max_y long")
+    r = _regions_of(spark, sf_dir).withColumnsRenamed({"x0": "a_min_x", "y0": "a_min_y", "x1": "a_max_x", "y1": "a_max_y"})
     box = {"b_min_x": 20, "b_min_y": 3, "b_max_x": 22, "b_max_y": 5}
     return r.withColumns({k: F.lit(v) for k, v in box.items()}).select("id", geo.contains("a", "b").alias("inside"))
 
 
 @query("missing_blocks_anti_join", "SELECT o_orderkey AS block FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def _missing(spark, sf_dir):
-    from rasterloom.plans.views import table
-
     planned = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("block"))
     return blocks.missing(planned, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block")), ["block"])
 
 
 @query("repeated_blocks", "SELECT l_orderkey AS block, count(*)::BIGINT AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
 def _repeated(spark, sf_dir):
-    from rasterloom.plans.views import table
-
     return blocks.repeated(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block")), ["block"])
 
 
@@ -181,8 +198,6 @@ _REGIONS_SQL = (
 )
 def _level_regions(spark, sf_dir):
     """Levels of 40 x 4 samples in ten regions each, some of them moved or left out."""
-    from rasterloom.plans.views import table
-
     orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     x0, y0 = k % 5 * 8 + (F.col("o_custkey") % 23 == 0).cast("int"), F.expr("o_orderkey % 10 div 5") * 2
     image = F.expr("o_orderkey div 10").alias("image")
@@ -197,8 +212,6 @@ _FAR = "(o_orderkey % 3000 - 1500) * 1000000 + o_orderkey % 2"
 @query("window_validation", f"WITH w AS (SELECT o_orderkey, CASE o_orderkey % 100 WHEN 0 THEN -1073741823 WHEN 1 THEN -1073741822 WHEN 2 THEN 1073741822 - 9 WHEN 3 THEN 1073741823 - 9 ELSE {_FAR} END AS x FROM orders) SELECT o_orderkey AS id, x BETWEEN -1073741822 AND 1073741822 - 9 AS ok FROM w")
 def _window_validation(spark, sf_dir):
     """Windows of 10 columns whose coordinates may lie beyond what files can have."""
-    from rasterloom.plans.views import table
-
     x = F.expr(f"CASE o_orderkey % 100 WHEN 0 THEN -1073741823 WHEN 1 THEN -1073741822 WHEN 2 THEN 1073741822 - 9 WHEN 3 THEN 1073741823 - 9 ELSE {_FAR} END")
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), geo.window_in_range(x, F.lit(0), x + 9, F.lit(9)).alias("ok"))
 
@@ -210,8 +223,6 @@ _SAMPLING_SQL = ", ".join(f"{v} AS {k}" for k, v in _SAMPLING.items())
 @query("sampling_validation", f"WITH c AS (SELECT l_orderkey, l_linenumber, {_SAMPLING_SQL} FROM lineitem) SELECT l_orderkey AS image, l_linenumber AS channel, min_x % xs = 0 AND width % xs = 0 AND min_y % ys = 0 AND height % ys = 0 AS ok FROM c")
 def _sampling_validation(spark, sf_dir):
     """A line item is a channel: does its sampling fit the window?"""
-    from rasterloom.plans.views import table
-
     c = table(spark, sf_dir, "lineitem")
     return c.select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("channel"), geo.sampling_divides(*(F.expr(v) for v in _SAMPLING.values())).alias("ok"))
 

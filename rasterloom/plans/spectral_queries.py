@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import names
 from rasterloom.operators import spectral
 from rasterloom.plans.catalog import query
-from rasterloom.plans.views import SPECTRAL_SQL, literal, table, values_sql
+from rasterloom.plans.views import EVENT_CHANNEL, SPECTRAL_SQL, literal, table, values_sql, with_rows, with_rows_sql
 from rasterloom.plans.views import spectral as spectral_view
 
 #: part, channel index, name
@@ -17,7 +17,9 @@ _CHANNELS = [
     (2, 0, "S0.400,000000nm"), (2, 1, "S3.400,500000nm"), (2, 2, "S2.480,250000nm"), (2, 3, "S1.400,000000nm"),
     (3, 0, "R"), (3, 1, "S0.550,0nm.trailing"), (3, 2, "S4.500,000000nm"), (3, 3, "T.nm"), (3, 4, "S0.-5nm"), (3, 5, "S0.0,0nm"),
 ]
-_SQL = values_sql("c", ["part", "channel_idx", "name"], _CHANNELS)
+#: Eight events are a part's channels.
+_EVENTS = {"part": "CAST(floor(event_id / 8.0) AS BIGINT) + 10", "channel_idx": "event_id % 8", "name": EVENT_CHANNEL}
+_SQL = with_rows_sql("c", _CHANNELS, "events", _EVENTS)
 _RE = r"'^(S[0-3]|T)\.([+-]?[0-9]*[.,]?[0-9]*)nm$'"
 _W = f"CASE WHEN regexp_matches(name, {_RE}) AND regexp_matches(regexp_extract(name, {_RE}, 2), '[0-9]') AND replace(regexp_extract(name, {_RE}, 2), ',', '.')::DOUBLE >= 0 THEN replace(regexp_extract(name, {_RE}, 2), ',', '.')::DOUBLE END"
 # DuckDB may evaluate the cast for other rows: try_cast keeps it from failing
@@ -25,15 +27,15 @@ _W = _W.replace("replace(regexp_extract", "try_cast(replace(regexp_extract").rep
 _PARSED = f"{_SQL}, p AS (SELECT part::BIGINT AS part, channel_idx::BIGINT AS channel_idx, name, {_W} AS w, regexp_extract(name, {_RE}, 1) AS kind FROM c)"
 
 
-def _channels(spark):
-    return literal(spark, _CHANNELS, "part long, channel_idx long, name string")
+def _channels(spark, sf_dir):
+    return with_rows(spark, sf_dir, _CHANNELS, "part long, channel_idx long, name string", "events", _EVENTS)
 
 
 @query("spectral_parse_names", f"WITH {_PARSED} SELECT part, channel_idx, w AS wavelength, CASE WHEN w IS NOT NULL AND kind <> 'T' THEN right(kind, 1)::BIGINT END AS stokes, w IS NOT NULL AS is_spectral, coalesce(w > 0, false) AS is_spectral_strict FROM p")
 def _parse(spark, sf_dir):
     n = F.col("name")
     w = names.wavelength(n)
-    return _channels(spark).select("part", "channel_idx", w.alias("wavelength"), names.stokes(n).cast("long").alias("stokes"), w.isNotNull().alias("is_spectral"), F.coalesce(w > 0, F.lit(False)).alias("is_spectral_strict"))
+    return _channels(spark, sf_dir).select("part", "channel_idx", w.alias("wavelength"), names.stokes(n).cast("long").alias("stokes"), w.isNotNull().alias("is_spectral"), F.coalesce(w > 0, F.lit(False)).alias("is_spectral_strict"))
 
 
 @query(
@@ -49,7 +51,7 @@ def _format(spark, sf_dir):
 
 @query("spectral_type", f"WITH {_PARSED}, k AS (SELECT part, CASE WHEN w IS NOT NULL THEN kind END AS kind FROM p) SELECT part, CASE WHEN bool_or(kind = 'T') THEN 'Reflective' WHEN bool_or(kind IN ('S1', 'S2', 'S3')) THEN 'Polarised' WHEN bool_or(kind = 'S0') THEN 'Emissive' ELSE 'None' END AS spectrum_type FROM k GROUP BY 1")
 def _type(spark, sf_dir):
-    return spectral.spectrum_type(_channels(spark))
+    return spectral.spectrum_type(_channels(spark, sf_dir))
 
 
 # the folds compare with what was kept last (or at all), so SQL needs a recursion over the sorted list
@@ -61,7 +63,7 @@ _SORTED = f"{_PARSED}, s AS (SELECT part, w, row_number() OVER (PARTITION BY par
     f"WITH RECURSIVE {_SORTED}, f AS (SELECT part, k, [w] AS kept FROM s WHERE k = 1 UNION ALL SELECT s.part, s.k, CASE WHEN s.w > f.kept[-1] + 0.01 THEN list_append(f.kept, s.w) ELSE f.kept END FROM f JOIN s ON s.part = f.part AND s.k = f.k + 1) SELECT part, kept AS wavelengths FROM f WHERE (part, k) IN (SELECT part, max(k) FROM s GROUP BY 1)",
 )
 def _wavelengths(spark, sf_dir):
-    return spectral.wavelengths(_channels(spark))
+    return spectral.wavelengths(_channels(spark, sf_dir))
 
 
 @query(
@@ -69,7 +71,7 @@ def _wavelengths(spark, sf_dir):
     f"WITH RECURSIVE {_PARSED}, s AS (SELECT part, w, row_number() OVER (PARTITION BY part ORDER BY channel_idx) AS k FROM p WHERE w > 0), f AS (SELECT part, k, [w] AS kept FROM s WHERE k = 1 UNION ALL SELECT s.part, s.k, CASE WHEN len(list_filter(f.kept, lambda x: abs(x - s.w) < 0.01)) = 0 THEN list_append(f.kept, s.w) ELSE f.kept END FROM f JOIN s ON s.part = f.part AND s.k = f.k + 1) SELECT part, list_sort(kept) AS wavelengths FROM f WHERE (part, k) IN (SELECT part, max(k) FROM s GROUP BY 1)",
 )
 def _wavelengths_any(spark, sf_dir):
-    return spectral.wavelengths_any(_channels(spark))
+    return spectral.wavelengths_any(_channels(spark, sf_dir))
 
 
 @query("spectral_cube_long", f"WITH {SPECTRAL_SQL} SELECT y, x, wavelength_idx, wavelength, round(value, 6) AS value FROM sp")
@@ -135,7 +137,7 @@ def _capped(spark, sf_dir):
 @query("stokes_planes", f"WITH {_PARSED} SELECT part, right(kind, 1)::BIGINT AS stokes, count(*)::BIGINT AS channels FROM p WHERE w IS NOT NULL AND kind <> 'T' GROUP BY 1, 2")
 def _stokes(spark, sf_dir):
     s = names.stokes(F.col("name"))
-    return _channels(spark).where(s.isNotNull()).groupBy("part", s.cast("long").alias("stokes")).agg(F.count("*").alias("channels"))
+    return _channels(spark, sf_dir).where(s.isNotNull()).groupBy("part", s.cast("long").alias("stokes")).agg(F.count("*").alias("channels"))
 
 
 _ATTRIBUTES = [(0, "owner", "me"), (0, "emissiveUnits", "W"), (1, "ROOT/units", "m"), (1, "emissiveUnits", "W"), (2, "owner", "you")]

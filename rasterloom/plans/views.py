@@ -62,6 +62,17 @@ def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def with_rows(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str, source: str, expressions: dict[str, str]) -> DataFrame:
+    """Literal rows, and one for each row of a table."""
+    given = literal(spark, rows, schema)
+    return given.unionByName(table(spark, sf_dir, source).select(*(F.expr(e).cast(given.schema[n].dataType).alias(n) for n, e in expressions.items())))
+
+
+def with_rows_sql(name: str, rows: list[tuple], source: str, expressions: dict[str, str]) -> str:
+    """The same as common table expressions; the expressions mean the same to Spark and DuckDB."""
+    return f"{values_sql(f'{name}_given', list(expressions), rows)}, {name} AS (SELECT * FROM {name}_given UNION ALL SELECT {', '.join(f'{e} AS {n}' for n, e in expressions.items())} FROM {source})"
+
+
 def values_sql(name: str, columns: list[str], rows: list[tuple]) -> str:
     """A common table expression of literal rows."""
 
@@ -73,3 +84,10 @@ def values_sql(name: str, columns: list[str], rows: list[tuple]) -> str:
         return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
 
     return f"{name}({', '.join(columns)}) AS (VALUES {', '.join('(' + ', '.join(map(say, r)) + ')' for r in rows)})"
+
+
+#: A spectral channel's name (or another) for each event; wavelengths lie near each other.
+EVENT_CHANNEL = (
+    "concat(CASE user_id % 8 WHEN 0 THEN 'S0.' WHEN 1 THEN 'S1.' WHEN 2 THEN 'S2.' WHEN 3 THEN 'S3.' WHEN 4 THEN 'T.' WHEN 5 THEN 'R' WHEN 6 THEN 'S4.' ELSE 'S0.' END, "
+    "400 + event_id * 37 % 11, CASE event_id % 4 WHEN 0 THEN ',000000nm' WHEN 1 THEN ',004000nm' WHEN 2 THEN ',008000nm' ELSE ',012000nm' END)"
+)
