@@ -33,6 +33,13 @@ def float_to_half_bits(v: Column) -> Column:
     return F.when(F.isnan(v), F.lit(0x7E00).cast("long")).otherwise(sign + F.when(size >= 65520, F.lit(0x7C00).cast("long")).otherwise(body))
 
 
+def half_binade(v: Column) -> Column:
+    """The power of two whose multiples from 1 to 2 hold ``v``; NaN where it has none or its unit is no double: 0, negatives, infinities."""
+    v = v.cast("double")
+    exponent = F.least(F.floor(F.log2(F.greatest(v, F.lit(2.0**-1064)))), F.lit(1023)).cast("double")
+    return F.when((v >= 2.0**-1064) & (v < float("inf")), F.pow(F.lit(2.0), exponent)).otherwise(F.lit(float("nan")))
+
+
 def to_unsigned(v: Column, top: int, normalized: bool = True) -> Column:
     """Scaled (or raw), clamped to 0..top, half to even; NaN gives 0."""
     v = v.cast("double")

@@ -58,3 +58,23 @@ def test_without_training_data(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'deep_statistics' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); print(len(q))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def on_table(spark, folder, query, name, schema, rows):
+    """Rows of a query and of its SQL over one made-up table, as text: signs of zeros count."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    df, c = QUERIES[query](spark, str(folder)), duckdb.connect()
+    c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    want = c.sql(SQL[query])
+    order = sorted(df.columns)
+    assert order == sorted(want.columns)
+    return [sorted(repr(tuple(r[at.index(n)] for n in order)) for r in rows) for at, rows in ((df.columns, map(tuple, df.collect())), (want.columns, want.fetchall()))]
+
+
+def test_half_rounding_of_odd_values(spark, tmp_path):
+    """float_half_rounding at zeros, ties and beyond the range of halves (at zeros it gave 0 and the SQL NaN)."""
+    values = [0.0, -0.0, -1.5, None, math.nan, math.inf, -math.inf, 65519.0, 65520.0, 70001.0, 2.0**-14, 1.2345e-5, 3e-8, 2.0**-25, 1e-300, 2.0**-1064, 2.0**-1065, 5e-324, 1e300, 1.7976931348623157e308]
+    values += [2048.0 + 1, 2048.0 + 3, 1 + 2.0**-11, 1 + 3 * 2.0**-11] + [2.0**k * s for k in range(-30, 31) for s in (1, 1 - 2.0**-53, 1 + 2.0**-52)]
+    rows = [(i, i * 7, v) for i, v in enumerate(values)]
+    got, want = on_table(spark, tmp_path, "float_half_rounding", "events", "event_id long, user_id long, value double", rows)
+    assert got == want
