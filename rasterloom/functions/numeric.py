@@ -25,6 +25,17 @@ def over(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).when(F.isnan(a) | (a == 0) | F.isnan(b), nan).when(a > 0, inf).otherwise(-inf)
 
 
+def round_away(v: Column, places: int) -> Column:
+    """Decimal rounding, halves away from zero, in binary arithmetic as C has it: a value that goes to zero keeps its sign."""
+    scale = 10.0**places
+    x = v.cast("double") * scale
+    size = F.abs(x)
+    whole = F.floor(size).cast("double")
+    rounded = F.signum(x) * (whole + F.when(size - whole >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0)))
+    at_once = F.abs(x) == float("inf")  # also where only the scaled value is infinite
+    return F.when(at_once, v.cast("double")).when(size < 2.0**52, rounded / scale).otherwise(x / scale)
+
+
 def floor_div(a: Column, b: Column | int) -> Column:
     """Integer division that rounds towards minus infinity; b > 0."""
     b = b if isinstance(b, Column) else F.lit(b)

@@ -46,8 +46,9 @@ def spectrum_type(channels: DataFrame, group: str = "part") -> DataFrame:
 
 
 def pixel_spectra(cube: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, y, x, spectrum): values in the order of their wavelengths."""
-    return cube.groupBy(*keys, "y", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("wavelength_idx", "value"))), lambda s: s["value"]).alias("spectrum"))
+    """(keys, y, x, spectrum): values in the order of their wavelengths; a null wavelength_idx stands for a pixel without any."""
+    sampled = F.when(F.col("wavelength_idx").isNotNull(), F.struct("wavelength_idx", "value"))
+    return cube.groupBy(*keys, "y", "x").agg(F.transform(F.array_sort(F.collect_list(sampled)), lambda s: s["value"]).alias("spectrum"))
 
 
 def sample(spectrum: Column, index: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rasterloom.functions import names
+from rasterloom.functions import names, numeric
 from rasterloom.operators import spectral
 from rasterloom.plans.catalog import query
 from rasterloom.plans.views import EVENT_CHANNEL, SPECTRAL_SQL, literal, table, values_sql, with_rows, with_rows_sql
@@ -81,8 +81,11 @@ def _cube(spark, sf_dir):
 
 @query("pixel_spectrum", "SELECT vec_id // 25 AS y, vec_id % 25 AS x, list_transform(embedding, lambda v: round(v::DOUBLE, 6)) AS spectrum FROM embeddings")
 def _spectrum(spark, sf_dir):
-    cube = spectral_view(spark, sf_dir).withColumn("value", F.round("value", 6))
-    return spectral.pixel_spectra(cube)
+    """A spectrum for each row: rows of one vec_id stay apart, and null and empty vectors give null and empty spectra."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.monotonically_increasing_id().alias("row"), F.col("embedding").isNotNull().alias("known"))
+    long = vectors.select("row", "known", "vec_id", F.posexplode_outer("embedding").alias("wavelength_idx", "v"))
+    cube = long.select("row", "known", F.expr("vec_id div 25").alias("y"), (F.col("vec_id") % 25).alias("x"), "wavelength_idx", numeric.round_away(F.col("v"), 6).alias("value"))
+    return spectral.pixel_spectra(cube, ("row", "known")).select("y", "x", F.when(F.col("known"), F.col("spectrum")).alias("spectrum"))
 
 
 @query("spectral_sample", "SELECT vec_id, round(coalesce(embedding[(vec_id % 80 + 1)::INT]::DOUBLE, 0.0), 6) AS value FROM embeddings")

@@ -78,3 +78,13 @@ def test_half_rounding_of_odd_values(spark, tmp_path):
     rows = [(i, i * 7, v) for i, v in enumerate(values)]
     got, want = on_table(spark, tmp_path, "float_half_rounding", "events", "event_id long, user_id long, value double", rows)
     assert got == want
+
+
+def test_pixel_spectrum_of_odd_vectors(spark, tmp_path):
+    """pixel_spectrum row for row: small negative values (they lost their sign), equal ids (they were joined), null and empty vectors (they were left out)."""
+    vectors = [[-1e-7, 1e-7, -0.0, 0.0, -4.9e-7, -5.1e-7], [1.0, 2.0], [4.0, 3.0], [1.0, 2.0], None, [], [None, 0.5, None], [None], [math.nan, math.inf, -math.inf, 3.4e38, -1.2345679e15, 4.5e9, 4503599627.0]]
+    vectors += [[(2 * k + 1) * s / 128 for k in range(-70, 70)] + [k / 3 * s for k in range(40)] for s in (1.0, -1.0, 1e3, 1e-4)]
+    ids = [3, 26, 26, 26, 27, 28, 29, 30, -7, -30, 0, None, None]
+    rows = [(i, v) for i, v in zip(ids, vectors, strict=True)]
+    got, want = on_table(spark, tmp_path, "pixel_spectrum", "embeddings", "vec_id long, embedding array<float>", rows)
+    assert len(got) == len(rows) and got == want
